@@ -5,9 +5,11 @@ from __future__ import annotations
 from tablewright.llm.bpe import op6_byte_bpe
 from tablewright.llm.mixing import OP9_SQL, op9_mix_sources
 from tablewright.llm.near_dedup import OP2_SQL, op2_minhash_near_dedup
+from tablewright.llm.quality_classifier import op4_ordinal_quality
 from tablewright.llm.topk_search import OP3_SQL, op3_pivot_top_k
+from tablewright.llm.toxicity import op8_crf_toxicity
 from tablewright.llm.url_lists import OP10_SQL, op10_temporal_url_filter
 from tablewright.llm.warc import OP1_SQL, op1_warc_revisits
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_minhash_near_dedup, op3_pivot_top_k, op6_byte_bpe, op9_mix_sources, op10_temporal_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_minhash_near_dedup, op3_pivot_top_k, op4_ordinal_quality, op6_byte_bpe, op8_crf_toxicity, op9_mix_sources, op10_temporal_url_filter)}
 ORACLE_SQL = {"op1_warc_revisits": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_pivot_top_k": OP3_SQL, "op9_mix_sources": OP9_SQL, "op10_temporal_url_filter": OP10_SQL}

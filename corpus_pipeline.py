@@ -1,18 +1,64 @@
-"""Corpus preparation as written stages; each one reads what its predecessor kept."""
+"""Corpus preparation in five written stages; each one reads all that its predecessor kept.
+
+classify quality, apply quality rules, drop near duplicates, mix sources to target weights, encode. All stages but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tablewright.llm.bpe import round_trip
+from tablewright.llm.mixing import mix
+from tablewright.llm.near_dedup import near_duplicates
+from tablewright.llm.quality_classifier import classify
+from tablewright.llm.quality_rules import judge
 from tablewright.plans.scratch import Scratch
 
-STAGES: list = []
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of at least a sound grade is one half or more."""
+    return classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("quality_kept").select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the counting rules and are no outliers of their language and source."""
+    return judge(docs, Scratch(spark, "rules")).filter("quality_ok").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates on five-word shingles at a similarity of 0.8: the smallest doc_id.
+
+    Rows without an id are never linked to an id and stay. Repeated rows of the smallest doc_id are exact
+    copies; one of them stays.
+    """
+    scratch = Scratch(spark, "near")
+    kept = scratch.table(near_duplicates(docs, scratch, width=5, percent=80).filter("kept").select("doc_id").distinct(), "kept")
+    with_id = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return with_id.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mix(docs, Scratch(spark, "mix"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded bytes of every document taken."""
+    return round_trip(docs.select("doc_id", F.col("text")))
+
+
+STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_rules), ("minhash_near_dedup", near_dedup), ("mix_sources", mix_sources), ("byte_bpe", byte_bpe)]
+#: A fitted classifier and BPE have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to ``documents``, each written as Parquet and reread."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        done = scratch.table(stage(spark, docs, sf_dir), name)
+        docs = done
     return docs

@@ -1,11 +1,6 @@
 """The library's registered queries, each beside its DuckDB twin."""
 
-from __future__ import annotations
+from tablewright.queries import lineage, relational, testing, workloads
+from tablewright.queries.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "lineage", "relational", "testing", "workloads"]

@@ -30,12 +30,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates on five-word shingles at a similarity of 0.8: the smallest doc_id.
 
-    Rows without an id are never linked to an id and stay. Repeated rows of the smallest doc_id are exact
-    copies; one of them stays.
+    Rows without an id stay. Of repeated rows of the smallest doc_id one stays; other texts under that id stay too.
     """
     scratch = Scratch(spark, "near")
     kept = scratch.table(near_duplicates(docs, scratch, width=5, percent=80).filter("kept").select("doc_id").distinct(), "kept")
-    with_id = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    met = docs.join(kept, "doc_id", "left_semi").withColumn("text_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    with_id = met.dropDuplicates(["doc_id", "text_md5"]).select(*docs.columns)
     return with_id.unionByName(docs.filter("doc_id IS NULL"))
 
 

@@ -4,16 +4,19 @@ A sketch is the k smallest hashes of a document's shingle set. Inverted lists ov
 two documents as similar as asked share at least m of their retained values, so the s - m + 1 rarest of each document's
 s values suffice, and rare values have short lists. Values by rarity keep common phrases out of the lists.
 
-Lists are not expanded into pairs. Every list is tested against its hub, the member that shares most values with the
-corpus; a hub and what shares a list with it are a cluster, and clusters that the hub's links leave in one component
-are done. In the rest, each document outside the hub's component is tested against all of its cluster in
-blocks of bounded size, and only confirmed links leave a block. Before each exact test the union sketch's estimate must
-not lie far below the threshold.
+Lists are not expanded into pairs. Each list has a hub, the member that shares most values with the corpus, and
+members are compared with their hub on sketches. Those that may reach the threshold are the hub's dense cluster and are
+tested exactly against it; where that leaves a cluster in more than one component, documents outside the hub's component
+are tested against all of the cluster in blocks of bounded size, and only confirmed links leave a block. Members that
+only collide with their hub are compared with the rest of their list on sketches, again in blocks, and only pairs
+that no dense cluster covers go on to the exact test.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,10 +28,12 @@ from tablewright.plans.scratch import Scratch
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Values that a sketch retains.
 SKETCH = 64
-#: Standard deviations that a sketch's overlap and estimate may fall short by: a link is missed with odds of about 1e-8.
+#: Standard deviations that a sketch's overlap and estimate may fall short by: a link is missed with odds of at most 2e-8.
 SLACK = 6.0
 #: Shingles in a block of documents that one task tests against another block.
 BLOCK_SHINGLES = 1 << 14
+#: Documents of a list in a block.
+BLOCK_DOCS = 128
 
 
 def words_of(text: Column) -> Column:
@@ -59,19 +64,23 @@ def needed_overlap(n: Column, threshold: float, k: int = SKETCH) -> Column:
     return F.greatest(F.lit(1), F.when(n < k, whole).otherwise(sampled)).cast("int")
 
 
+def sizes_fit(n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether two set sizes allow a similarity of ``percent``."""
+    return F.least(n_a, n_b).cast("long") * 100 >= F.greatest(n_a, n_b).cast("long") * percent
+
+
 def may_reach(a: Column, b: Column, n_a: Column, n_b: Column, percent: int, k: int = SKETCH) -> Column:
     """Whether sizes and the union sketch of two sorted sets allow a similarity of ``percent``.
 
     The union sketch holds the k smallest values of both; the share of them that both sets retain estimates the
     similarity.
     """
-    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
     top_a, top_b = F.slice(a, 1, k), F.slice(b, 1, k)
     union = F.slice(F.sort_array(F.array_union(top_a, top_b)), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect(top_a, top_b), union))
     t = percent / 100
     least = t - SLACK * math.sqrt(t * (1 - t) / k)
-    return sizes & (shared >= F.size(union) * least)
+    return sizes_fit(n_a, n_b, percent) & (shared >= F.size(union) * least)
 
 
 def linked(a: Column, b: Column, percent: int) -> Column:
@@ -81,7 +90,7 @@ def linked(a: Column, b: Column, percent: int) -> Column:
 
 
 def prefix_postings(nodes: DataFrame, threshold: float, scratch: Scratch, k: int = SKETCH) -> DataFrame:
-    """(value, node, shared): for every node its rarest retained values that others retain too.
+    """(value, node, n, shared): for every node its rarest retained values that others retain too.
 
     Values are ranked over the whole corpus by the number of nodes that retain them. A value that only one node retains
     generates nothing but takes its rank.
@@ -93,26 +102,74 @@ def prefix_postings(nodes: DataFrame, threshold: float, scratch: Scratch, k: int
     ranked = per_node.join(nodes.select("node", "n", F.size("sketch").alias("s")), "node")
     alone = F.col("s") - F.size("values")
     room = F.greatest(F.lit(0), F.col("s") - needed_overlap(F.col("n"), threshold, k) + 1 - alone)
-    rows = ranked.select("node", F.size("values").alias("shared"), F.explode(F.slice("values", F.lit(1), room)).alias("v"))
-    posted = scratch.table(rows.select(F.col("v.value").alias("value"), "node", "shared"), "postings")
+    rows = ranked.select("node", "n", F.size("values").alias("shared"), F.explode(F.slice("values", F.lit(1), room)).alias("v"))
+    posted = scratch.table(rows.select(F.col("v.value").alias("value"), "node", "n", "shared"), "postings")
     scratch.drop(common)
     return posted
 
 
-def hub_clusters(postings: DataFrame, scratch: Scratch) -> DataFrame:
-    """(hub, node) for each list's hub and its other members; every two nodes that share a list share a hub's cluster."""
-    hubs = postings.groupBy("value").agg(F.max_by("node", F.struct("shared", "node")).alias("hub"), F.count("*").alias("rows")).filter("rows > 1")
-    hubs = scratch.table(hubs.select("value", "hub"), "hubs")
-    out = scratch.table(postings.join(hubs, "value").filter("node <> hub").select("hub", "node").distinct(), "clusters")
+def list_hubs(postings: DataFrame, scratch: Scratch) -> DataFrame:
+    """(value, hub, hub_n, node, n) for the members of every list of two or more, but the hub itself."""
+    hubs = postings.groupBy("value").agg(F.max_by(F.struct("node", "n"), F.struct("shared", "node")).alias("hub"), F.count("*").alias("rows")).filter("rows > 1")
+    hubs = scratch.table(hubs.select("value", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    out = scratch.table(postings.join(hubs, "value").filter("node <> hub").select("value", "hub", "hub_n", "node", "n"), "posted")
     scratch.drop(hubs)
     return out
 
 
-def _links_to_hub(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    members = clusters.join(sets.select("node", F.col("shingles").alias("a")), "node")
-    pairs = members.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("b")), "hub")
-    near = pairs.filter(may_reach(F.col("a"), F.col("b"), F.size("a"), F.size("b"), percent)).filter(linked(F.col("a"), F.col("b"), percent))
-    return near.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+def hub_pairs(posted: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(hub, node) of the members whose size and sketch allow them to be as similar to their hub as asked."""
+    near = posted.filter(sizes_fit(F.col("n"), F.col("hub_n"), percent))
+    pairs = scratch.table(near.select("hub", "node").distinct(), "pairs")
+    members = pairs.join(nodes.select("node", F.col("n").alias("n_a"), F.col("sketch").alias("a")), "node")
+    both = members.join(nodes.select(F.col("node").alias("hub"), F.col("n").alias("n_b"), F.col("sketch").alias("b")), "hub")
+    out = scratch.table(both.filter(may_reach(F.col("a"), F.col("b"), F.col("n_a"), F.col("n_b"), percent)).select("hub", "node"), "dense")
+    scratch.drop(pairs)
+    return out
+
+
+def collider_pairs(posted: DataFrame, dense: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(hub, node) pairs to test exactly, of members that lie far from their list's hub and the rest of their list.
+
+    Colliders and members of a list meet in blocks. Those without a partner of fitting size outside their own
+    dense clusters go first; the sketches of the rest are then compared inside the join, which lets only likely pairs out.
+    """
+    named = posted.join(dense.withColumn("dense", F.lit(True)), ["hub", "node"], "left").select("value", "node", "n", F.col("dense").isNull().alias("stray"))
+    named = scratch.table(named, "listed")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_DOCS).cast("int")
+    shape = named.groupBy("value").agg(F.count("*").alias("rows"), F.count_if("stray").alias("far")).filter("rows > 1 AND far > 0")
+    shape = scratch.table(shape.select("value", blocks("rows").alias("blocks"), blocks("far").alias("stray_blocks")), "far-lists")
+    homes = dense.unionByName(dense.select("hub", F.col("hub").alias("node"))).groupBy("node").agg(F.collect_set("hub").alias("homes"))
+    at_home = named.join(shape, "value").join(scratch.table(homes, "homes"), "node", "left").withColumn("homes", F.coalesce("homes", F.array().cast("array<bigint>")))
+    rows = scratch.table(_blocked(at_home, ["value", "node", "n", "homes"]), "blocks")
+    key = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("value", "i", "j")]
+    apart = (F.col("x.node") != F.col("y.node")) & sizes_fit(F.col("x.n"), F.col("y.n"), percent) & ~F.arrays_overlap("x.homes", "y.homes")
+    on = functools.reduce(operator.and_, [*key, apart])
+    strays, members = rows.filter("stray"), rows.filter("NOT stray")
+    strays = scratch.table(strays.alias("x").join(members.alias("y"), on, "left_semi"), "strays")
+    members = scratch.table(members.alias("x").join(strays.alias("y"), on, "left_semi"), "members")
+    sketched = lambda df: df.join(nodes.select("node", "sketch"), "node")
+    likely = may_reach(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"), percent)
+    found = sketched(strays).alias("x").join(sketched(members).alias("y"), on & likely)
+    out = scratch.table(found.select(F.least("x.node", "y.node").alias("hub"), F.greatest("x.node", "y.node").alias("node")).distinct(), "collider-pairs")
+    scratch.drop(named, shape, rows, strays, members)
+    return out
+
+
+def _blocked(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows (stray, blocks, stray_blocks) dealt to block pairs (i, j): each member meets each stray in one of them."""
+    spread = lambda name, of: F.pmod(F.xxhash64(F.lit(name), "node"), F.col(of)).cast("int")
+    count = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    members = rows.select(*keep, F.lit(False).alias("stray"), spread("member", "blocks").alias("i"), count("stray_blocks").alias("j"))
+    strays = rows.filter("stray").select(*keep, F.lit(True).alias("stray"), count("blocks").alias("i"), spread("stray", "stray_blocks").alias("j"))
+    return members.unionByName(strays)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs (hub, node) that are linked on their full sets."""
+    members = pairs.join(sets.select("node", F.col("shingles").alias("a")), "node")
+    both = members.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("b")), "hub")
+    return both.filter(linked(F.col("a"), F.col("b"), percent)).select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
 
 def _block_links(percent: int):
@@ -147,11 +204,7 @@ def _links_of_strays(clusters: DataFrame, labels: DataFrame, sets: DataFrame, pe
     sizes = sets.select("node", F.size("shingles").alias("n"))
     shape = marked.join(sizes, "node").groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n")).otherwise(0)) / BLOCK_SHINGLES).cast("int").alias("stray_blocks"))
     shape = scratch.table(shape.filter("stray_blocks > 0"), "shape")
-    spread = lambda name, of: F.pmod(F.xxhash64(F.lit(name), "node"), F.col(of)).cast("int")
-    open_ = marked.join(shape, "hub")
-    members = open_.select("hub", "node", "component", F.lit(False).alias("stray"), spread("member", "blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("j"))
-    strays = open_.filter("stray").select("hub", "node", "component", "stray", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), spread("stray", "stray_blocks").alias("j"))
-    rows = members.unionByName(strays).join(sets.select("node", "shingles"), "node")
+    rows = _blocked(marked.join(shape, "hub"), ["hub", "node", "component"]).join(sets.select("node", "shingles"), "node")
     return scratch.table(rows.groupBy("hub", "i", "j").applyInPandas(_block_links(percent), "a long, b long").distinct(), "stray_links")
 
 
@@ -173,16 +226,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     first = (filled.alias("r").join(classes.alias("c"), (F.col("r.class") == F.col("c.class")) & F.col("r.doc_id").eqNullSafe(F.col("c.first_id"))).select("c.node", "r.n", "r.sketch"))
     nodes = scratch.table(first, "nodes")
     postings = prefix_postings(nodes, percent / 100, scratch, k)
-    scratch.drop(nodes)
-    clusters = hub_clusters(postings, scratch)
+    posted = list_hubs(postings, scratch)
     scratch.drop(postings)
-    # Full sets are made again from the texts, for the few documents that share a list with another.
-    inside = clusters.select("node").union(clusters.select("hub")).distinct()
+    clusters = hub_pairs(posted, nodes, percent, scratch)
+    apart = collider_pairs(posted, clusters, nodes, percent, scratch)
+    scratch.drop(posted, nodes)
+    # Full sets are made again from the texts, for the few documents that are in a pair.
+    pairs = clusters.unionByName(apart)
+    inside = pairs.select("node").union(pairs.select("hub")).distinct()
     wanted = scratch.table(inside.join(classes, "node").select("node", "class", "first_id"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select(F.col("first_id").alias("doc_id"), "node", "class"), "doc_id")
     again = texts.select("node", "class", words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words")).filter(F.md5(F.array_join("words", " ")) == F.col("class"))
-    sets = scratch.table(again.select("node", shingle_set(F.col("words"), width).alias("shingles")), "sets")
-    links = scratch.table(_links_to_hub(clusters, sets, percent), "hub_links")
+    sets = scratch.table(again.select("node", shingle_set(F.col("words"), width).alias("shingles")).dropDuplicates(["node"]), "sets")
+    links = scratch.table(_links(pairs, sets, percent), "links")
     labels = scratch.table(connected_components(links, scratch), "labels")
     more = _links_of_strays(clusters, labels, sets, percent, scratch)
     if not more.isEmpty():

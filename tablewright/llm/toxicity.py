@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -191,16 +192,20 @@ def _forward_backward(emit: np.ndarray, moves: np.ndarray, lengths: np.ndarray)
 
 def fit(texts: list[str], toxic: list[int]) -> Chain:
     """Labels tokens, then fits the chain by Adam on segments. Without toxic examples, nothing is ever toxic."""
-    tokens = [TOKEN.findall(t.lower()) for t in texts]
+    # One object for each word, however often it occurs.
+    tokens = [[sys.intern(w) for w in TOKEN.findall(t.lower())] for t in texts]
     known = {w: features(w) for w in {w for words in tokens for w in words}}
-    sets = [{f for w in set(words) for f in known[w]} for words in tokens]
-    clean = Counter(f for s, y in zip(sets, toxic) if not y for f in s)
+    of = lambda words: {f for w in set(words) for f in known[w]}
     labelled = [i for i, y in enumerate(toxic) if y]
-    single = [labelled[i] for i in without_copies([tokens[i] for i in labelled])]
-    marks = marking([sets[i] for i in single], clean, len(texts) - len(labelled))
+    single = [of(tokens[labelled[i]]) for i in without_copies([tokens[i] for i in labelled])]
+    clean: Counter = Counter()
+    for words, y in zip(tokens, toxic):
+        if not y:
+            clean.update(of(words))
+    marks = marking(single, clean, len(texts) - len(labelled))
     if not marks:
         return Chain()
-    support = Counter(f for i in single for f in sets[i])
+    support = Counter(f for s in single for f in s)
     usable = [f for f, n in support.most_common() if n >= LEAST_SUPPORT and n / (n + clean[f]) >= LEAST_SHARE]
     names = sorted(marks | set(usable[:FEATURES]))
     number = {f: i for i, f in enumerate(names)}
@@ -279,4 +284,4 @@ def op8_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every row of ``documents``, learnt outside the held-out fold."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = tag_documents(docs.select("doc_id", "text"), fit_on(docs, labels))
-    return out.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))

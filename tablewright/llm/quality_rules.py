@@ -119,7 +119,8 @@ def mcd_estimates(rows: DataFrame, scratch: Scratch, steps: int = STEPS) -> Data
     wanted = shape.select("grp", F.ceil(F.col("n") * SHARE).alias("wanted"))
     for step in range(steps):
         near = with_distance(rows.join(now.drop("rows", "log_det"), "grp")).withColumn("bin", F.least(F.lit(LAST_BIN), F.floor(F.log1p("d2") * BINS_A_LOG)).cast("int"))
-        bins = near.groupBy("grp", "start", "bin").agg(F.count("*").alias("rows"))
+        # Counted by bin before a group's bins meet: what a window then gathers is bounded by the number of bins.
+        bins = scratch.table(near.groupBy("grp", "start", "bin").agg(F.count("*").alias("rows")), "bins")
         running = bins.withColumn("so_far", F.sum("rows").over(Window.partitionBy("grp", "start").orderBy("bin"))).join(wanted, "grp")
         edge = scratch.table(running.filter("so_far >= wanted").groupBy("grp", "start").agg(F.min("bin").alias("edge")), "edge")
         inner = near.join(edge, ["grp", "start"]).filter(F.col("bin") <= F.col("edge"))

@@ -4,7 +4,8 @@ Everything is DataFrame operations. Each text's counts become a vector of five s
 minimum-covariance-determinant estimate is found by concentration steps: take the share of rows with the smallest
 Mahalanobis distances, make mean and covariance of these, repeat. The steps run for all groups together as partial
 aggregations; the distance that a share of rows stays under comes from counts in fine bins, so no group
-is ever sorted or gathered. Of two starts, the one that ends in the smaller determinant is used.
+is ever sorted or gathered. Of two starts, the one that ends in the smaller determinant is used. Groups of every size are judged: each
+estimate is shrunk to its language's, and that to the estimate of all rows.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ FLOORS = (0.35, 0.08, 0.5, 0.75, 0.75)
 #: five-dimensional normal consistent; the chi-squared quantile for 5 degrees at 1 - 1e-4.
 SHARE, CONSISTENCY, CUTOFF = 0.75, 1.412, 25.745
 STEPS = 3
-#: A group with fewer rows that pass the counting rules has no estimate, and no row of it is an outlier.
-LEAST_ROWS = 50
+#: A group's estimate is its own and its language's, weighed as its rows to this many; a language's likewise with that of
+#: all rows. So a group of any size has an estimate, and a rare one is judged mostly by its language.
+PRIOR_ROWS = 50
 BINS_A_LOG, LAST_BIN = 64, 4095
 X = [f"x{i}" for i in range(1, STATISTICS + 1)]
 PAIRS = [(i, j) for i in range(1, STATISTICS + 1) for j in range(1, i + 1)]
@@ -106,9 +108,9 @@ def _moments(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
 
 
 def mcd_estimates(rows: DataFrame, scratch: Scratch, steps: int = STEPS) -> DataFrame:
-    """(grp, m1.., l11..) of each group of at least ``LEAST_ROWS`` rows; ``rows`` has grp and x1 to x5."""
+    """(grp, n, m1.., l11..) of each group; ``rows`` has grp and x1 to x5."""
     quarters = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"p{x}") for x in X]
-    shape = scratch.table(rows.groupBy("grp").agg(F.count("*").alias("n"), *quarters).filter(F.col("n") >= LEAST_ROWS), "shape")
+    shape = scratch.table(rows.groupBy("grp").agg(F.count("*").alias("n"), *quarters), "shape")
     middle = [F.col(f"p{x}")[1].alias(f"c{i}") for i, x in enumerate(X, 1)]
     # First start: medians and spreads between quartiles. Second start: mean and covariance of all rows.
     spread = lambda i, x: F.pow((F.col(f"p{x}")[2] - F.col(f"p{x}")[0]) / 1.349, 2) + FLOORS[i - 1] ** 2
@@ -127,25 +129,54 @@ def mcd_estimates(rows: DataFrame, scratch: Scratch, steps: int = STEPS) -> Data
         centres = [F.col(f"m{i}").alias(f"c{i}") for i in range(1, STATISTICS + 1)]
         now = scratch.table(with_cholesky(_moments(inner.select("grp", "start", *X, *centres), ["grp", "start"], CONSISTENCY)), f"step{step}")
     best = now.groupBy("grp").agg(F.min(F.struct("log_det", "start")).alias("best")).select("grp", F.col("best.start").alias("start"))
-    return scratch.table(now.join(best, ["grp", "start"]).drop("start", "rows", "log_det"), "estimates")
+    return scratch.table(now.join(best, ["grp", "start"]).drop("start", "rows", "log_det").join(shape.select("grp", "n"), "grp"), "estimates")
+
+
+def shrunk(own: DataFrame, parent: DataFrame) -> DataFrame:
+    """``own`` (grp, up, n, m1.., l11..) moved towards the row of ``parent`` whose grp is its up, the less the larger n is."""
+    means = [f"m{i}" for i in range(1, STATISTICS + 1)]
+    lows = [f"l{i}{j}" for i, j in PAIRS]
+    above = parent.select(F.col("grp").alias("up"), *[F.col(c).alias(f"p_{c}") for c in means + lows])
+    part = F.col("n") / (F.col("n") + PRIOR_ROWS)
+    mixed = lambda a, b: a * part + b * (1 - part)
+    cov = lambda i, j, of: sum((F.col(f"{of}l{i}{k}") * F.col(f"{of}l{j}{k}") for k in range(1, j + 1)), F.lit(0.0))
+    out = own.join(above, "up").select("grp", "n", *[mixed(F.col(m), F.col(f"p_{m}")).alias(m) for m in means], *[mixed(cov(i, j, ""), cov(i, j, "p_")).alias(f"s{i}{j}") for i, j in PAIRS])
+    return with_cholesky(out).drop("log_det")
+
+
+def group_estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(grp, m1.., l11..) of each (lang, source), shrunk to its language and that to all rows; ``rows`` has lang_grp, grp and x1 to x5.
+
+    The three levels are estimated together as groups of one table.
+    """
+    named = lambda level, of: F.concat(F.lit(level), of)
+    all_rows, lang, source = F.lit("a"), named("l", F.col("lang_grp")), named("s", F.col("grp"))
+    each = F.explode(F.array(*[F.struct(g.alias("grp"), up.alias("up")) for g, up in ((all_rows, all_rows), (lang, all_rows), (source, lang))])).alias("g")
+    tree = scratch.table(rows.select("lang_grp", "grp").distinct().select(each).select("g.*").distinct(), "tree")
+    long = rows.select(F.explode(F.array(all_rows, lang, source)).alias("grp"), *X)
+    plain = mcd_estimates(long, scratch).join(tree, "grp")
+    top = plain.filter("grp = 'a'").drop("up")
+    langs = scratch.table(shrunk(plain.filter("grp LIKE 'l%'"), top), "langs")
+    out = shrunk(plain.filter("grp LIKE 's%'"), langs)
+    return scratch.table(out.withColumn("grp", F.expr("substr(grp, 2)")).drop("n"), "group_estimates")
 
 
 def judge(docs: DataFrame, scratch: Scratch, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all by default) with the five counts, base_failed, distance and quality_ok.
 
     ``docs`` has text, lang and source. Null text counts as empty and fails the base rules; null lang or source is a
-    value of its own. Rows that fail the base rules, and rows of groups too small to estimate, have no distance.
+    value of its own. Rows that fail the base rules have no distance, all others have one, however few their group's rows.
     Repeated rows each count. An empty table gives an empty result.
     """
     keep = keep or docs.columns
     extra = [c for c in ("lang", "source") if c not in keep]
-    counted = counts(docs, keep + extra).withColumns({"base_failed": base_failed(), "grp": F.to_json(F.struct(F.col("lang").cast("string").alias("l"), F.col("source").cast("string").alias("s")))}).drop(*extra)
+    counted = counts(docs, keep + extra).withColumns({"base_failed": base_failed(), "grp": F.to_json(F.struct(F.col("lang").cast("string").alias("l"), F.col("source").cast("string").alias("s"))), "lang_grp": F.to_json(F.struct(F.col("lang").cast("string").alias("l")))}).drop(*extra)
     counted = scratch.table(counted.withColumns(statistics()), "counted")
-    estimates = mcd_estimates(counted.filter("NOT base_failed").select("grp", *X), scratch)
+    estimates = group_estimates(counted.filter("NOT base_failed").select("lang_grp", "grp", *X), scratch)
     # A row that failed needs no estimate and stays out of the join.
     passed = with_distance(counted.filter("NOT base_failed").join(estimates, "grp", "left"))
     out = passed.select(*counted.columns, "d2").unionByName(counted.filter("base_failed").withColumn("d2", F.lit(None).cast("double")))
-    return out.withColumns({"distance": F.sqrt("d2"), "quality_ok": ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))}).drop("d2", "grp", *X)
+    return out.withColumns({"distance": F.sqrt("d2"), "quality_ok": ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))}).drop("d2", "grp", "lang_grp", *X)
 
 
 def op5_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,6 +245,17 @@ def test_outliers(spark, scratch):
     assert out[2000].quality_ok and out[2000].distance is None  # its group is too small to judge
 
 
+def test_small_groups_are_judged(spark, scratch):
+    r = random.Random(3)
+    docs = corpus(spark, [(i, " ".join(words(r.randint(40, 160), i))) for i in range(150)])
+    for i, (lang, source) in enumerate([("en", "rare"), ("xx", "s"), (None, None)]):
+        odd = [(1000 + i, " ".join(w + "$$$$" for w in words(60, i))), (2000 + i, " ".join(words(80, 900 + i)))]
+        docs = docs.unionByName(corpus(spark, odd, lang, source))
+    out = {x.doc_id: x for x in quality_rules.judge(docs, scratch, ["doc_id"]).collect()}
+    assert all(x.distance is not None for x in out.values())
+    assert not any(out[1000 + i].quality_ok for i in range(3)) and all(x.quality_ok for i, x in out.items() if not 1000 <= i < 2000)
+
+
 def test_estimates_agree_with_plain_concentration_steps(spark, scratch):
     r = np.random.default_rng(4)
     x = np.vstack([r.normal(size=(180, 5)) @ np.diag([1, 2, 0.5, 1, 3]), 9 + r.normal(size=(20, 5))])

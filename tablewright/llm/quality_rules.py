@@ -23,12 +23,15 @@ LEAST_WORDS, MOST_REPEATED_PERCENT = 20, 30
 #: Log of words, log of mean word length, and logs of symbols, repeated lines and repeated words in proportion.
 STATISTICS = 5
 #: Least standard deviation that each statistic is given, in its own unit. Most texts have no symbols and no repeats at
-#: all, so a spread is otherwise 0 and one symbol would be an outlier.
-FLOORS = (0.35, 0.08, 0.5, 0.75, 0.75)
+#: all, so a spread is otherwise 0 and one symbol would be an outlier. Where the normal is 0, the last three reject by
+#: themselves at about 2 symbols per 100 characters, 5 repeated lines per 100 words (half of ten-word lines), and a
+#: quarter of the words repeated, all of which the counting rules allow.
+FLOORS = (0.35, 0.08, 0.2, 0.35, 0.25)
 #: The share of rows kept in a step; the factor that makes the covariance of that share of a
 #: five-dimensional normal consistent; the chi-squared quantile for 5 degrees at 1 - 1e-4.
 SHARE, CONSISTENCY, CUTOFF = 0.75, 1.412, 25.745
-STEPS = 3
+#: A group whose log determinant falls by no more has found its subset.
+SETTLED = 1e-9
 #: A group's estimate is its own and its language's, weighed as its rows to this many; a language's likewise with that of
 #: all rows. So a group of any size has an estimate, and a rare one is judged mostly by its language.
 PRIOR_ROWS = 50
@@ -103,31 +106,50 @@ def _moments(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
     sums = [F.avg(d[i]).alias(f"a{i}") for i in d] + [F.avg(d[i] * d[j]).alias(f"q{i}{j}") for i, j in PAIRS] + [F.first(f"c{i}").alias(f"c{i}") for i in d]
     g = rows.groupBy(*keys).agg(F.count("*").alias("rows"), *sums)
     floor = {i: FLOORS[i - 1] ** 2 for i in d}
-    cov = [((F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) * factor + (floor[i] if i == j else 0.0)).alias(f"s{i}{j}") for i, j in PAIRS]
+    plain = lambda i, j: (F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) * factor
+    cov = [(F.greatest(plain(i, j), F.lit(floor[i])) if i == j else plain(i, j)).alias(f"s{i}{j}") for i, j in PAIRS]
     return g.select(*keys, "rows", *[(F.col(f"c{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in d], *cov)
 
 
-def mcd_estimates(rows: DataFrame, scratch: Scratch, steps: int = STEPS) -> DataFrame:
-    """(grp, n, m1.., l11..) of each group; ``rows`` has grp and x1 to x5."""
+def mcd_estimates(rows: DataFrame, scratch: Scratch, steps: int | None = None) -> DataFrame:
+    """(grp, n, m1.., l11..) of each group; ``rows`` has grp and x1 to x5.
+
+    A start of a group takes steps until its determinant stops falling, which is when its subset stops changing; as it falls
+    in every step before, this ends. ``steps`` bounds them all the same, if given.
+    """
     quarters = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"p{x}") for x in X]
     shape = scratch.table(rows.groupBy("grp").agg(F.count("*").alias("n"), *quarters), "shape")
     middle = [F.col(f"p{x}")[1].alias(f"c{i}") for i, x in enumerate(X, 1)]
     # First start: medians and spreads between quartiles. Second start: mean and covariance of all rows.
-    spread = lambda i, x: F.pow((F.col(f"p{x}")[2] - F.col(f"p{x}")[0]) / 1.349, 2) + FLOORS[i - 1] ** 2
+    spread = lambda i, x: F.greatest(F.pow((F.col(f"p{x}")[2] - F.col(f"p{x}")[0]) / 1.349, 2), F.lit(FLOORS[i - 1] ** 2))
     robust = shape.select("grp", F.lit(0).alias("start"), F.col("n").alias("rows"), *[F.col(f"p{x}")[1].alias(f"m{i}") for i, x in enumerate(X, 1)], *[(spread(i, X[i - 1]) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS])
     centred = rows.join(shape.select("grp", *middle), "grp")
     classic = _moments(centred, ["grp"], 1.0).withColumn("start", F.lit(1))
     now = scratch.table(with_cholesky(robust.unionByName(classic.select(robust.columns))), "start")
     wanted = shape.select("grp", F.ceil(F.col("n") * SHARE).alias("wanted"))
-    for step in range(steps):
+    done, step = [], 0
+    while steps is None or step < steps:
         near = with_distance(rows.join(now.drop("rows", "log_det"), "grp")).withColumn("bin", F.least(F.lit(LAST_BIN), F.floor(F.log1p("d2") * BINS_A_LOG)).cast("int"))
         # Counted by bin before a group's bins meet: what a window then gathers is bounded by the number of bins.
         bins = scratch.table(near.groupBy("grp", "start", "bin").agg(F.count("*").alias("rows")), "bins")
         running = bins.withColumn("so_far", F.sum("rows").over(Window.partitionBy("grp", "start").orderBy("bin"))).join(wanted, "grp")
-        edge = scratch.table(running.filter("so_far >= wanted").groupBy("grp", "start").agg(F.min("bin").alias("edge")), "edge")
+        edge = running.filter("so_far >= wanted").groupBy("grp", "start").agg(F.min("bin").alias("edge"))
         inner = near.join(edge, ["grp", "start"]).filter(F.col("bin") <= F.col("edge"))
         centres = [F.col(f"m{i}").alias(f"c{i}") for i in range(1, STATISTICS + 1)]
-        now = scratch.table(with_cholesky(_moments(inner.select("grp", "start", *X, *centres), ["grp", "start"], CONSISTENCY)), f"step{step}")
+        moved = with_cholesky(_moments(inner.select("grp", "start", *X, *centres), ["grp", "start"], CONSISTENCY))
+        # The starts themselves are no subsets, so their determinants do not count.
+        still = F.col("n.log_det") >= F.col("o.log_det") - SETTLED if step else F.lit(False)
+        better = F.lit(step == 0) | (F.col("n.log_det") < F.col("o.log_det"))
+        met = moved.alias("n").join(now.alias("o"), ["grp", "start"])
+        values = [c for c in moved.columns if c not in ("grp", "start")]
+        both = scratch.table(met.select("grp", "start", *[F.when(better, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in values], still.alias("still")), f"step{step}")
+        done.append(both.filter("still").drop("still"))
+        now, step = both.filter("NOT still").drop("still"), step + 1
+        if now.isEmpty():
+            break
+    for part in done:
+        now = now.unionByName(part)
+    now = scratch.table(now, "settled")
     best = now.groupBy("grp").agg(F.min(F.struct("log_det", "start")).alias("best")).select("grp", F.col("best.start").alias("start"))
     return scratch.table(now.join(best, ["grp", "start"]).drop("start", "rows", "log_det").join(shape.select("grp", "n"), "grp"), "estimates")
 

@@ -256,6 +256,19 @@ def test_small_groups_are_judged(spark, scratch):
     assert not any(out[1000 + i].quality_ok for i in range(3)) and all(x.quality_ok for i, x in out.items() if not 1000 <= i < 2000)
 
 
+def test_each_statistic_can_reject(spark, scratch):
+    r = random.Random(4)
+    clean = [(i, " ".join(words(r.randint(60, 160), i))) for i in range(150)]
+    w, eight = words(100, 901), words(8, 900)
+    symbols = " ".join(x + "#" * (i % 5 == 0) for i, x in enumerate(w))  # about 5 symbols per 100 characters
+    lines = " ".join(w) + "\nq\nr\ns" * 5  # 12 repeated lines in 115 words
+    repeated = " ".join([*eight, *w[:20], *eight, *w[20:40], *eight, *w[40:60], *eight, *w[60:78]])  # 32 of 110 words
+    docs = corpus(spark, clean + [(1000, symbols), (1001, lines), (1002, repeated)])
+    out = {x.doc_id: x for x in quality_rules.judge(docs, scratch, ["doc_id"]).collect()}
+    assert all(out[i].quality_ok for i, _ in clean)
+    assert not any(out[i].base_failed or out[i].quality_ok for i in (1000, 1001, 1002))
+
+
 def test_estimates_agree_with_plain_concentration_steps(spark, scratch):
     r = np.random.default_rng(4)
     x = np.vstack([r.normal(size=(180, 5)) @ np.diag([1, 2, 0.5, 1, 3]), 9 + r.normal(size=(20, 5))])

@@ -109,28 +109,58 @@ def derived_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(calls, results, needs) from ``conversations``: a user's turn calls a tool, an assistant's answers the turn before.
 
     Texts of even length look something up, others have their words counted; a limit above 300 is sent as text, which its
-    schema forbids. A call needs the call at half of its turn.
+    schema forbids. A call needs the call at half of its turn. Arguments and contents hold the whole texts.
     """
     said = turns.select("conv_id", F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text"))
     call_id = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
     n = F.char_length("text")
+    text = F.to_json(F.struct("text"))
+    query = F.expr("substr(to_json(struct(text AS query)), 2)")
     limit = F.when(n > 300, F.concat(F.lit('"'), n.cast("string"), F.lit('"'))).otherwise(n.cast("string"))
-    tag = F.md5("text")
-    look = F.concat(F.lit('{"query":"'), tag, F.lit('","limit":'), limit, F.lit("}"))
-    count = F.concat(F.lit('{ "text": "'), tag, F.lit('" }'))
+    look = F.concat(F.lit('{"limit":'), limit, F.lit(","), query)
     users = said.filter("role = 'user'")
     even = n % 2 == 0
-    calls = users.select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", F.when(even, "look_up").otherwise("count_words").alias("tool"), F.when(even, look).otherwise(count).alias("arguments"))
-    results = said.filter("role = 'assistant'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.md5("text").alias("content"))
+    calls = users.select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", F.when(even, "look_up").otherwise("count_words").alias("tool"), F.when(even, look).otherwise(text).alias("arguments"))
+    results = said.filter("role = 'assistant'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     half = F.floor(F.col("turn") / 4) * 2
     needs = users.filter("turn >= 2").select("conv_id", call_id(F.col("turn")).alias("call_id"), call_id(half).alias("needed_id"))
     return calls, results, needs
 
 
+def uncalled(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Results without a call, in the columns of ``link_tool_calls``: status uncalled, the result alone as canonical JSON.
+
+    As there, the earliest result of an identifier counts, and a null identifier or conversation makes no result.
+    """
+    key = ["conv_id", "call_id"]
+    first = results.select(*key, "turn", "content").dropna(subset=key).groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r")).select(*key, "r.*")
+    alone = first.join(calls.select(*key).dropna(), key, "left_anti")
+    canonical = F.to_json(F.struct(F.col("call_id").cast("string").alias("id"), F.col("content").alias("result")))
+    return alone.select(*key, "turn", F.lit(None).cast("string").alias("tool"), F.lit(None).cast("int").alias("level"), F.lit("uncalled").alias("status"), F.lit("").alias("errors"), F.lit(0).cast("long").alias("missing_needs"), canonical.alias("canonical"))
+
+
+def with_digests(linked: DataFrame) -> DataFrame:
+    """``linked`` with each text of its canonical JSON, read back from there, as its md5: the form that the SQL twin gives."""
+    whole = F.parse_json("canonical")
+    text = lambda path: F.md5(F.try_variant_get(whole, path, "string"))
+    limit = F.to_json(F.try_variant_get(whole, "$.arguments.limit", "variant"))
+    part = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    quoted = lambda value: F.concat(F.lit('"'), value, F.lit('"'))
+    inner = F.concat_ws(",", part("limit", limit), part("query", quoted(text("$.arguments.query"))), part("text", quoted(text("$.arguments.text"))))
+    arguments = F.when(F.try_variant_get(whole, "$.arguments", "variant").isNotNull(), part("arguments", F.concat(F.lit("{"), inner, F.lit("}"))))
+    outer = F.concat_ws(",", arguments, part("id", quoted(F.try_variant_get(whole, "$.id", "string"))), part("name", quoted(F.try_variant_get(whole, "$.name", "string"))), part("result", quoted(text("$.result"))))
+    return linked.withColumn("canonical", F.concat(F.lit("{"), outer, F.lit("}")))
+
+
 def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tool calls derived from every turn of ``conversations``, linked, ordered, validated and serialised."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return link_tool_calls(*derived_calls(turns), SCHEMAS, Scratch(spark, "calls"))
+    """Tool calls derived from every turn of ``conversations``, linked, ordered, validated and serialised with whole texts.
+
+    Results without a call follow as rows of their own. Texts become digests only in what the operator returns.
+    """
+    calls, results, needs = derived_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    scratch = Scratch(spark, "calls")
+    linked = link_tool_calls(calls, results, needs, SCHEMAS, scratch).unionByName(uncalled(calls, results))
+    return with_digests(scratch.table(linked, "linked"))
 
 
 OP7_SQL = """

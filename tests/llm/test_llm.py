@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import itertools
+import json
 import random
 import re
 
@@ -332,6 +333,24 @@ def test_tool_calls(spark, scratch):
     assert out[5, "m"].errors == "unknown_tool" and (out[6, "k"].status, out[6, "k"].missing_needs) == ("unmet", 1)
 
 
+def test_derived_calls_hold_whole_texts(spark, scratch):
+    texts = ['q"\\\n\t\x01é日🙂/', "x" * 5001, "", 'even"' * 2]
+    turns = [(i, 2 * j + k, role, t) for i, t in enumerate(texts) for j in (0, 1) for k, role in enumerate(("user", "assistant"))] + [(9, 0, "system", "s"), (9, 5, "assistant", 'al"one')]
+    calls, results, needs = tool_calls.derived_calls(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    linked = tool_calls.link_tool_calls(calls, results, needs, tool_calls.SCHEMAS, scratch).unionByName(tool_calls.uncalled(calls, results))
+    linked = scratch.table(linked, "linked")
+    out, alone = linked.filter("conv_id < 9").collect(), linked.filter("conv_id = 9").collect()
+    assert len(out) == 8
+    for r in out:
+        t, v = texts[r.conv_id], json.loads(r.canonical)
+        assert v["arguments"] == ({"query": t, "limit": len(t)} if len(t) % 2 == 0 else {"text": t}) and v["result"] == t
+    assert [(r.call_id, r.status, json.loads(r.canonical)) for r in alone] == [("call_4", "uncalled", {"id": "call_4", "result": 'al"one'})]
+    md5 = {i: hashlib.md5(t.encode()).hexdigest() for i, t in enumerate(texts)}
+    for r in tool_calls.with_digests(linked).filter("conv_id < 9").collect():
+        v = json.loads(r.canonical)
+        assert v["result"] == md5[r.conv_id] and md5[r.conv_id] in v["arguments"].values()
+
+
 def test_no_tool_calls(spark, scratch):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert tool_calls.link_tool_calls(*tool_calls.derived_calls(turns), tool_calls.SCHEMAS, scratch).count() == 0

@@ -6,7 +6,7 @@ Games have game_id, season, visiting_team, home_team, visiting_score, home_score
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,24 +37,30 @@ def implied_line(own: Column, other: Column, bonus: float = 0.0) -> Column:
 def rolled_ratings(games: DataFrame, ratings: dict[int, float], k: float = 20.0) -> DataFrame:
     """Ratings before and after each game of a season, carried from game to game; margins count by their logarithm.
 
-    Order matters within a season, so each season is one group; seasons run side by side. Unknown teams start at 1500.
+    Order matters within a season, so a season's games pass through one task in order; it holds a batch and the ratings, never
+    a season, and Spark's sort spills. Seasons run side by side. Unknown teams start at 1500.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        now, rows = dict(ratings), []
-        for g in pdf.sort_values("game_id").itertuples():
-            v, h = now.get(g.visiting_team, 1500.0), now.get(g.home_team, 1500.0)
-            expected = 1 / (10 ** (-(h - v + HOME_BONUS) / SPREAD) + 1)
-            won = float(g.home_score >= g.visiting_score)
-            margin = abs(g.home_score - g.visiting_score)
-            lead = (h - v + HOME_BONUS) * (1 if won else -1)
-            change = k * math.log(margin + 1) * (2.2 / (lead * 0.001 + 2.2)) * (won - expected)
-            now[g.visiting_team], now[g.home_team] = v - change, h + change
-            rows.append((g.season, g.game_id, g.visiting_team, g.home_team, v, h, now[g.visiting_team], now[g.home_team]))
-        return pd.DataFrame(rows, columns=["season", "game_id", "visiting_team", "home_team", "visiting_before", "home_before", "visiting_after", "home_after"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        season, now = math.nan, {}
+        for pdf in batches:
+            rows = []
+            for g in pdf.itertuples():
+                here = None if pd.isna(g.season) else g.season
+                if here != season:
+                    season, now = here, dict(ratings)
+                v, h = now.get(g.visiting_team, 1500.0), now.get(g.home_team, 1500.0)
+                expected = 1 / (10 ** (-(h - v + HOME_BONUS) / SPREAD) + 1)
+                won = float(g.home_score >= g.visiting_score)
+                margin = abs(g.home_score - g.visiting_score)
+                lead = (h - v + HOME_BONUS) * (1 if won else -1)
+                change = k * math.log(margin + 1) * (2.2 / (lead * 0.001 + 2.2)) * (won - expected)
+                now[g.visiting_team], now[g.home_team] = v - change, h + change
+                rows.append((g.season, g.game_id, g.visiting_team, g.home_team, v, h, now[g.visiting_team], now[g.home_team]))
+            yield pd.DataFrame(rows, columns=["season", "game_id", "visiting_team", "home_team", "visiting_before", "home_before", "visiting_after", "home_after"])
 
     schema = "season int, game_id long, visiting_team int, home_team int, visiting_before double, home_before double, visiting_after double, home_after double"
-    return games.groupBy("season").applyInPandas(fold, schema)
+    return games.repartition("season").sortWithinPartitions("season", "game_id").mapInPandas(fold, schema)
 
 
 def latest_ratings(rated: DataFrame, teams: DataFrame) -> DataFrame:

@@ -158,6 +158,25 @@ def test_rating_roll_forward_conserves_points(spark):
     assert out[3].visiting_before == 1500.0  # a season starts from the first ratings
 
 
+def test_rating_roll_forward_holds_a_batch_at_a_time(spark):
+    games = [(i, i % 3 or None, i % 5, 5 + i % 4, 90 + i % 7, 95) for i in range(60)]
+    g = spark.createDataFrame(games[::-1], "game_id long, season int, visiting_team int, home_team int, visiting_score int, home_score int")
+    df = R.rolled_ratings(g, {1: 1600.0})
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()  # which holds a season at once
+    whole = rows(df)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert rows(R.rolled_ratings(g, {1: 1600.0})) == whole and len(whole) == 60
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    last = {}
+    for r in sorted(whole, key=lambda r: r[1]):
+        for team, before, after in ((r[2], r[4], r[6]), (r[3], r[5], r[7])):
+            assert before == last.get((r[0], team), 1600.0 if team == 1 else 1500.0)
+            last[r[0], team] = after
+
+
 def test_multi_way_ties(spark):
     table = spark.createDataFrame([(1, 0, 0, 5, t, 0, c, 0) for t, c in ((1, 1), (2, 2), (3, 2))], "scenario_id long, conf int, division int, wins long, team int, division_wins long, conf_wins long, point_diff long")
     games = spark.createDataFrame([(1, 2, 3, 1), (1, 3, 2, 0)], "scenario_id long, team int, opponent int, won int")

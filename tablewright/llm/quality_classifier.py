@@ -2,7 +2,8 @@
 
 One weight vector over hashed character trigrams is shared by all grades; grades differ by ordered thresholds, so that
 P(grade >= g) = sigmoid(w.x - threshold_g). A document gets its expected grade and its tail probability, by which it is
-selected. Fitted on a bounded sample of rated rows; every document is scored on its whole text in one map.
+selected. Fitted on a bounded sample of rated rows, hashed by the executors; every document is scored on its whole text in
+one map.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.columns import packed, unpacked
 from tablewright.llm.labelled import labelled_sample
 
 #: Rated rows that the model is fitted on at most.
@@ -58,39 +60,63 @@ class Ordinal:
         return float(weight @ self.weights[at])
 
 
-def fit(texts: list[str], grades: np.ndarray, levels: int, steps: int = STEPS, penalty: float = PENALTY) -> Ordinal:
-    """Adam on the penalised likelihood of cumulative links. Thresholds are a first one and positive gaps.
+Hashed = tuple[np.ndarray, np.ndarray]
+
+
+@dataclass
+class Design:
+    """Hashed texts end to end: buckets, values, where each text starts, and the text of each entry."""
+
+    flat: np.ndarray
+    value: np.ndarray
+    starts: np.ndarray
+    row_of: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[Hashed]) -> Design:
+        sizes = [len(a) for a, _ in rows]
+        return cls(np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows]), np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(rows)), sizes))
+
+
+def likelihood(theta: np.ndarray, x: Design, grades: np.ndarray, penalty: float = PENALTY) -> tuple[float, np.ndarray]:
+    """Mean log likelihood of cumulative links less the penalty on the weights, and its gradient.
+
+    ``theta`` holds the weights, the first threshold and the logs of the gaps between thresholds.
+    """
+    w, gaps = theta[:BUCKETS], np.exp(theta[BUCKETS + 1 :])
+    cut = theta[BUCKETS] + np.concatenate([[0], np.cumsum(gaps)])
+    n, levels = len(x.starts), len(cut)
+    score = np.add.reduceat(w[x.flat] * x.value, x.starts)
+    tail = np.hstack([np.ones((n, 1)), sigmoid(score[:, None] - cut), np.zeros((n, 1))])
+    i = np.arange(n)
+    upper, lower = tail[i, grades], tail[i, grades + 1]
+    p = np.maximum(upper - lower, 1e-12)
+    d_upper, d_lower = upper * (1 - upper) / p, lower * (1 - lower) / p
+    d_score = d_upper - d_lower
+    d_cut = np.zeros((n, levels + 2))
+    d_cut[i, grades] -= d_upper
+    d_cut[i, grades + 1] += d_lower
+    d_cut = d_cut[:, 1:-1].mean(0)
+    grad = np.zeros_like(theta)
+    grad[:BUCKETS] = np.bincount(x.flat, x.value * d_score[x.row_of], BUCKETS) / n - penalty * w
+    grad[BUCKETS] = d_cut.sum()
+    grad[BUCKETS + 1 :] = np.cumsum(d_cut[::-1])[::-1][1:] * gaps
+    return float(np.log(p).mean() - penalty * (w @ w) / 2), grad
+
+
+def fit(rows: list[Hashed], grades: np.ndarray, levels: int, steps: int = STEPS, penalty: float = PENALTY) -> Ordinal:
+    """Adam on the penalised likelihood of cumulative links of hashed texts. Thresholds are a first one and positive gaps.
 
     Without rows, the weights stay 0 and the thresholds split evenly. A grade that never occurs closes up to its neighbour.
     """
     thresholds = np.linspace(-1, 1, levels) if levels > 1 else np.zeros(1)
-    if not len(texts):
+    if not len(rows):
         return Ordinal(np.zeros(BUCKETS), thresholds)
-    rows = [hashed(t) for t in texts]
-    flat = np.concatenate([a for a, _ in rows])
-    value = np.concatenate([v for _, v in rows])
-    starts = np.concatenate([[0], np.cumsum([len(a) for a, _ in rows])[:-1]])
-    row_of = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
+    x = Design.of(rows)
     theta = np.concatenate([np.zeros(BUCKETS), thresholds[:1], np.log(np.diff(thresholds))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        w, gaps = theta[:BUCKETS], np.exp(theta[BUCKETS + 1 :])
-        cut = theta[BUCKETS] + np.concatenate([[0], np.cumsum(gaps)])
-        score = np.add.reduceat(w[flat] * value, starts)
-        tail = np.hstack([np.ones((len(rows), 1)), sigmoid(score[:, None] - cut), np.zeros((len(rows), 1))])
-        i = np.arange(len(rows))
-        upper, lower = tail[i, grades], tail[i, grades + 1]
-        p = np.maximum(upper - lower, 1e-12)
-        d_upper, d_lower = upper * (1 - upper) / p, lower * (1 - lower) / p
-        d_score = d_upper - d_lower
-        d_cut = np.zeros((len(rows), levels + 2))
-        d_cut[i, grades] -= d_upper
-        d_cut[i, grades + 1] += d_lower
-        d_cut = d_cut[:, 1:-1].mean(0)
-        grad = np.zeros_like(theta)
-        grad[:BUCKETS] = np.bincount(flat, value * d_score[row_of], BUCKETS) / len(rows) - penalty * w
-        grad[BUCKETS] = d_cut.sum()
-        grad[BUCKETS + 1 :] = np.cumsum(d_cut[::-1])[::-1][1:] * gaps
+        _, grad = likelihood(theta, x, grades, penalty)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         theta[BUCKETS + 1 :] = np.maximum(theta[BUCKETS + 1 :], -6.0)
@@ -98,20 +124,31 @@ def fit(texts: list[str], grades: np.ndarray, levels: int, steps: int = STEPS, p
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, grade: Column, levels: int, sample_rows: int = SAMPLE_ROWS) -> Ordinal:
-    """Fits on at most ``sample_rows`` rated documents; ``grade`` is 0 to ``levels``."""
-    sample = labelled_sample(docs, labels, grade, sample_rows)
-    texts: list[str] = []
+    """Fits on at most ``sample_rows`` rated documents; ``grade`` is 0 to ``levels``.
+
+    Texts are hashed where they lie; the driver gets at most ``BUCKETS`` numbers of a text, however long that is.
+    """
+
+    @F.pandas_udf("at array<int>, weight array<float>")
+    def hash_texts(texts: pd.Series) -> pd.DataFrame:
+        pairs = [hashed(t) for t in texts]
+        return pd.DataFrame({"at": [a.astype(np.int32) for a, _ in pairs], "weight": [w.astype(np.float32) for _, w in pairs]})
+
+    sample = labelled_sample(docs, labels, grade, sample_rows).select(hash_texts("text").alias("h"), "grade")
+    rows: list[Hashed] = []
     grades: list[int] = []
     for row in sample.toLocalIterator():
-        texts.append(row.text)
+        rows.append((np.array(row.h["at"], np.int32), np.array(row.h["weight"], np.float32)))
         grades.append(min(max(row.grade, 0), levels))
-    return fit(texts, np.array(grades, dtype=int), levels)
+    return fit(rows, np.array(grades, dtype=int), levels)
 
 
 def score_documents(docs: DataFrame, model: Ordinal, keep_grade: int = KEEP_GRADE, keep_tail: float = KEEP_TAIL) -> DataFrame:
     """``docs`` with expected_grade, tail (P(grade >= keep_grade)) and quality_kept (tail >= keep_tail).
 
-    Null and empty texts are scored as the empty text. All columns of ``docs`` stay, repeated rows too.
+    Null and empty texts are scored as the empty text, very long ones whole. All columns and rows of ``docs`` stay, repeated
+    rows too, and an empty table gives none. Where ``docs`` has a column named like an output, that output has an underscore
+    after its name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -122,8 +159,8 @@ def score_documents(docs: DataFrame, model: Ordinal, keep_grade: int = KEEP_GRAD
             tails = own.tails(np.array([own.score(t or "") for t in texts], dtype=float))
             yield pd.DataFrame({"expected_grade": tails.sum(1), "tail": tails[:, keep_grade - 1]})
 
-    out = docs.withColumn("ordinal_score", scored(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return out.withColumns({"expected_grade": F.col("ordinal_score.expected_grade"), "tail": F.col("ordinal_score.tail"), "quality_kept": F.col("ordinal_score.tail") >= keep_tail}).drop("ordinal_score")
+    out = packed(docs, scored(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("scored"))
+    return unpacked(out, docs.columns, expected_grade=F.col("scored.expected_grade"), tail=F.col("scored.tail"), quality_kept=F.col("scored.tail") >= keep_tail)
 
 
 def rating() -> Column:
@@ -132,6 +169,7 @@ def rating() -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` scored by a model of the labels' rating; see ``score_documents``. Without labels every document is kept."""
     return score_documents(docs, fit_on(docs, labels, rating(), 2))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablewright.llm.columns import own, small, unpacked
 from tablewright.plans.scratch import Scratch
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -36,6 +37,8 @@ SETTLED = 1e-9
 #: all rows. So a group of any size has an estimate, and a rare one is judged mostly by its language.
 PRIOR_ROWS = 50
 BINS_A_LOG, LAST_BIN = 64, 4095
+#: Estimates (about 250 bytes each) that are broadcast at most; more are joined by a shuffle.
+GROUPS = 50_000
 X = [f"x{i}" for i in range(1, STATISTICS + 1)]
 PAIRS = [(i, j) for i in range(1, STATISTICS + 1) for j in range(1, i + 1)]
 
@@ -45,13 +48,17 @@ def _joined(hashes: str, ahead: int) -> Column:
     return F.transform(hashes, lambda x, i: F.xxhash64(x, F.get(F.col(hashes), i + ahead)))
 
 
-def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of whole texts."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def counts(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
+    """Columns ``keep`` (which may not be named like what follows) with the ``COUNTS`` of whole texts; null is empty."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     first = docs.select(*keep, F.filter(F.split(text, SPACE), lambda w: w != "").alias("_w"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), lines.alias("_lines"))
+    kept = first.columns[: len(keep)]
     out = first.select(
-        *keep, "n_symbols", F.size("_w").cast("long").alias("n_words"), F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        *kept, "n_symbols", F.size("_w").cast("long").alias("n_words"), F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.transform("_w", lambda w: F.xxhash64(w)).alias("_h1"),
     )
     # A window's hash by doubling: 2 words from 1 and 1, 4 from 2 and 2, 8 from 4 and 4.
@@ -115,7 +122,8 @@ def mcd_estimates(rows: DataFrame, scratch: Scratch, steps: int | None = None) -
     """(grp, n, m1.., l11..) of each group; ``rows`` has grp and x1 to x5.
 
     A start of a group takes steps until its determinant stops falling, which is when its subset stops changing; as it falls
-    in every step before, this ends. ``steps`` bounds them all the same, if given.
+    in every step before, this ends. ``steps`` bounds them all the same, if given. Tables of a row per group are written and
+    counted, and go to the rows by broadcast unless there are too many groups; so no rows are dealt by group.
     """
     quarters = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"p{x}") for x in X]
     shape = scratch.table(rows.groupBy("grp").agg(F.count("*").alias("n"), *quarters), "shape")
@@ -123,18 +131,18 @@ def mcd_estimates(rows: DataFrame, scratch: Scratch, steps: int | None = None) -
     # First start: medians and spreads between quartiles. Second start: mean and covariance of all rows.
     spread = lambda i, x: F.greatest(F.pow((F.col(f"p{x}")[2] - F.col(f"p{x}")[0]) / 1.349, 2), F.lit(FLOORS[i - 1] ** 2))
     robust = shape.select("grp", F.lit(0).alias("start"), F.col("n").alias("rows"), *[F.col(f"p{x}")[1].alias(f"m{i}") for i, x in enumerate(X, 1)], *[(spread(i, X[i - 1]) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS])
-    centred = rows.join(shape.select("grp", *middle), "grp")
-    classic = _moments(centred, ["grp"], 1.0).withColumn("start", F.lit(1))
+    few = small(shape, GROUPS)
+    classic = _moments(rows.join(few.select("grp", *middle), "grp"), ["grp"], 1.0).withColumn("start", F.lit(1))
+    wanted = few.select("grp", F.ceil(F.col("n") * SHARE).alias("wanted"))
     now = scratch.table(with_cholesky(robust.unionByName(classic.select(robust.columns))), "start")
-    wanted = shape.select("grp", F.ceil(F.col("n") * SHARE).alias("wanted"))
     done, step = [], 0
     while steps is None or step < steps:
-        near = with_distance(rows.join(now.drop("rows", "log_det"), "grp")).withColumn("bin", F.least(F.lit(LAST_BIN), F.floor(F.log1p("d2") * BINS_A_LOG)).cast("int"))
+        near = with_distance(rows.join(small(now, GROUPS).drop("rows", "log_det"), "grp")).withColumn("bin", F.least(F.lit(LAST_BIN), F.floor(F.log1p("d2") * BINS_A_LOG)).cast("int"))
         # Counted by bin before a group's bins meet: what a window then gathers is bounded by the number of bins.
         bins = scratch.table(near.groupBy("grp", "start", "bin").agg(F.count("*").alias("rows")), "bins")
         running = bins.withColumn("so_far", F.sum("rows").over(Window.partitionBy("grp", "start").orderBy("bin"))).join(wanted, "grp")
-        edge = running.filter("so_far >= wanted").groupBy("grp", "start").agg(F.min("bin").alias("edge"))
-        inner = near.join(edge, ["grp", "start"]).filter(F.col("bin") <= F.col("edge"))
+        edge = scratch.table(running.filter("so_far >= wanted").groupBy("grp", "start").agg(F.min("bin").alias("edge")), "edge")
+        inner = near.join(small(edge, GROUPS), ["grp", "start"]).filter(F.col("bin") <= F.col("edge"))
         centres = [F.col(f"m{i}").alias(f"c{i}") for i in range(1, STATISTICS + 1)]
         moved = with_cholesky(_moments(inner.select("grp", "start", *X, *centres), ["grp", "start"], CONSISTENCY))
         # The starts themselves are no subsets, so their determinants do not count.
@@ -144,7 +152,9 @@ def mcd_estimates(rows: DataFrame, scratch: Scratch, steps: int | None = None) -
         values = [c for c in moved.columns if c not in ("grp", "start")]
         both = scratch.table(met.select("grp", "start", *[F.when(better, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in values], still.alias("still")), f"step{step}")
         done.append(both.filter("still").drop("still"))
-        now, step = both.filter("NOT still").drop("still"), step + 1
+        # Settled starts are left out of the next step.
+        now, step = scratch.table(both.filter("NOT still").drop("still"), f"open{step}"), step + 1
+        scratch.drop(bins, edge)
         if now.isEmpty():
             break
     for part in done:
@@ -184,25 +194,29 @@ def group_estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def judge(docs: DataFrame, scratch: Scratch, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (all by default) with the five counts, base_failed, distance and quality_ok.
+    """Columns ``keep`` of ``docs`` (all by default) with the ``COUNTS``, base_failed, distance and quality_ok.
 
-    ``docs`` has text, lang and source. Null text counts as empty and fails the base rules; null lang or source is a
-    value of its own. Rows that fail the base rules have no distance, all others have one, however few their group's rows.
-    Repeated rows each count. An empty table gives an empty result.
+    ``docs`` has text, lang and source. Null text counts as empty and fails the base rules, as does an empty one; very long
+    texts are counted whole. Null lang or source is a value of its own. Rows that fail the base rules have no
+    distance, all others have one, however few their group's rows. Repeated rows each count. An empty table gives an empty
+    result. Where a kept column is named like an output, that output has an underscore after its name.
     """
-    keep = keep or docs.columns
-    extra = [c for c in ("lang", "source") if c not in keep]
-    counted = counts(docs, keep + extra).withColumns({"base_failed": base_failed(), "grp": F.to_json(F.struct(F.col("lang").cast("string").alias("l"), F.col("source").cast("string").alias("s"))), "lang_grp": F.to_json(F.struct(F.col("lang").cast("string").alias("l")))}).drop(*extra)
+    columns = keep or docs.columns
+    lang, source = F.col("lang").cast("string").alias("l"), F.col("source").cast("string").alias("s")
+    kept = F.struct(*[c for c, n in zip(own(docs), docs.columns) if n in columns]).alias("row")
+    rows = docs.select(kept, "text", F.to_json(F.struct(lang, source)).alias("grp"), F.to_json(F.struct(lang)).alias("lang_grp"))
+    counted = counts(rows, F.col("text"), F.col("row"), F.col("grp"), F.col("lang_grp")).withColumn("failed", base_failed())
     counted = scratch.table(counted.withColumns(statistics()), "counted")
-    estimates = group_estimates(counted.filter("NOT base_failed").select("lang_grp", "grp", *X), scratch)
+    estimates = group_estimates(counted.filter("NOT failed").select("lang_grp", "grp", *X), scratch)
     # A row that failed needs no estimate and stays out of the join.
-    passed = with_distance(counted.filter("NOT base_failed").join(estimates, "grp", "left"))
-    out = passed.select(*counted.columns, "d2").unionByName(counted.filter("base_failed").withColumn("d2", F.lit(None).cast("double")))
-    return out.withColumns({"distance": F.sqrt("d2"), "quality_ok": ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))}).drop("d2", "grp", "lang_grp", *X)
+    passed = with_distance(counted.filter("NOT failed").join(small(estimates, GROUPS), "grp", "left"))
+    out = passed.select(*counted.columns, "d2").unionByName(counted.filter("failed").withColumn("d2", F.lit(None).cast("double")))
+    verdict = ~F.col("failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
+    return unpacked(out, columns, **{c: F.col(c) for c in COUNTS}, base_failed=F.col("failed"), distance=F.sqrt("d2"), quality_ok=verdict)
 
 
 def op5_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every row of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = judge(docs, Scratch(spark, "rules"), ["doc_id"])
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("quality_ok").alias("kept"), "distance")
+    return out.select("doc_id", *COUNTS, "base_failed", F.col("quality_ok").alias("kept"), "distance")

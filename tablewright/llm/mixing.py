@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablewright.llm.columns import free_name, own, packed, small, unpacked
 from tablewright.plans.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: A source table of up to so many rows is broadcast; a larger one is joined by a shuffle.
-BROADCAST_SOURCES = 10_000
+#: Sources that are broadcast at most; more are joined by a shuffle.
+SOURCES = 100_000
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
@@ -72,24 +73,26 @@ def with_copies(docs: DataFrame, scratch: Scratch, seed: str = "mix", weights: S
     """``docs`` with mix_size, mix_source_size, mix_target and mix_copies.
 
     Needs doc_id, text and source; keeps all other columns. Null and empty texts have size 0 and are emitted as their
-    source's rate says. Repeated rows draw alike. Null is a source of its own.
+    source's rate says; very long texts are counted whole. Repeated rows draw alike. Null is a source of its own. An empty
+    table gives no rows. Where ``docs`` has a column named like an output, that output has an underscore after its name.
     """
-    sized = docs.withColumn("mix_size", word_count(F.col("text")))
-    sizes = sized.groupBy("source").agg(F.sum("mix_size").alias("source_size"))
-    targets = source_targets(sizes, scratch, weights, share, cap).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    targets = scratch.table(targets, "targets")
-    if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
-    once_more = (draw(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate)).cast("int")
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
-    return joined.withColumn("mix_copies", (F.floor(rate) + once_more).cast("int"))
+    draws = draw(F.col("doc_id"), F.col("text"), seed)
+    sized = packed(docs, F.col("source").alias("source"), word_count(F.col("text")).alias("size"), draws.alias("draw"))
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sizes, scratch, weights, share, cap).select(F.col("source").alias("mix_source"), "source_size", "target")
+    targets = small(scratch.table(targets, "targets"), SOURCES)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    once_more = (F.col("draw") < rate - F.floor(rate)).cast("int")
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("mix_source")), "left")
+    return unpacked(joined, docs.columns, mix_size=F.col("size"), mix_source_size=F.col("source_size"), mix_target=F.col("target"), mix_copies=(F.floor(rate) + once_more).cast("int"))
 
 
 def mix(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    chosen = with_copies(docs, scratch, **options).filter("mix_copies > 0")
-    return chosen.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = with_copies(docs, scratch, **options)
+    copies = F.col(free_name("mix_copies", docs.columns))
+    times = F.explode(F.sequence(F.lit(1), copies)).alias(free_name("mix_copy", docs.columns))
+    return chosen.filter(copies > 0).select(*own(docs), times).select(*own(docs))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

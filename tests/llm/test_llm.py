@@ -21,10 +21,27 @@ SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def corpus(spark, texts, lang="en", source="s"):
-    """Documents with an extra column whose name clashes with inner ones."""
+    """Documents with an extra column."""
     return spark.createDataFrame([(i, t, lang, source, None, "v") for i, t in texts], DOCS)
 
 
+#: Names that operators use inside or give to their outputs.
+CLASHES = ["row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed", "distance", "quality_ok", "grp", "lang_grp", "d2", "x1", "m1", "l11", "z1", "scored", "tail", "expected_grade", "quality_kept", "toxicity", "toxic_spans", "crf", "mix_size", "mix_source", "mix_source_size", "mix_target", "mix_copies", "mix_copy", "source_size", "target", "size", "draw", "text_md5", "class", "node", "n", "component", "kept", "value.dotted"]
+
+
+def clashing(df):
+    """``df`` with a column of each of these names, which holds the name."""
+    return df.select("*", *[F.lit(c).alias(c) for c in CLASHES])
+
+
+def unclashed(df, before):
+    """Checks that the clashing columns came through; returns the outputs, named without their underscores."""
+    assert df.columns[: len(before)] == before
+    got = df.select(*[F.col(f"`{c}`") for c in CLASHES]).distinct().collect()
+    assert [tuple(r) for r in got] in ([], [tuple(CLASHES)])
+    return df.select("doc_id", *[F.col(c).alias(c.rstrip("_")) for c in df.columns[len(before) :]])
+
+
 @pytest.fixture
 def scratch(spark):
     return Scratch(spark, "test")
@@ -194,6 +211,55 @@ def test_ordinal_classifier(spark):
     assert all(0 <= x.tail <= x.expected_grade <= 2 for x in out.values()) and out[900].tail == out[901].tail
 
 
+def plain_likelihood(theta, rows, grades, penalty):
+    """Text by text, as the formula says."""
+    w, first, gaps = theta[: quality_classifier.BUCKETS], theta[quality_classifier.BUCKETS], np.exp(theta[quality_classifier.BUCKETS + 1 :])
+    cuts = [first + sum(gaps[:k]) for k in range(len(gaps) + 1)]
+    total = 0.0
+    for (at, weight), g in zip(rows, grades):
+        z = sum(w[a] * x for a, x in zip(at, weight))
+        above = [1.0, *(1 / (1 + np.exp(c - z)) for c in cuts), 0.0]
+        total += np.log(above[g] - above[g + 1])
+    return total / len(rows) - penalty / 2 * sum(w**2)
+
+
+def test_ordinal_likelihood_and_gradient():
+    r = np.random.default_rng(5)
+    texts = ["", "a b c", "b b b a", "good text", "é 🙂 x"]
+    rows, grades = [quality_classifier.hashed(t) for t in texts], np.array([0, 1, 2, 2, 1])
+    theta = r.normal(size=quality_classifier.BUCKETS + 2) * 0.3
+    value, grad = quality_classifier.likelihood(theta, quality_classifier.Design.of(rows), grades, 0.01)
+    assert np.isclose(value, plain_likelihood(theta, rows, grades, 0.01))
+    for i in [*rows[1][0][:3], *rows[4][0][:2], quality_classifier.BUCKETS, quality_classifier.BUCKETS + 1]:
+        e = np.zeros_like(theta)
+        e[i] = 1e-5
+        slope = (plain_likelihood(theta + e, rows, grades, 0.01) - plain_likelihood(theta - e, rows, grades, 0.01)) / 2e-5
+        assert np.isclose(grad[i], slope, atol=1e-6)
+
+
+def test_ordinal_scores_by_hand(spark):
+    model = quality_classifier.fit([quality_classifier.hashed(t) for t in ["x y", "z w"]], np.array([0, 2]), 2, 50)
+    docs = clashing(corpus(spark, [(1, "x y"), (2, "z w z"), (3, None), (3, None), (None, "")]))
+    out = unclashed(quality_classifier.score_documents(docs, model), docs.columns).collect()
+    assert len(out) == 5
+    for r in out:
+        at, weight = quality_classifier.hashed({1: "x y", 2: "z w z"}.get(r.doc_id, ""))
+        z = sum(model.weights[a] * v for a, v in zip(at, weight))
+        tails = [1 / (1 + np.exp(c - z)) for c in model.thresholds]
+        assert np.isclose(r.tail, tails[0]) and np.isclose(r.expected_grade, sum(tails)) and r.quality_kept == (tails[0] >= 0.5)
+
+
+def test_labelled_sample_is_bounded(spark):
+    from tablewright.llm.labelled import labelled_sample
+
+    docs = corpus(spark, [(i, "x" * 10) for i in range(20)] + [(20, "y" * 10_000)])
+    labels = spark.createDataFrame([(i, 1) for i in range(21)], "doc_id long, toxic int")
+    assert labelled_sample(docs, labels, F.col("toxic"), 5).count() == 5
+    some = labelled_sample(docs, labels, F.col("toxic"), 100, chars=85).collect()
+    assert sum(len(r.text) for r in some) <= 85
+    assert labelled_sample(docs.limit(0), labels, F.col("toxic"), 5).count() == 0
+
+
 def test_classifier_without_labels(spark):
     docs = corpus(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -243,7 +309,88 @@ def test_outliers(spark, scratch):
     docs = corpus(spark, clean + odd).unionByName(corpus(spark, [(2000, " ".join(w + "$$$$" for w in words(60, 1)))], None, None))
     out = {x.doc_id: x for x in quality_rules.judge(docs, scratch, ["doc_id"]).collect()}
     assert all(out[i].quality_ok for i, _ in clean) and not any(out[i].quality_ok for i, _ in odd)
-    assert out[2000].quality_ok and out[2000].distance is None  # its group is too small to judge
+    assert not out[2000].quality_ok and out[2000].distance > 5  # alone in its group, judged by the estimate of all rows
+
+
+def plain_verdict(docs):
+    """Counting rules and MCD with exact quantiles, group by group; (kept, squared distance or None) by id."""
+    x, base = {}, {}
+    for i, t, lang, source in docs:
+        n, chars, symbols, lines, repeat = brute_counts(t)
+        base[i] = n < 20 or 100 * repeat > 30 * n
+        if not base[i]:
+            x[i] = np.array([np.log1p(n), np.log(chars / n), np.log1p(100 * symbols / chars), np.log1p(100 * lines / n), np.log1p(10 * repeat / n)])
+    floor = np.array(quality_rules.FLOORS) ** 2
+
+    def moments(v, factor):
+        cov = np.cov(v.T, bias=True).reshape(5, 5) * factor
+        np.fill_diagonal(cov, np.maximum(cov.diagonal(), floor))
+        return v.mean(0), cov
+
+    def lower(cov):
+        low = np.zeros((5, 5))
+        for j in range(5):
+            low[j, j] = np.sqrt(max(cov[j, j] - low[j, :j] @ low[j, :j], 1e-9))
+            for k in range(j + 1, 5):
+                low[k, j] = (cov[k, j] - low[k, :j] @ low[j, :j]) / low[j, j]
+        return low
+
+    def squared(v, mean, cov):
+        return (np.linalg.solve(lower(cov), (v - mean).T) ** 2).sum(0)
+
+    def mcd(v):
+        q = np.quantile(v, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+        best = None
+        for mean, cov in ((q[1], np.diag(np.maximum(((q[2] - q[0]) / 1.349) ** 2, floor))), moments(v, 1.0)):
+            last = None
+            while True:
+                bins = np.minimum(quality_rules.LAST_BIN, np.floor(np.log1p(squared(v, mean, cov)) * quality_rules.BINS_A_LOG))
+                inner = v[bins <= np.sort(bins)[int(np.ceil(len(v) * quality_rules.SHARE)) - 1]]
+                new = moments(inner, quality_rules.CONSISTENCY)
+                det = 2 * np.log(np.diag(lower(new[1]))).sum()
+                if last is not None and det >= last[0]:
+                    break
+                last, (mean, cov) = (det, *new), new
+            best = last if best is None or last[0] < best[0] else best
+        return best[1], best[2], len(v)
+
+    def shrink(own, up):
+        part = own[2] / (own[2] + quality_rules.PRIOR_ROWS)
+        return own[0] * part + up[0] * (1 - part), own[1] * part + up[1] * (1 - part), own[2]
+
+    of = lambda test: mcd(np.array([x[i] for i, _, lang, source in docs if i in x and test(lang, source)]))
+    top = of(lambda *_: True)
+    out = {}
+    for i, _, lang, source in docs:
+        if base[i]:
+            out[i] = False, None
+            continue
+        by_lang = shrink(of(lambda a, b: a == lang), top)
+        own = shrink(of(lambda a, b: (a, b) == (lang, source)), by_lang)
+        d2 = squared(x[i][None], own[0], own[1])[0]
+        out[i] = d2 <= quality_rules.CUTOFF, d2
+    return out
+
+
+def test_verdicts_agree_with_plain_estimates(spark, scratch):
+    r, docs = random.Random(11), []
+    for i in range(160):
+        w = words(r.randint(10, 150), 300 + i)
+        if i % 9 == 0:
+            w = [x + "#" * r.randint(0, 2) for x in w]
+        docs.append((i, " ".join(w) + "\nq z\nq z" * (i % 13 == 0), ["en", "de", None][i % 3 if i % 5 else 0], ["a", "b", "rare"][min(i % 4, 2) if i > 20 else 0]))
+    docs += [(900, None, "en", "a"), (901, "", None, None), (902, "w " * 30_000, "en", "a")]
+    df = clashing(spark.createDataFrame([(i, t, a, b, None, "v") for i, t, a, b in docs], DOCS))
+    got = {x.doc_id: x for x in unclashed(quality_rules.judge(df, scratch), df.columns).collect()}
+    want = plain_verdict(docs)
+    assert len(got) == len(docs)
+    for i, (kept, d2) in want.items():
+        assert (got[i].distance is None) == (d2 is None)
+        if d2 is None:
+            assert got[i].base_failed and not got[i].quality_ok
+        else:
+            assert np.isclose(got[i].distance**2, d2, rtol=0.02) and (got[i].quality_ok == kept or abs(d2 - quality_rules.CUTOFF) < 0.5)
+    assert {kept for kept, _ in want.values()} == {True, False}
 
 
 def test_small_groups_are_judged(spark, scratch):
@@ -438,6 +585,10 @@ def test_mixing(spark, scratch):
     for x in out:
         assert x.mix_source_size == sizes[x.source] and abs(x.mix_target - want[x.source]) < 1e-6
     assert all(abs(taken[s] - want[s]) <= 0.1 * want[s] + 60 for s in want)
+    odd = clashing(df)
+    same = {(x.doc_id, x.mix_copies, x.mix_size) for x in unclashed(mixing.with_copies(odd, scratch), odd.columns).collect()}
+    assert same == {(x.doc_id, x.mix_copies, x.mix_size) for x in out}
+    assert mixing.mix(odd, scratch).columns == odd.columns
     again = mixing.mix(df.repartition(7), scratch)
     assert again.columns == df.columns and again.count() == sum(x.mix_copies for x in out)
     assert mixing.mix(df.limit(0), scratch).count() == 0

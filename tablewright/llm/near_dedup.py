@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.columns import small
 from tablewright.llm.graph import connected_components
 from tablewright.plans.scratch import Scratch
 
@@ -235,7 +236,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     pairs = clusters.unionByName(apart)
     inside = pairs.select("node").union(pairs.select("hub")).distinct()
     wanted = scratch.table(inside.join(classes, "node").select("node", "class", "first_id"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select(F.col("first_id").alias("doc_id"), "node", "class"), "doc_id")
+    # The ids go to the texts while they are few enough to broadcast; beyond that, texts and ids meet in a shuffle.
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small(wanted).select(F.col("first_id").alias("doc_id"), "node", "class"), "doc_id")
     again = texts.select("node", "class", words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words")).filter(F.md5(F.array_join("words", " ")) == F.col("class"))
     sets = scratch.table(again.select("node", shingle_set(F.col("words"), width).alias("shingles")).dropDuplicates(["node"]), "sets")
     links = scratch.table(_links(pairs, sets, percent), "links")

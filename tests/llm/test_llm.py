@@ -513,12 +513,73 @@ def test_marginals_over_gaps_equal_all_tokens():
         text = [r.choice(["bad", "worse", "fine", "so", "and"]) for _ in range(r.randint(1, 40))]
         weights = [chain.weights[w] for w in text]
         emit = np.array([[chain.bias + (w or 0.0) for w in weights]])
-        full, _ = toxicity._forward_backward(emit, chain.moves, np.array([len(text)]))
+        full, _, _ = toxicity._forward_backward(emit, chain.moves, np.array([len(text)]))
         at = [i for i, w in enumerate(weights) if w is not None]
         if at:
             assert np.allclose(chain.marginals(at, [weights[i] for i in at], len(text)), full[0, at], atol=1e-9)
 
 
+def test_likelihood_and_gradient_over_all_labellings():
+    """Every labelling of short texts is summed up; segments without features count as often as they occur."""
+    r = np.random.default_rng(2)
+    names, marks = ["^bad", "bad", "worse"], {"bad", "^bad"}
+    documents = [([["bad", "^bad"], [], ["worse"]], True), ([[], []], False), ([[], []], False), ([[]], False), ([["worse"], ["^bad"], [], []], True)]
+    theta = r.normal(size=len(names) + 5)
+
+    def plain(th):
+        w, bias, moves, total = dict(zip(names, th)), th[3], th[-4:].reshape(2, 2), 0.0
+        for tokens, toxic in documents:
+            emit = [bias + sum(w[f] for f in fs) for fs in tokens]
+            score = lambda y, emit=emit: sum(e * s for e, s in zip(emit, y)) + sum(moves[a, b] for a, b in zip(y, y[1:]))
+            truth = [int(toxic and any(f in marks for f in fs)) for fs in tokens]
+            total += score(truth) - np.log(sum(np.exp(score(y)) for y in itertools.product((0, 1), repeat=len(tokens))))
+        return (total - 0.01 / 2 * (th @ th)) / len(documents)
+
+    segments = toxicity.Segments(names, documents, marks)
+    assert len(segments.length) == 4 and sorted(segments.weight) == [1, 1, 1, 2]
+    value, grad = segments.likelihood(theta, 0.01)
+    assert np.isclose(value, plain(theta))
+    for i in range(len(theta)):
+        e = np.zeros_like(theta)
+        e[i] = 1e-5
+        assert np.isclose(grad[i], (plain(theta + e) - plain(theta - e)) / 2e-5, atol=1e-6)
+
+
+def test_document_score_by_all_labellings():
+    """A document's score is the odds that not every token is clean, tokens taken one by one."""
+    chain = toxicity.Chain({"bad": 2.0, "worse": 1.0}, -1.5, np.array([[0.5, -0.4], [-0.2, 0.6]]))
+    words = ["so", "bad", "a", "worse", "b"]
+    weight = {(y, t): np.exp((chain.bias + chain.of_feature.get(words[t], 0.0)) * y) for y in (0, 1) for t in range(5)}
+    odds = {y: np.prod([weight[s, t] for t, s in enumerate(y)]) * np.exp(sum(chain.moves[a, b] for a, b in zip(y, y[1:]))) for y in itertools.product((0, 1), repeat=5)}
+    marginal = lambda t: sum(o for y, o in odds.items() if y[t]) / sum(odds.values())
+    score, _ = chain.tag(" ".join(words))
+    assert np.isclose(score, 1 - (1 - chain.neutral) * (1 - marginal(1)) * (1 - marginal(3)))
+
+
+def test_offsets_where_lower_case_is_longer():
+    chain = toxicity.Chain({"vile": 20.0, "stra\u00dfe": 20.0}, -3.0)
+    for text in ("\u0130stanbul abc vile day", "e\u0301 \u0130\u0130 vile", "VILE \u0130", "vile\u0307 x", "STRA\u00dfE vile"):
+        _, spans = chain.tag(text)
+        assert spans and {text[a:b].lower() for a, b, _ in spans} <= {"vile", "stra\u00dfe"}
+    assert [text for text in ("\u0130stanbul abc vile day",) for a, b, _ in chain.tag(text)[1] if text[a:b] == "vile"]
+
+
+def test_only_near_copies_count_once():
+    base = words(60, 1)
+    near, far = [*base[:-1], "other"], [*base[:20], *words(40, 2)]
+    assert toxicity.without_copies([base, base, near, far, words(60, 3), ["a"], []]) == [0, 3, 4, 5, 6]
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit_on(docs, labels)
+    held = labels.filter(toxicity.fold(F.col("doc_id")) == 2)
+    got = toxicity.tag_documents(docs.join(held, "doc_id"), model).select("toxic", "toxicity").collect()
+    toxic, clean = [r.toxicity >= toxicity.THRESHOLD for r in got if r.toxic], [r.toxicity >= toxicity.THRESHOLD for r in got if not r.toxic]
+    assert len(toxic) > 100 and np.mean(toxic) > 0.8 and np.mean(clean) < 0.02
+
+
 def test_toxic_spans(spark):
     r = random.Random(4)
     common = words(300, 8)
@@ -527,8 +588,10 @@ def test_toxic_spans(spark):
     labels = spark.createDataFrame([(i, int(y)) for i, y, _ in made], "doc_id long, toxic int")
     model = toxicity.fit_on(docs, labels)
     out = {x.doc_id: x for x in toxicity.tag_documents(docs, model).collect()}
-    held = [i for i, _, _ in made if out[i].doc_id % 1 == 0]
-    assert all((out[i].toxicity >= 0.3) == y for i, y, _ in made) and held
+    assert all((out[i].toxicity >= 0.3) == y for i, y, _ in made)
+    odd = clashing(docs.filter("doc_id >= 900"))
+    again = {x.doc_id: x for x in unclashed(toxicity.tag_documents(odd, model), odd.columns).collect()}
+    assert len(again) == 4 and all(x.toxicity == out[i].toxicity and x.toxic_spans == out[i].toxic_spans for i, x in again.items())
     assert [(s.start, s.end) for s in out[900].toxic_spans] == [(4, 8), (16, 24)] and out[900].value == "v"
     assert out[901].toxicity == out[902].toxicity < 0.1 and len(out[903].toxic_spans) == 3000 and out[903].toxicity <= 1
 

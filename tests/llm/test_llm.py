@@ -59,8 +59,11 @@ def test_warc(spark, scratch):
     pages = [(3, "http://a/ x", "hello"), (1, "http://b", "hello"), (2, None, None), (5, "u", ""), (4, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\né"), (6, "u", "x" * 200_000), (6, "u", "x" * 200_000), (None, "u", "hello"), (None, "u", "alone")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("record_id", F.lit("clash"))
     path = scratch.path("archive")
-    warc.write_deduplicated(df, path, scratch, records_per_archive=2)
+    assert warc.write_deduplicated(df, path, scratch, archive_bytes=16) == len(pages)
     read = warc.read_archives(spark, path, with_payload=True)
+    assert warc.all_sound(read, len(pages)).select("record_id").distinct().count() == len(pages)
+    with pytest.raises(ValueError, match="records were written"):
+        warc.all_sound(read, len(pages) + 1)
     assert all(r.digest_ok for r in read.filter("record_type = 'response'").collect())
     assert {bytes(r.payload).decode() for r in read.filter("page_id IN (1, 4)").collect()} == {"hello", pages[4][2]}
     out = warc.resolve_revisits(read, scratch).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
@@ -78,6 +81,31 @@ def test_warc_small_payloads_and_none(spark, scratch):
         assert rows(warc.read_archives(spark, path).select("page_id", "record_type")) == want
 
 
+def test_warc_archives_are_bounded(spark, scratch):
+    r = random.Random(8)
+    sizes = [r.choice([0, 1, 5, 60, 900, 5000]) for _ in range(300)] + [70_000]
+    df = spark.createDataFrame([(i, "u", "".join(r.choices("abc", k=n))) for i, n in enumerate(sizes)], "page_id long, url string, html string").repartition(3)
+    path = scratch.path("archive")
+    warc.write_deduplicated(df, path, scratch, archive_bytes=8_192)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).collect()
+    held = [[len(block.partition(b"\r\n\r\n")[2]) for _, block in warc.parse_records(warc.inflate(bytes(f.content)))] for f in files]
+    assert sum(map(len, held)) == len(sizes) and all(sum(h) <= 8_192 or len(h) == 1 for h in held) and len(held) < 200
+
+
+def test_warc_headers_and_cut_off_records(spark, scratch):
+    df = spark.createDataFrame([(2, "http://b/", "same"), (1, "http://a/", "same")], "page_id long, url string, html string").coalesce(1)
+    path = scratch.path("archive")
+    warc.write_deduplicated(df, path, scratch, date="2024-05-06T07:08:09Z")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).collect()
+    data = b"".join(warc.inflate(bytes(f.content)) for f in files)
+    heads = {h["x-page-id"]: h for h, _ in warc.parse_records(data)}
+    assert heads["2"]["warc-refers-to"] == heads["1"]["warc-record-id"] and heads["2"]["warc-refers-to-target-uri"] == "http://a/"
+    assert heads["2"]["warc-refers-to-date"] == heads["1"]["warc-date"] == "2024-05-06T07:08:09Z"
+    for cut in (len(data) - 8, len(data) // 2, 20):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(data[:cut]))
+
+
 # Near duplicates
 
 

@@ -689,18 +689,19 @@ def test_mixing(spark, scratch):
 
 
 def test_url_lists(spark, scratch):
-    entries = [("spam", "bad.org", 10, "add"), ("spam", "bad.org", 20, "remove"), ("spam", "bad.org", 30, "add"), ("adult", "x.bad.org", 15, "add"), ("spam", "org", 1, "add"), ("spam", None, 1, "add"), ("spam", "same.org", 5, "add"), ("spam", "same.org", 5, "remove"), ("spam", "host", 1, "add")]
+    entries = [("spam", "bad.org", 10, "add"), ("spam", "bad.org", 20, "remove"), ("spam", "bad.org", 30, "add"), ("adult", "x.bad.org", 15, "add"), ("spam", "org", 1, "add"), ("spam", None, 1, "add"), ("spam", "same.org", 5, "add"), ("spam", "same.org", 5, "remove"), ("spam", "host", 1, "add"), ("spam", "3.4", 1, "add"), ("spam", "1.2.3.4", 12, "add"), ("adult", "[2001:db8::1]", 1, "add")]
     e = spark.createDataFrame(entries, "list_name string, domain string, day int, action string")
-    urls = ["http://bad.org/a", "HTTPS://U:p@X.BAD.org.:80/?q", "http://good.org", "nonsense", None, "http://same.org", "http://host/x", "http://notbad.org"]
+    urls = ["http://bad.org/a", "HTTPS://U:p@X.BAD.org.:80/?q", "http://good.org", "nonsense", None, "http://same.org", "http://host/x", "http://notbad.org", "http://1.2.3.4:80/", "http://9.2.3.4/", "http://u@[2001:DB8::1]:8080/x", "http://a.b.c.d.bad.org/" + "p" * 100_000]
     captures = [(i * 100 + day, u, day) for i, u in enumerate(urls) for day in (9, 10, 19, 20, 30, 400)] + [(7, "http://bad.org", None)]
     df = spark.createDataFrame(captures, "page_id long, url string, fetch_day int").withColumn("lists", F.lit("clash"))
 
     def brute(u, day):
-        m = re.match(r"[a-z]+://(?:[^/?#@]*@)?([^/?#:]+)", (u or "").lower())
+        m = re.match(r"[a-z]+://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)", (u or "").lower())
         host, hits = m and m[1].removesuffix("."), set()
         if host and day is not None:
             parts = host.split(".")
-            for dom in [".".join(parts[k:]) for k in range(max(1, len(parts) - 1))]:
+            whole = host.startswith("[") or re.fullmatch(r"[0-9.]+", host)
+            for dom in [host] if whole else [".".join(parts[k:]) for k in range(max(1, len(parts) - 1))]:
                 for name in {"spam", "adult"}:
                     dated = sorted((d, a) for n, x, d, a in entries if n == name and x == dom and d <= day)
                     if dated and dated[-1][1] == "add":

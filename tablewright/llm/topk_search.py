@@ -3,9 +3,10 @@
 Inner product becomes a metric by one more coordinate: with M the largest norm, x' = (x, sqrt(M^2 - |x|^2)) and q' = (q, 0)
 give |q' - x'|^2 = |q|^2 + M^2 - 2 q.x, so the nearest are the highest scores. Vectors are keyed by their nearest pivot and
 their distance to it, sorted, and cut into annuli of bounded size. By the triangle inequality an annulus [lo, hi] of
-pivot p holds nothing nearer to q than |d(q, p) - [lo, hi]|. A first pass expands the annuli nearest to each query until
-they hold k vectors, which gives a bound on its k-th distance; the second reads every other annulus within that bound, and
-what lies beyond it is left unread. Scores are exact integers.
+pivot p holds nothing nearer to q than |d(q, p) - [lo, hi]|. A first pass reads the annuli on both sides of a query's place
+in the order of each of its nearest pivots, which bounds its k-th distance; the second goes outward from there as far
+as that bound, and what lies beyond it is left unread. Queries find annuli by cells of a pivot's distances, so only
+pairs that are read are formed. Scores are exact integers.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablewright.llm.columns import small
 from tablewright.plans.scratch import Scratch
 
 SCALE = 1024
-#: Pivots are the vectors with the smallest hash of their id: a bounded sample, and the only one.
-PIVOTS = 32
+#: Pivots are the vectors with the smallest hash of their id: a sample that grows with the root of their number, in these bounds.
+LEAST_PIVOTS, MOST_PIVOTS = 32, 1024
+#: Pivots beside whose annuli a query starts.
+NEAR_PIVOTS = 4
 #: Vectors in an annulus, and queries in a block.
 ANNULUS, QUERY_BLOCK = 512, 128
 LONG_MAX = 2**63 - 1
@@ -77,11 +81,12 @@ def best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
 class Index:
     """Annuli of all vectors: table blocks(block, pivot, lo, hi, n, ids, xs), the pivots, the widest vector and norm."""
 
-    def __init__(self, vectors: DataFrame, scratch: Scratch, pivots: int = PIVOTS, annulus: int = ANNULUS):
+    def __init__(self, vectors: DataFrame, scratch: Scratch, pivots: int | None = None, annulus: int = ANNULUS):
         self.scratch, self.annulus = scratch, annulus
         vectors = scratch.table(vectors, "vectors")
         shape = vectors.agg(F.max(F.size("x")).alias("width"), F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))).alias("top"), F.count("*").alias("n")).first()
         self.width, self.top, self.n = max(1, shape["width"] or 0), (shape["top"] or 0.0), shape["n"]
+        pivots = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(self.n) // 8))
         picked = vectors.select("vec_id", "x").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toPandas()
         self.pivots = lifted(matrix(picked.x, self.width), self.top)
         self.vectors = vectors
@@ -136,10 +141,36 @@ def _query_blocks(index: Index, queries: DataFrame) -> DataFrame:
     return index.scratch.table(dealt.mapInPandas(cut, "qids array<long>, qs binary").withColumn("qblock", F.monotonically_increasing_id()), "query-blocks")
 
 
+def _starts(index: Index, blocks: DataFrame) -> DataFrame:
+    """(qblock, pivot, at): the pivots nearest to a block's queries and its mean distance to each."""
+    width, centres = index.width, index.pivots
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                q = np.frombuffer(r.qs).reshape(-1, width)
+                d = distances(np.hstack([q, np.zeros((len(q), 1))]), centres).mean(0)
+                near = d.argsort()[:NEAR_PIVOTS]
+                yield pd.DataFrame({"qblock": r.qblock, "pivot": near.astype(np.int32), "at": d[near]})
+
+    return blocks.select("qblock", "qs").mapInPandas(run, "qblock long, pivot int, at double")
+
+
+def _beside(index: Index, meta: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(qblock, block): the annuli on both sides of each block of queries, by the order of its nearest pivots."""
+    asked = _starts(index, blocks).select("pivot", "at", "qblock", F.lit(None).cast("long").alias("block"))
+    rows = meta.select("pivot", F.col("lo").alias("at"), F.lit(None).cast("long").alias("qblock"), "block").unionByName(asked)
+    w = Window.partitionBy("pivot").orderBy("at", F.col("qblock").isNotNull())
+    before = F.last("block", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("block", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    sides = rows.withColumns({"before": before, "after": after}).filter("qblock IS NOT NULL")
+    return sides.select("qblock", F.explode(F.array_compact(F.array("before", "after"))).alias("block")).distinct()
+
+
 def _reaches(index: Index, blocks: DataFrame) -> DataFrame:
     """(qblock, pivot, near, far): for each pivot, least and greatest distance of a block's queries to it.
 
-    near and far are widened by each query's own bound where there is one, so one interval test serves the block.
+    near and far are widened by each query's own bound, so one interval test serves the block.
     """
     width, centres = index.width, index.pivots
 
@@ -156,6 +187,26 @@ def _reaches(index: Index, blocks: DataFrame) -> DataFrame:
     return blocks.mapInPandas(run, "qblock long, pivot int, near double, far double")
 
 
+def _within(index: Index, meta: DataFrame, bounded: DataFrame) -> DataFrame:
+    """(qblock, block): every annulus that meets a block's interval about its pivot.
+
+    A pivot's distances are cut into as many cells as it has annuli. Intervals and annuli meet by cell, each pair in the
+    first cell that both have, so what is joined is what is read.
+    """
+    spans = meta.groupBy("pivot").agg(F.min("lo").alias("base"), F.max("hi").alias("top"), F.count("*").alias("cells"))
+    spans = small(index.scratch.table(spans, "spans"), MOST_PIVOTS)
+    width = F.greatest((F.col("top") - F.col("base")) / F.col("cells"), F.lit(1e-9))
+    cell = lambda x: F.least(F.col("cells") - 1, F.greatest(F.lit(0), F.floor((x - F.col("base")) / width))).cast("long")
+    spread = lambda df, a, b, first: df.withColumn(first, cell(F.col(a))).withColumn("cell", F.explode(F.sequence(F.col(first), cell(F.col(b)))))
+    reach = _reaches(index, bounded).join(spans, "pivot").filter("far >= base AND near <= top")
+    # An unbounded interval is as wide as its pivot's annuli.
+    reach = reach.withColumns({"near": F.greatest("near", "base"), "far": F.least("far", "top")})
+    asked = spread(reach, "near", "far", "q_first").select("qblock", "pivot", "cell", "near", "far", "q_first")
+    there = spread(meta.join(spans, "pivot"), "lo", "hi", "a_first").select("block", "pivot", "cell", "lo", "hi", "a_first")
+    met = asked.join(there, ["pivot", "cell"]).filter("cell = greatest(q_first, a_first) AND lo <= far AND hi >= near")
+    return met.select("qblock", "block")
+
+
 def _scored(index: Index, pairs: DataFrame, query_blocks: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score): for each query of the pairs' blocks, the k best that each task meets."""
     width = index.width
@@ -189,43 +240,36 @@ def _merged(rows: DataFrame, k: int) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def top_k(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 10, pivots: int = PIVOTS, annulus: int = ANNULUS) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row where ``is_query`` holds, its k highest inner products.
-
-    ``vectors`` has vec_id and embedding; other columns are ignored. All rows but those with the query's own id are
-    candidates. Ties go to the smaller vec_id; repeated candidates are listed as often as they occur. Of repeated ids
-    that are queries, the least vector asks. Vectors of different length are compared over the shorter one. An empty table
-    gives no rows.
-    """
-    clean = integers(vectors)
-    index = Index(clean, scratch, pivots, annulus)
-    schema = "query_id long, rank int, vec_id long, score long"
-    if not index.n:
-        return scratch.spark.createDataFrame([], schema)
-    queries = index.vectors.filter(is_query).groupBy("vec_id").agg(F.min("x").alias("x"))
+def search(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The k best rows of each of ``queries`` (vec_id, x), the blocks of queries, and the (qblock, block) that were read."""
+    scratch = index.scratch
     blocks = _query_blocks(index, queries)
-    free = blocks.withColumn("bounds", F.transform("qids", lambda _: F.lit(0.0)))
     meta = scratch.table(index.blocks.select("block", "pivot", "lo", "hi", "n"), "meta")
-    # First pass: the annuli nearest to a block until they hold k vectors and one more for each of its own queries.
-    gap = F.greatest(F.lit(0.0), F.col("lo") - F.col("far"), F.col("near") - F.col("hi"))
-    ringed = _reaches(index, free).join(meta, "pivot").withColumn("gap", gap)
-    nearest = ringed.groupBy("qblock", "pivot").agg(F.min(F.struct("gap", "block", "n")).alias("m")).select("qblock", "m.*")
-    # Each pivot's nearest annulus; the first few of these bound a query well and hold k vectors unless the table is small.
-    w = Window.partitionBy("qblock").orderBy("gap", "block")
-    so_far = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = nearest.withColumn("so_far", so_far).withColumn("place", F.row_number().over(w)).filter((F.col("so_far") <= k) | (F.col("place") <= 4))
-    start = scratch.table(start.select("qblock", "block"), "start")
+    start = scratch.table(_beside(index, meta, blocks), "start")
     first = scratch.table(_merged(_scored(index, start, blocks, k), k), "first")
     # The k-th score so far bounds the k-th distance; a query with fewer than k is not bounded.
     kth = scratch.table(first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")), "kth")
     asked = blocks.select("qblock", F.posexplode("qids").alias("at", "query_id"))
     known = asked.join(kth, "query_id", "left").groupBy("qblock").agg(F.sort_array(F.collect_list(F.struct("at", F.when(F.col("n") >= k, F.col("kth")).alias("kth")))).alias("kths"))
     bounded = _bounded(index, blocks.join(known, "qblock"))
-    hit = (F.col("lo") <= F.col("far")) & (F.col("hi") >= F.col("near"))
-    rest = _reaches(index, bounded).join(meta, "pivot").filter(hit).select("qblock", "block")
-    rest = scratch.table(rest.join(start, ["qblock", "block"], "left_anti"), "rest")
+    rest = scratch.table(_within(index, meta, bounded).join(start, ["qblock", "block"], "left_anti"), "rest")
     rows = _scored(index, rest, blocks, k).unionByName(first.select("query_id", "vec_id", "score"))
-    return _merged(rows, k)
+    return _merged(rows, k), blocks, start.unionByName(rest)
+
+
+def top_k(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 10, pivots: int | None = None, annulus: int = ANNULUS) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row where ``is_query`` holds, its k highest inner products.
+
+    ``vectors`` has vec_id and embedding; other columns are ignored. All rows but those with the query's own id are
+    candidates. Ties go to the smaller vec_id; repeated candidates are listed as often as they occur. Of repeated ids
+    that are queries, the least vector asks. Vectors of different length are compared over the shorter one. An empty table
+    gives no rows.
+    """
+    index = Index(integers(vectors), scratch, pivots, annulus)
+    if not index.n:
+        return scratch.spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    queries = index.vectors.filter(is_query).groupBy("vec_id").agg(F.min("x").alias("x"))
+    return search(index, queries, k)[0]
 
 
 def _bounded(index: Index, blocks: DataFrame) -> DataFrame:

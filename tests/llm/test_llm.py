@@ -204,12 +204,18 @@ def test_top_k(spark, scratch):
 
 
 def test_top_k_reads_few_annuli(spark, scratch):
-    """Far groups lie outside a query's bound and are not read."""
-    v = [(i, [float((i % 4) * 40 + 1), float(i % 7) / 10]) for i in range(400)]
-    index = topk_search.Index(topk_search.integers(spark.createDataFrame(v, "vec_id long, embedding array<float>")), scratch, 4, 8)
-    assert index.blocks.count() >= 40
-    got = topk_search.top_k(spark.createDataFrame(v, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, scratch, pivots=4, annulus=8)
+    """Groups far from a query lie outside its bound and are not read."""
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(20, 16))
+    centres *= 50 / np.linalg.norm(centres, axis=1)[:, None]
+    v = [(i, [float(np.float32(x)) for x in centres[i % 20] + 0.3 * r.normal(size=16)]) for i in range(2400)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<float>")
+    index = topk_search.Index(topk_search.integers(df), scratch, 64, 8)
+    got, blocks, read = topk_search.search(index, index.vectors.filter("vec_id % 100 = 0"), 10)
     assert rows(got.select("query_id", "rank", "vec_id", "score")) == brute_top_k(v)
+    n, each = index.blocks.count(), read.count()
+    assert n >= 300 and each == read.distinct().count() and each < 0.7 * n * blocks.count()
+    print("annuli read:", each / (n * blocks.count()))
 
 
 def test_top_k_edges(spark, scratch):

@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The cluster's shared folder from ``spark.checkpoint.dir``. Where it is unset, one of our own, on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
         root = "file://" + tempfile.mkdtemp(prefix="tablewright-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -35,7 +38,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
         atexit.register(self._clear)
 
     def path(self, name: str) -> str:
@@ -47,7 +49,6 @@ class Scratch:
         path = self.path(name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 

@@ -7,11 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def interval_summary(df: DataFrame, keys: Sequence[str], value: str, low: float = 0.05, high: float = 0.95, exact: bool = True) -> DataFrame:
-    """Mean and two percentiles by key. ``exact`` interpolates over all values; else a sketch of bounded size answers."""
-    p = (lambda q: F.percentile(value, q)) if exact else (lambda q: F.percentile_approx(value, q))
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), p(low).alias("low"), p(high).alias("high"))
+from tablewright.operators.windows import counts_before
+from tablewright.plans.scratch import Scratch
+
+
+def interval_summary(df: DataFrame, keys: Sequence[str], value: str, scratch: Scratch | None = None, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """Mean and two percentiles by key. With ``scratch`` they are exact; else a sketch of bounded size answers.
+
+    Exact ones interpolate between the values at the two places around each percentile. Places come from counts of distinct
+    values in ranges, so no task holds a key's values. Null values are left out; a key without any has nulls.
+    """
+    if scratch is None:
+        return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.percentile_approx(value, low).alias("low"), F.percentile_approx(value, high).alias("high"))
+    slim = scratch.table(df.select(*keys, value), "values")
+    placed = scratch.table(counts_before(slim.filter(F.col(value).isNotNull()), keys, value, scratch), "places")
+    total = scratch.table(slim.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n")), "totals").alias("t")
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    at = lambda q: (F.col("n") - 1) * q
+    here = lambda place: F.when((F.col("before") <= place) & (F.col("before") + F.col("rows") > place), F.col(value))
+    ends = [f(at(q)) for q in (low, high) for f in (F.floor, F.ceil)]
+    found = placed.alias("p").join(total, same, "right").groupBy(*[F.col(f"t.{k}").alias(k) for k in keys]).agg(F.first("mean").alias("mean"), F.first("n").alias("n"), *[F.max(here(e)).alias(f"v{i}") for i, e in enumerate(ends)])
+    between = lambda a, b, q: F.col(a) + (F.col(b) - F.col(a)) * (at(q) - F.floor(at(q)))
+    return found.select(*keys, "mean", between("v0", "v1", low).alias("low"), between("v2", "v3", high).alias("high"))
 
 
 def latest_value(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:

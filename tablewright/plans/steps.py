@@ -46,14 +46,21 @@ def profile_steps(steps: dict[str, DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, [_counted(n, i, df) for i, (n, df) in enumerate(steps.items(), 1)])
 
 
-def observed_rows(steps: dict[str, DataFrame], chain: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], first: DataFrame) -> dict[str, int]:
+def observed_rows(chain: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], first: DataFrame) -> dict[str, int]:
     """Rows after each link of a chain of steps, counted while the chain runs once."""
     seen, df = {}, first
     for name, build in chain:
         seen[name] = Observation()
         df = build(df).observe(seen[name], F.count(F.lit(1)).alias("rows"))
     df.write.format("noop").mode("overwrite").save()
-    return {name: o.get["rows"] for name, o in seen.items()}
+    # A link that is planned away because its input is empty reports nothing.
+    return {name: o.get.get("rows", 0) for name, o in seen.items()}
+
+
+def profile_chain(chain: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], first: DataFrame) -> DataFrame:
+    """(step_order, step, rows) of a chain of steps that runs once, where ``profile_steps`` runs each step from its sources."""
+    rows = [(i, name, n) for i, (name, n) in enumerate(observed_rows(chain, first).items(), 1)]
+    return first.sparkSession.createDataFrame(rows, "step_order int, step string, rows long")
 
 
 def time_steps(spark: SparkSession, steps: dict[str, DataFrame]) -> DataFrame:

@@ -36,7 +36,9 @@ def io2_read_external(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderstatus AS status, CAST(count(*) AS BIGINT) AS orders FROM orders GROUP BY 1")
 def io3_materialize(spark: SparkSession, d: str) -> DataFrame:
     staged = table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderstatus").alias("status"))
-    return IO.materialize(staged, "stg_orders").groupBy("status").agg(F.count("*").alias("orders"))
+    IO.materialize(staged, "stg_orders")
+    stored = IO.materialize(spark.table("stg_orders"), "stored_orders", "table", Scratch(spark, "tables").path("stored_orders"))
+    return stored.groupBy("status").agg(F.count("*").alias("orders"))
 
 
 @query("SELECT o_orderkey, o_orderstatus, round(CASE WHEN o_orderstatus = 'P' THEN o_totalprice * 1.1 ELSE o_totalprice END, 4) AS o_totalprice FROM orders")
@@ -73,7 +75,7 @@ def io6_export_dated_parquet(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT 'csv' AS fmt, s_suppkey || ',' || CASE WHEN s_name || ', ' || s_nationkey LIKE '%,%' THEN '"' || s_name || ', ' || s_nationkey || '"' END AS line FROM supplier
-UNION ALL SELECT 'tsv', s_suppkey || chr(9) || s_name || ' x' FROM supplier""")
+UNION ALL SELECT 'tsv', s_suppkey || chr(9) || s_name || ' x' FROM supplier UNION ALL SELECT 'csv', 's_suppkey,n' UNION ALL SELECT 'tsv', 's_suppkey' || chr(9) || 'n'""")
 def io7_export_delimited(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
     csv = IO.export_delimited(s.select("s_suppkey", F.concat("s_name", F.lit(", "), F.col("s_nationkey").cast("string")).alias("n")), "csv").select(F.lit("csv").alias("fmt"), "line")
@@ -81,9 +83,9 @@ def io7_export_delimited(spark: SparkSession, d: str) -> DataFrame:
     return csv.unionByName(tsv)
 
 
-@query("SELECT '| ' || r_regionkey || ' | ' || r_name || ' | ' || 'a\\|b' || ' |' AS line FROM region")
+@query("SELECT '| ' || r_regionkey || ' | ' || r_name || ' | ' || 'a\\|b' || ' |' AS line FROM region UNION ALL SELECT '| r_regionkey | r_name | note |' UNION ALL SELECT '| --- | --- | --- |'")
 def io8_export_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return IO.export_markdown(table(spark, d, "region").withColumn("note", F.lit("a|b")))
+    return IO.export_markdown(table(spark, d, "region").select("r_regionkey", "r_name", F.lit("a|b").alias("note")))
 
 
 @query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS line FROM nation""")
@@ -302,7 +304,7 @@ def a5_grouping_as_distinct(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_mktsegment, round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.05), 4) AS low, round(quantile_cont(o_totalprice, 0.95), 4) AS high FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def a6_interval_summary(spark: SparkSession, d: str) -> DataFrame:
     joined = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return A.interval_summary(joined, ["c_mktsegment"], "o_totalprice").select("c_mktsegment", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])
+    return A.interval_summary(joined, ["c_mktsegment"], "o_totalprice", Scratch(spark, "intervals")).select("c_mktsegment", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])
 
 
 @query("SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders GROUP BY 1")
@@ -354,7 +356,7 @@ def w2_lag(spark: SparkSession, d: str) -> DataFrame:
 SELECT *, CAST(rank() OVER (PARTITION BY c_mktsegment ORDER BY spent DESC) AS INTEGER) AS place FROM s""")
 def w3_rank(spark: SparkSession, d: str) -> DataFrame:
     spent = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey", "c_mktsegment").agg(F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0)), 2).alias("spent"))
-    return spent.withColumn("place", F.rank().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("spent"))))
+    return W.ranked_values(spent, "c_mktsegment", "spent", Scratch(spark, "ranks"))
 
 
 @query("SELECT * FROM (SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS previous FROM orders) WHERE o_orderkey - previous > 1")
@@ -377,7 +379,8 @@ def w6_first_to_n(spark: SparkSession, d: str) -> DataFrame:
 'R' || n_regionkey || '-' || row_number() OVER (PARTITION BY n_regionkey ORDER BY s_acctbal DESC, s_suppkey) AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0""")
 def w7_reseed(spark: SparkSession, d: str) -> DataFrame:
     kept = table(spark, d, "supplier").filter("s_acctbal > 0").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    out = W.reseed(kept, "n_regionkey", [F.desc("s_acctbal"), F.asc("s_suppkey")], F.concat(F.lit("R"), F.col("n_regionkey").cast("string")))
+    slim = kept.select("s_suppkey", "n_regionkey", "s_acctbal")
+    out = W.reseed(slim, "n_regionkey", [F.desc("s_acctbal"), F.asc("s_suppkey")], F.concat(F.lit("R"), F.col("n_regionkey").cast("string")), Scratch(spark, "seeds"))
     return out.select("s_suppkey", "n_regionkey", "seed", "label")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators import datatests as T
 from tablewright.operators import profile as C
 from tablewright.plans import steps as P
+from tablewright.plans.scratch import Scratch
 from tablewright.queries.registry import query, table
 from tablewright.sources import io as IO
 
@@ -81,7 +84,7 @@ def t7_assertions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderstatus AS value, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus NOT IN ('O', 'F') GROUP BY 1")
 def t8_store_failures(spark: SparkSession, d: str) -> DataFrame:
-    return IO.materialize(T.rejected_values(table(spark, d, "orders"), "o_orderstatus", ["O", "F"]), "failed_orders_status")
+    return IO.materialize(T.rejected_values(table(spark, d, "orders"), "o_orderstatus", ["O", "F"]), "failed_orders_status", "table", Scratch(spark, "failures").path("failed_orders_status"))
 
 
 def customer_mart(customer: DataFrame, orders: DataFrame) -> P.Pipeline:
@@ -136,14 +139,13 @@ def p3_heat_tier(spark: SparkSession, d: str) -> DataFrame:
     return P.heat_tier(p1_profile_steps(spark, d), "rows")
 
 
-def clauses(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    base = table(spark, d, "orders")
-    joined = base.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    lines = joined.join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    where = lines.filter("o_orderstatus = 'F'")
-    group = where.groupBy("c_mktsegment", "l_returnflag").agg(F.count("*").alias("n"))
-    having = group.filter("n > 1000")
-    return {"from": base, "join customer": joined, "join lineitem": lines, "where": where, "group": group, "having": having, "select": having.select("c_mktsegment", "n")}
+def clauses(spark: SparkSession, d: str) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
+    """The clauses of one query, each applied to what the one before gives; the first to ``orders``."""
+    customer, lineitem = table(spark, d, "customer"), table(spark, d, "lineitem")
+    return [
+        ("from", lambda df: df), ("join customer", lambda df: df.join(customer, F.col("o_custkey") == F.col("c_custkey"))), ("join lineitem", lambda df: df.join(lineitem, F.col("o_orderkey") == F.col("l_orderkey"))),
+        ("where", lambda df: df.filter("o_orderstatus = 'F'")), ("group", lambda df: df.groupBy("c_mktsegment", "l_returnflag").agg(F.count("*").alias("n"))), ("having", lambda df: df.filter("n > 1000")), ("select", lambda df: df.select("c_mktsegment", "n")),
+    ]
 
 
 CLAUSES_SQL = """WITH j AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey), k AS (SELECT * FROM j JOIN lineitem ON o_orderkey = l_orderkey), w AS (SELECT * FROM k WHERE o_orderstatus = 'F'),
@@ -153,7 +155,7 @@ UNION ALL SELECT 3, 'join lineitem', count(*) FROM k UNION ALL SELECT 4, 'where'
 
 @query(f"{CLAUSES_SQL} SELECT * FROM p")
 def p4_clause_counts(spark: SparkSession, d: str) -> DataFrame:
-    return P.profile_steps(clauses(spark, d))
+    return P.profile_chain(clauses(spark, d), table(spark, d, "orders"))
 
 
 @query(f"SELECT *, lag(rows) OVER (ORDER BY step_order) AS prev_rows, coalesce(rows > lag(rows) OVER (ORDER BY step_order), false) AS fan_out FROM ({MART_SQL})")

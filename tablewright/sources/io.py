@@ -23,10 +23,14 @@ def read_external(spark: SparkSession, template: str, identifier: str = "") -> D
     return spark.read.json(path) if path.endswith(".json") else spark.read.parquet(path)
 
 
-def materialize(df: DataFrame, name: str, kind: str = "view") -> DataFrame:
-    """Registers ``df`` as a temporary view, or writes it as a table (replacing it), and returns it by name."""
+def materialize(df: DataFrame, name: str, kind: str = "view", path: str | None = None) -> DataFrame:
+    """Registers ``df`` as a temporary view, or writes it as a table (replacing it) and returns it by name.
+
+    A table lies at ``path`` if that is given, else in the warehouse.
+    """
     if kind == "table":
-        df.write.mode("overwrite").saveAsTable(name)
+        writer = df.write.mode("overwrite")
+        (writer.option("path", path) if path else writer).saveAsTable(name)
     else:
         df.createOrReplaceTempView(name)
     return df.sparkSession.table(name)
@@ -69,18 +73,30 @@ def _texts(df: DataFrame) -> list[Column]:
     return [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
 
 
-def export_delimited(df: DataFrame, fmt: str = "csv") -> DataFrame:
-    """One text line per row. CSV quotes what holds a comma, quote or line end and doubles quotes; TSV turns tabs into spaces."""
+def _headed(df: DataFrame, *header: str) -> DataFrame:
+    """``df`` of text lines after the ``header`` lines."""
+    first = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(h) for h in header])).alias("line"))
+    return first.unionByName(df)
+
+
+def export_delimited(df: DataFrame, fmt: str = "csv", header: bool = True) -> DataFrame:
+    """A header line and one text line per row. CSV quotes what holds a comma, quote or line end and doubles quotes; TSV turns
+    tabs into spaces.
+    """
     if fmt == "tsv":
-        return df.select(F.concat_ws("\t", *[F.regexp_replace(c, "\t", " ") for c in _texts(df)]).alias("line"))
+        lines = df.select(F.concat_ws("\t", *[F.regexp_replace(c, "\t", " ") for c in _texts(df)]).alias("line"))
+        return _headed(lines, "\t".join(c.replace("\t", " ") for c in df.columns)) if header else lines
     quoted = [F.when(c.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in _texts(df)]
-    return df.select(F.concat_ws(",", *quoted).alias("line"))
+    names = ['"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n') else c for c in df.columns]
+    lines = df.select(F.concat_ws(",", *quoted).alias("line"))
+    return _headed(lines, ",".join(names)) if header else lines
 
 
-def export_markdown(df: DataFrame) -> DataFrame:
-    """One ``| a | b |`` line per row with pipes escaped."""
+def export_markdown(df: DataFrame, header: bool = True) -> DataFrame:
+    """A header line, a line of dashes, and one ``| a | b |`` line per row with pipes escaped."""
     cells = [F.replace(c, F.lit("|"), F.lit("\\|")) for c in _texts(df)]
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    lines = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    return _headed(lines, f"| {' | '.join(df.columns)} |", f"| {' | '.join('---' for _ in df.columns)} |") if header else lines
 
 
 def export_json(df: DataFrame) -> DataFrame:

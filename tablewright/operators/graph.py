@@ -1,12 +1,14 @@
 """Lineage over node and edge tables.
 
 Searches run as rounds over a frontier: one join with the edges, less what was seen. The number of rounds is the graph's
-depth, not its size. Each round is written to the shared folder, which cuts its lineage.
+depth, not its size. Each round is written to the shared folder, which cuts its lineage. Edges are written once in buckets of
+the end that a search leaves from, so a round moves its frontier and not the edges.
 """
 
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,21 +20,30 @@ from tablewright.plans.scratch import Scratch
 IMPACT_DEPTH, LOW_IMPACT, MEDIUM_IMPACT = 100, 3, 10
 
 
-def reach(edges: DataFrame, starts: DataFrame, direction: str = "downstream", depth: int = IMPACT_DEPTH) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, direction: str = "downstream", depth: int | None = IMPACT_DEPTH) -> DataFrame:
     """(id, distance) of what ``starts`` (id) reach along ``edges`` (parent, child) within ``depth``, shortest first.
 
-    Starts are left out; cycles end because nothing is visited twice.
+    Without a depth the search goes on until it finds nothing new. Starts are left out; cycles end because nothing is visited
+    twice.
     """
-    scratch = Scratch(edges.sparkSession, "lineage")
+    spark = edges.sparkSession
+    scratch = Scratch(spark, "lineage")
     source, target = ("parent", "child") if direction == "downstream" else ("child", "parent")
-    links = scratch.table(edges.select(F.col(source).alias("from_id"), F.col(target).alias("id")).distinct(), "links")
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"links_{uuid.uuid4().hex}"
+    links = edges.select(F.col(source).alias("from_id"), F.col(target).alias("id")).distinct().repartition(buckets, "from_id")
+    links.write.bucketBy(buckets, "from_id").option("path", scratch.path("links")).saveAsTable(name)
+    links = spark.table(name)
     seen = frontier = scratch.table(starts.select("id").distinct().withColumn("distance", F.lit(0)), "start")
-    for distance in range(1, depth + 1):
+    distance = 0
+    while depth is None or distance < depth:
+        distance += 1
         met = frontier.select(F.col("id").alias("from_id")).join(links, "from_id").select("id").distinct()
         frontier = scratch.table(met.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(distance)), f"round{distance}")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    # What is returned reads the rounds only.
+    spark.sql(f"DROP TABLE {name}")
     return seen.filter("distance > 0")
 
 
@@ -84,8 +95,8 @@ def version_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.select(key, F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed").alias("change"))
 
 
-def invalidated(edges: DataFrame, changed: DataFrame, depth: int = IMPACT_DEPTH) -> DataFrame:
-    """(id, distance): changed nodes at 0 and all that depends on them."""
+def invalidated(edges: DataFrame, changed: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, distance): changed nodes at 0 and all that depends on them, however far, unless ``depth`` is given."""
     return reach(edges, changed, "downstream", depth).unionByName(changed.select("id").distinct().withColumn("distance", F.lit(0)))
 
 
@@ -145,9 +156,10 @@ def suggest_by_prefix(names: DataFrame, least: int = 3, share: float = 0.05, top
 
 
 def inventory(nodes: DataFrame) -> DataFrame:
-    """(kind, value, n): nodes by type, by tag and by folder."""
+    """(kind, value, n): nodes by type, by tag and by folder, and for names of several packages the number of these."""
     facets = F.array_union(F.array(F.struct(F.lit("type").alias("kind"), F.col("type").alias("value")), F.struct(F.lit("folder").alias("kind"), F.col("path").alias("value"))), F.transform("tags", lambda t: F.struct(F.lit("tag").alias("kind"), t.alias("value"))))
-    return nodes.select(F.explode(facets).alias("f")).groupBy("f.kind", "f.value").agg(F.count("*").alias("n"))
+    counted = nodes.select(F.explode(facets).alias("f")).groupBy("f.kind", "f.value").agg(F.count("*").alias("n"))
+    return counted.unionByName(duplicate_names(nodes).select(F.lit("duplicate name").alias("kind"), F.col("name").alias("value"), F.col("packages").alias("n")))
 
 
 def duplicate_names(nodes: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
+    return out
 
 
 EDGES_SQL = """e AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT 'r:' || n_regionkey AS parent, 'n:' || n_nationkey AS child FROM nation UNION ALL SELECT 'n:' || c_nationkey, 'c:' || c_custkey FROM customer
@@ -125,12 +125,14 @@ def g10_suggest_by_tag_and_prefix(spark: SparkSession, d: str) -> DataFrame:
     return by_tag.withColumn("kind", F.lit("tag")).unionByName(by_prefix.withColumn("kind", F.lit("prefix")))
 
 
-@query("""WITH n AS (SELECT 'customer' AS type, c_mktsegment AS tag, 'nation/' || c_nationkey AS path FROM customer UNION ALL SELECT 'supplier', NULL, 'nation/' || s_nationkey FROM supplier UNION ALL SELECT 'part', p_brand, 'size/' || p_size FROM part)
-SELECT kind, value, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'type' AS kind, type AS value FROM n UNION ALL SELECT 'folder', path FROM n UNION ALL SELECT 'tag', tag FROM n WHERE tag IS NOT NULL) GROUP BY 1, 2""")
+@query("""WITH n AS (SELECT 'customer' AS type, c_mktsegment AS tag, 'nation/' || c_nationkey AS path, 'm' || c_custkey AS name FROM customer UNION ALL SELECT 'supplier', NULL, 'nation/' || s_nationkey, 'm' || s_suppkey FROM supplier UNION ALL SELECT 'part', p_brand, 'size/' || p_size, 'm' || p_partkey FROM part)
+SELECT kind, value, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'type' AS kind, type AS value FROM n UNION ALL SELECT 'folder', path FROM n UNION ALL SELECT 'tag', tag FROM n WHERE tag IS NOT NULL) GROUP BY 1, 2
+UNION ALL SELECT 'duplicate name', name, CAST(count(DISTINCT type) AS BIGINT) FROM n GROUP BY name HAVING count(DISTINCT type) > 1""")
 def g11_inventory(spark: SparkSession, d: str) -> DataFrame:
-    node = lambda name, kind, tags, path: table(spark, d, name).select(F.lit(kind).alias("type"), tags.alias("tags"), path.alias("path"))
+    # A table stands for a package; its keys name the nodes.
+    node = lambda name, key, tags, path: table(spark, d, name).select(F.lit(name).alias("type"), F.lit(name).alias("package"), F.concat(F.lit("m"), F.col(key).cast("string")).alias("name"), tags.alias("tags"), path.alias("path"))
     at = lambda prefix, c: F.concat(F.lit(f"{prefix}/"), F.col(c).cast("string"))
-    all_nodes = node("customer", "customer", F.array("c_mktsegment"), at("nation", "c_nationkey")).unionByName(node("supplier", "supplier", F.array().cast("array<string>"), at("nation", "s_nationkey"))).unionByName(node("part", "part", F.array("p_brand"), at("size", "p_size")))
+    all_nodes = node("customer", "c_custkey", F.array("c_mktsegment"), at("nation", "c_nationkey")).unionByName(node("supplier", "s_suppkey", F.array().cast("array<string>"), at("nation", "s_nationkey"))).unionByName(node("part", "p_partkey", F.array("p_brand"), at("size", "p_size")))
     return G.inventory(all_nodes)
 
 
@@ -207,8 +209,7 @@ def l4_roll_up(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {RUN_SQL} SELECT * FROM x")
 def l5_live_status(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "live")
-    folder = scratch.path("logs")
+    folder, changes = scratch.path("logs"), scratch.path("changes")
     run_logs(spark, d).write.text(folder)
-    stream = R.live_status(spark, folder, "live_status", scratch.path("checkpoint"))
-    stream.awaitTermination()
-    return spark.table("live_status")
+    R.live_status(spark, folder, changes, scratch.path("checkpoint")).awaitTermination()
+    return R.latest_status(spark, changes)

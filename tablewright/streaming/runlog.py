@@ -58,12 +58,26 @@ def roll_up(results: DataFrame) -> DataFrame:
     return results.groupBy("status").agg(F.count("*").alias("nodes"), F.round(F.sum("seconds"), 4).alias("seconds"), F.max("seconds").alias("slowest"))
 
 
-def live_status(spark: SparkSession, folder: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the last event of each node over a growing folder of log files, in the memory table ``sink``.
+CHANGES = "unique_id string, status string, seconds double, seq long"
 
-    The state holds one row per node; an event carries its own order, so late files change nothing that is newer.
+
+def live_status(spark: SparkSession, folder: str, changes: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the last event of each node over a growing folder of log files; each batch writes the nodes it changed.
+
+    The state holds one row per node, in the executors. A batch goes to a folder of its own number under ``changes``, so a
+    batch that runs again replaces itself. An event carries its own order, so late files change nothing that is newer.
     """
     lines = spark.readStream.schema("value string").text(folder)
-    last = run_events(lines).groupBy("unique_id").agg(F.max_by(F.struct("status", "seconds"), "seq").alias("last"))
-    stream = last.select("unique_id", "last.*").writeStream.outputMode("complete").format("memory").queryName(sink)
+    last = run_events(lines).groupBy("unique_id").agg(F.max_by(F.struct("status", "seconds"), "seq").alias("last"), F.max("seq").alias("seq"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.select("unique_id", "last.*", "seq").write.mode("overwrite").parquet(f"{changes}/batch={number}")
+
+    stream = last.writeStream.outputMode("update").foreachBatch(write)
     return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_status(spark: SparkSession, changes: str) -> DataFrame:
+    """(unique_id, status, seconds) of all nodes from the batches written so far."""
+    written = spark.read.schema(CHANGES).option("recursiveFileLookup", True).parquet(changes)
+    return last_by_id(written)

@@ -1,12 +1,13 @@
-"""Ratings, simulated outcomes, standings and tie-breaks.
+"""Ratings, outcomes per scenario, standings and tie-breaks.
 
 Games have game_id, season, visiting_team, home_team, visiting_score, home_score; teams have team, conf, division, elo_rating.
+A season is that of one league, so seasons grow in number with the games; standings and ties are those of a season.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,11 +35,22 @@ def implied_line(own: Column, other: Column, bonus: float = 0.0) -> Column:
     return F.bround(-(own - other + bonus) / POINTS_A_LINE * 2, 0) / 2
 
 
-def rolled_ratings(games: DataFrame, ratings: dict[int, float], k: float = 20.0) -> DataFrame:
-    """Ratings before and after each game of a season, carried from game to game; margins count by their logarithm.
+def log_margin(margin: int, lead: float) -> float:
+    """How much a win by ``margin`` counts when the winner was ``lead`` ahead: by the logarithm, less for favourites."""
+    return math.log(margin + 1) * (2.2 / (lead * 0.001 + 2.2))
+
+
+def power_margin(margin: int, lead: float) -> float:
+    """The same by a power of the margin. The lead's sign is as published for this formula: favourites' wins count more."""
+    return (margin + 3) ** 0.8 / (7.5 - 0.006 * lead)
+
+
+def rolled_ratings(games: DataFrame, ratings: dict[int, float], k: float = 20.0, margins: Callable[[int, float], float] = log_margin, bonus: float = HOME_BONUS) -> DataFrame:
+    """Ratings before and after each game of a season, carried from game to game; ``margins`` weighs a win.
 
     Order matters within a season, so a season's games pass through one task in order; it holds a batch and the ratings, never
-    a season, and Spark's sort spills. Seasons run side by side. Unknown teams start at 1500.
+    a season, and Spark's sort spills. Seasons run side by side. Unknown teams start at 1500. Games with a column neutral give
+    the home side no bonus where it is true. Games of one id are taken by their teams' order.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,17 +62,18 @@ def rolled_ratings(games: DataFrame, ratings: dict[int, float], k: float = 20.0)
                 if here != season:
                     season, now = here, dict(ratings)
                 v, h = now.get(g.visiting_team, 1500.0), now.get(g.home_team, 1500.0)
-                expected = 1 / (10 ** (-(h - v + HOME_BONUS) / SPREAD) + 1)
+                ahead = h - v + (0.0 if g.neutral else bonus)
+                expected = 1 / (10 ** (-ahead / SPREAD) + 1)
                 won = float(g.home_score >= g.visiting_score)
-                margin = abs(g.home_score - g.visiting_score)
-                lead = (h - v + HOME_BONUS) * (1 if won else -1)
-                change = k * math.log(margin + 1) * (2.2 / (lead * 0.001 + 2.2)) * (won - expected)
+                change = k * margins(abs(g.home_score - g.visiting_score), ahead if won else -ahead) * (won - expected)
                 now[g.visiting_team], now[g.home_team] = v - change, h + change
                 rows.append((g.season, g.game_id, g.visiting_team, g.home_team, v, h, now[g.visiting_team], now[g.home_team]))
             yield pd.DataFrame(rows, columns=["season", "game_id", "visiting_team", "home_team", "visiting_before", "home_before", "visiting_after", "home_after"])
 
-    schema = "season int, game_id long, visiting_team int, home_team int, visiting_before double, home_before double, visiting_after double, home_after double"
-    return games.repartition("season").sortWithinPartitions("season", "game_id").mapInPandas(fold, schema)
+    schema = "season long, game_id long, visiting_team int, home_team int, visiting_before double, home_before double, visiting_after double, home_after double"
+    neutral = F.coalesce(F.col("neutral").cast("boolean"), F.lit(False)) if "neutral" in games.columns else F.lit(False)
+    slim = games.select("season", "game_id", "visiting_team", "home_team", "visiting_score", "home_score", neutral.alias("neutral"))
+    return slim.repartition("season").sortWithinPartitions("season", "game_id", "visiting_team", "home_team").mapInPandas(fold, schema)
 
 
 def latest_ratings(rated: DataFrame, teams: DataFrame) -> DataFrame:
@@ -93,52 +106,53 @@ def simulated(grid: DataFrame, known_until: int | None = None) -> DataFrame:
     return grid.withColumn("home_wins", by_odds if known_until is None else F.when(F.col("game_id") <= known_until, actual).otherwise(by_odds))
 
 
-def outcomes(cells: DataFrame, teams: DataFrame) -> DataFrame:
-    """One row per scenario, team and game with opponent, won, and whether it was within division or conference."""
-    side = lambda a, b, won: F.struct(F.col(f"{a}_team").alias("team"), F.col(f"{b}_team").alias("opponent"), won.cast("int").alias("won"), F.col(f"{a}_score").alias("points"), F.col(f"{b}_score").alias("against"))
-    rows = cells.select("scenario_id", "game_id", F.explode(F.array(side("visiting", "home", ~F.col("home_wins")), side("home", "visiting", F.col("home_wins")))).alias("s")).select("scenario_id", "game_id", "s.*")
-    own = F.broadcast(teams.select("team", "conf", "division"))
-    theirs = F.broadcast(teams.select(F.col("team").alias("opponent"), F.col("conf").alias("o_conf"), F.col("division").alias("o_division")))
-    met = rows.join(own, "team").join(theirs, "opponent")
+def outcomes(games: DataFrame, teams: DataFrame) -> DataFrame:
+    """One row per season, team and game with opponent, won, and whether it was within division or conference.
+
+    Sides of teams are left to Spark's own size check.
+    """
+    own = teams.select("team", "conf", "division")
+    theirs = teams.select(F.col("team").alias("opponent"), F.col("conf").alias("o_conf"), F.col("division").alias("o_division"))
+    met = long_form(games).join(own, "team").join(theirs, "opponent")
     in_conf = F.col("conf") == F.col("o_conf")
-    return met.withColumns({"in_conf": in_conf, "in_division": in_conf & (F.col("division") == F.col("o_division"))})
+    return met.withColumns({"in_conf": in_conf, "in_division": in_conf & (F.col("division") == F.col("o_division"))}).drop("o_conf", "o_division")
 
 
 def standings(rows: DataFrame) -> DataFrame:
-    """Wins, games, losses, division and conference records and point difference by scenario and team."""
+    """Wins, games, losses, division and conference records and point difference by season and team."""
     part = lambda c: F.sum(F.when(F.col(c), F.col("won")).otherwise(0))
-    return rows.groupBy("scenario_id", "team", "conf", "division").agg(
+    return rows.groupBy("season", "team", "conf", "division").agg(
         F.sum("won").alias("wins"), F.count("*").alias("games"), (F.count("*") - F.sum("won")).alias("losses"), part("in_division").alias("division_wins"), F.count_if("in_division").alias("division_games"),
         part("in_conf").alias("conf_wins"), F.count_if("in_conf").alias("conf_games"), F.sum(F.col("points") - F.col("against")).alias("point_diff"),
     )
 
 
 def head_to_head(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """(scenario_id, team, h2h_wins, h2h_games) against teams of the same conference with as many wins."""
-    mine = table.select("scenario_id", "team", "conf", "wins")
-    theirs = table.select("scenario_id", F.col("team").alias("opponent"), F.col("conf").alias("o_conf"), F.col("wins").alias("o_wins"))
-    met = rows.select("scenario_id", "team", "opponent", "won").join(mine, ["scenario_id", "team"]).join(theirs, ["scenario_id", "opponent"])
-    return met.filter("conf = o_conf AND wins = o_wins").groupBy("scenario_id", "team").agg(F.sum("won").alias("h2h_wins"), F.count("*").alias("h2h_games"))
+    """(season, team, h2h_wins, h2h_games) against teams of the same conference with as many wins."""
+    mine = table.select("season", "team", "conf", "wins")
+    theirs = table.select("season", F.col("team").alias("opponent"), F.col("conf").alias("o_conf"), F.col("wins").alias("o_wins"))
+    met = rows.select("season", "team", "opponent", "won").join(mine, ["season", "team"]).join(theirs, ["season", "opponent"])
+    return met.filter("conf = o_conf AND wins = o_wins").groupBy("season", "team").agg(F.sum("won").alias("h2h_wins"), F.count("*").alias("h2h_games"))
 
 
 def common_opponents(rows: DataFrame, table: DataFrame, least: int = 2) -> DataFrame:
-    """(scenario_id, team, common_wins, common_games): record against opponents that ``least`` tied teams have met.
+    """(season, team, common_wins, common_games): record against opponents that ``least`` tied teams have met.
 
     Tied teams are those of one conference with equal wins.
     """
-    met = rows.select("scenario_id", "team", "opponent", "won").join(table.select("scenario_id", "team", "conf", "wins"), ["scenario_id", "team"])
-    shared = met.groupBy("scenario_id", "conf", "wins", "opponent").agg(F.countDistinct("team").alias("met_by")).filter(F.col("met_by") >= least)
-    return met.join(shared, ["scenario_id", "conf", "wins", "opponent"]).groupBy("scenario_id", "team").agg(F.sum("won").alias("common_wins"), F.count("*").alias("common_games"))
+    met = rows.select("season", "team", "opponent", "won").join(table.select("season", "team", "conf", "wins"), ["season", "team"])
+    shared = met.groupBy("season", "conf", "wins", "opponent").agg(F.countDistinct("team").alias("met_by")).filter(F.col("met_by") >= least)
+    return met.join(shared, ["season", "conf", "wins", "opponent"]).groupBy("season", "team").agg(F.sum("won").alias("common_wins"), F.count("*").alias("common_games"))
 
 
 def strengths(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """(scenario_id, team, victory, schedule): mean win rate of beaten opponents, and of all opponents."""
-    rate = table.select("scenario_id", F.col("team").alias("opponent"), (F.col("wins") / F.col("games")).alias("rate"))
-    met = rows.select("scenario_id", "team", "opponent", "won").join(rate, ["scenario_id", "opponent"])
-    return met.groupBy("scenario_id", "team").agg(F.coalesce(F.avg(F.when(F.col("won") == 1, F.col("rate"))), F.lit(0.0)).alias("victory"), F.avg("rate").alias("schedule"))
+    """(season, team, victory, schedule): mean win rate of beaten opponents, and of all opponents."""
+    rate = table.select("season", F.col("team").alias("opponent"), (F.col("wins") / F.col("games")).alias("rate"))
+    met = rows.select("season", "team", "opponent", "won").join(rate, ["season", "opponent"])
+    return met.groupBy("season", "team").agg(F.coalesce(F.avg(F.when(F.col("won") == 1, F.col("rate"))), F.lit(0.0)).alias("victory"), F.avg("rate").alias("schedule"))
 
 
-def ranked(table: DataFrame, criteria: Sequence[str], group: Sequence[str] = ("scenario_id", "conf")) -> DataFrame:
+def ranked(table: DataFrame, criteria: Sequence[str], group: Sequence[str] = ("season", "conf")) -> DataFrame:
     """``table`` with place by wins and then ``criteria``, all descending, and decided_by, the criterion that told ties apart."""
     from tablewright.operators.windows import deciding_criterion
 
@@ -147,25 +161,25 @@ def ranked(table: DataFrame, criteria: Sequence[str], group: Sequence[str] = ("s
 
 
 def two_team_ties(rows: DataFrame, table: DataFrame, eligible: int = 10) -> DataFrame:
-    """(scenario_id, conf, winner, loser, rule) of groups of exactly two tied teams.
+    """(season, conf, winner, loser, rule) of groups of exactly two tied teams.
 
     Rules in order: head to head, division record (teams of one division), conference record, record against the
     conference's eligible teams, against the other conferences' eligible teams, point difference, then the smaller team.
     """
-    w = Window.partitionBy("scenario_id", "conf").orderBy(F.desc("wins"), F.desc("conf_wins"), "team")
-    strong = table.withColumn("rank", F.row_number().over(w)).select("scenario_id", F.col("team").alias("opponent"), F.col("conf").alias("o_conf"), (F.col("rank") <= eligible).alias("strong"))
+    w = Window.partitionBy("season", "conf").orderBy(F.desc("wins"), F.desc("conf_wins"), "team")
+    strong = table.withColumn("rank", F.row_number().over(w)).select("season", F.col("team").alias("opponent"), F.col("conf").alias("o_conf"), (F.col("rank") <= eligible).alias("strong"))
     part = lambda c: F.sum(F.when(c, F.col("won")).otherwise(0)) / F.greatest(F.count_if(c), F.lit(1))
-    met = rows.select("scenario_id", "team", "opponent", "won", "in_conf").join(strong, ["scenario_id", "opponent"])
-    record = met.groupBy("scenario_id", "team").agg(part(F.col("strong") & F.col("in_conf")).alias("own_strong"), part(F.col("strong") & ~F.col("in_conf")).alias("other_strong"))
+    met = rows.select("season", "team", "opponent", "won", "in_conf").join(strong, ["season", "opponent"])
+    record = met.groupBy("season", "team").agg(part(F.col("strong") & F.col("in_conf")).alias("own_strong"), part(F.col("strong") & ~F.col("in_conf")).alias("other_strong"))
     rate = lambda name: F.col(f"{name}_wins") / F.greatest(F.col(f"{name}_games"), F.lit(1))
-    full = table.join(record, ["scenario_id", "team"], "left").withColumns({"division_rate": rate("division"), "conf_rate": rate("conf")})
-    pair = full.withColumn("tied", F.count("*").over(Window.partitionBy("scenario_id", "conf", "wins"))).filter("tied = 2")
+    full = table.join(record, ["season", "team"], "left").withColumns({"division_rate": rate("division"), "conf_rate": rate("conf")})
+    pair = full.withColumn("tied", F.count("*").over(Window.partitionBy("season", "conf", "wins"))).filter("tied = 2")
     a, b = pair.alias("a"), pair.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("scenario_id", "conf", "wins")] + [F.col("a.team") < F.col("b.team")]
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("season", "conf", "wins")] + [F.col("a.team") < F.col("b.team")]
     both = a.join(b, on)
-    games = rows.filter("team < opponent").groupBy("scenario_id", "team", "opponent").agg((F.sum("won") * 2 - F.count("*")).alias("h2h"))
-    games = games.select(F.col("scenario_id").alias("h_scenario"), F.col("team").alias("h_team"), F.col("opponent").alias("h_opponent"), "h2h")
-    both = both.join(games, (F.col("a.scenario_id") == F.col("h_scenario")) & (F.col("a.team") == F.col("h_team")) & (F.col("b.team") == F.col("h_opponent")), "left")
+    games = rows.filter("team < opponent").groupBy("season", "team", "opponent").agg((F.sum("won") * 2 - F.count("*")).alias("h2h"))
+    games = games.select(F.col("season").alias("h_season"), F.col("team").alias("h_team"), F.col("opponent").alias("h_opponent"), "h2h")
+    both = both.join(games, (F.col("a.season") == F.col("h_season")) & (F.col("a.team") == F.col("h_team")) & (F.col("b.team") == F.col("h_opponent")), "left")
     diff = lambda c: F.coalesce(F.col(f"a.{c}") - F.col(f"b.{c}"), F.lit(0.0)).cast("double")
     same_division = F.col("a.division") == F.col("b.division")
     rules = [("head_to_head", F.coalesce("h2h", F.lit(0)).cast("double")), ("division", F.when(same_division, diff("division_rate")).otherwise(0.0)), ("conference", diff("conf_rate")), ("own_eligible", diff("own_strong")), ("other_eligible", diff("other_strong")), ("point_diff", diff("point_diff"))]
@@ -173,21 +187,21 @@ def two_team_ties(rows: DataFrame, table: DataFrame, eligible: int = 10) -> Data
     for name, d in reversed(rules):
         sign, rule = F.when(F.abs(d) > 1e-9, d).otherwise(sign), F.when(F.abs(d) > 1e-9, name).otherwise(rule)
     first = sign > 0
-    return both.select(F.col("a.scenario_id").alias("scenario_id"), F.col("a.conf").alias("conf"), F.when(first, F.col("a.team")).otherwise(F.col("b.team")).alias("winner"), F.when(first, F.col("b.team")).otherwise(F.col("a.team")).alias("loser"), rule.alias("rule"))
+    return both.select(F.col("a.season").alias("season"), F.col("a.conf").alias("conf"), F.when(first, F.col("a.team")).otherwise(F.col("b.team")).alias("winner"), F.when(first, F.col("b.team")).otherwise(F.col("a.team")).alias("loser"), rule.alias("rule"))
 
 
 def multi_way_ties(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """(scenario_id, conf, wins, team, place, rule) of all tied groups of three or more.
+    """(season, conf, wins, team, place, rule) of all tied groups of three or more.
 
     A rule splits a group; parts that stay tied are taken up again from the first rule, among themselves. Groups are of
-    one scenario and conference, so they are small and run side by side.
+    one season and conference, so they are small and run side by side.
     """
-    tied = table.withColumn("tied", F.count("*").over(Window.partitionBy("scenario_id", "conf", "wins"))).filter("tied >= 3")
-    slim = tied.select("scenario_id", "conf", "wins", "team", "division_wins", "conf_wins", "point_diff")
-    theirs = slim.select("scenario_id", "conf", "wins", F.col("team").alias("opponent"))
-    met = rows.select("scenario_id", "team", "opponent", "won").join(slim, ["scenario_id", "team"]).join(theirs, ["scenario_id", "conf", "wins", "opponent"])
-    games = met.groupBy("scenario_id", "conf", "wins", "team", "opponent").agg(F.sum("won").alias("w"), F.count("*").alias("g"))
-    full = slim.join(games.groupBy("scenario_id", "conf", "wins", "team").agg(F.collect_list(F.struct("opponent", "w", "g")).alias("games")), ["scenario_id", "conf", "wins", "team"], "left")
+    tied = table.withColumn("tied", F.count("*").over(Window.partitionBy("season", "conf", "wins"))).filter("tied >= 3")
+    slim = tied.select("season", "conf", "wins", "team", "division_wins", "conf_wins", "point_diff")
+    theirs = slim.select("season", "conf", "wins", F.col("team").alias("opponent"))
+    met = rows.select("season", "team", "opponent", "won").join(slim, ["season", "team"]).join(theirs, ["season", "conf", "wins", "opponent"])
+    games = met.groupBy("season", "conf", "wins", "team", "opponent").agg(F.sum("won").alias("w"), F.count("*").alias("g"))
+    full = slim.join(games.groupBy("season", "conf", "wins", "team").agg(F.collect_list(F.struct("opponent", "w", "g")).alias("games")), ["season", "conf", "wins", "team"], "left")
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         info = {r.team: r for r in pdf.itertuples()}
@@ -212,14 +226,14 @@ def multi_way_ties(rows: DataFrame, table: DataFrame) -> DataFrame:
 
         placed = order(sorted(info))
         head = pdf.iloc[0]
-        return pd.DataFrame([(head.scenario_id, head.conf, head.wins, t, i, r) for i, (t, r) in enumerate(placed, 1)], columns=["scenario_id", "conf", "wins", "team", "place", "rule"])
+        return pd.DataFrame([(head.season, head.conf, head.wins, t, i, r) for i, (t, r) in enumerate(placed, 1)], columns=["season", "conf", "wins", "team", "place", "rule"])
 
-    return full.groupBy("scenario_id", "conf", "wins").applyInPandas(split, "scenario_id long, conf int, wins long, team int, place int, rule string")
+    return full.groupBy("season", "conf", "wins").applyInPandas(split, "season long, conf int, wins long, team int, place int, rule string")
 
 
 def season_summary(table: DataFrame) -> DataFrame:
-    """Per team over scenarios: mean wins, a 90 percent range as text, and how often it leads its conference."""
-    w = Window.partitionBy("scenario_id", "conf").orderBy(F.desc("wins"), F.desc("point_diff"), "team")
+    """Per team over seasons: mean wins, a 90 percent range as text, and how often it leads its conference."""
+    w = Window.partitionBy("season", "conf").orderBy(F.desc("wins"), F.desc("point_diff"), "team")
     rows = table.withColumn("place", F.row_number().over(w))
     low, high = F.percentile("wins", 0.05), F.percentile("wins", 0.95)
     text = lambda c: F.bround(c, 0).cast("int").cast("string")

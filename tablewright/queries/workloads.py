@@ -1,18 +1,20 @@
-"""Customer marts, ratings, simulated seasons, standings and tie-breaks."""
+"""Customer marts, ratings, standings and tie-breaks over the games of all seasons."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewright.operators import ratings as R
 from tablewright.operators import sets as S
-from tablewright.operators import windows as W
+from tablewright.plans.scratch import Scratch
 from tablewright.queries.registry import query, table
 from tablewright.queries.testing import customer_mart
 
-SCENARIOS, SEASON, KNOWN_UNTIL = 20, 3, 500
+SCENARIOS, KNOWN_UNTIL = 20, 500
 
 
 @query("""SELECT c_custkey AS customer_id, c_name AS name, CAST(min(o_orderdate) AS DATE) AS first_order_date, CAST(max(o_orderdate) AS DATE) AS most_recent_order_date, CAST(count(o_orderkey) AS BIGINT) AS number_of_orders
@@ -27,11 +29,11 @@ SELECT c_custkey AS customer_id, coalesce(a.orders, 0) AS orders, coalesce(a.com
 FROM customer LEFT JOIN a ON c_custkey = a.o_custkey LEFT JOIN o f ON c_custkey = f.o_custkey AND f.up = 1 LEFT JOIN o l ON c_custkey = l.o_custkey AND l.down = 1""")
 def d2_enriched_mart(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("customer_id"), "o_orderkey", "o_orderdate", F.col("o_orderdate").cast("date").alias("day"), (F.col("o_orderstatus") == "F").alias("done"))
-    flagged = W.first_last_flags(orders, "customer_id", "o_orderdate", "o_orderkey")
-    # First and last rows come out of the same grouping as the counts: one shuffle instead of three joins.
-    stats = flagged.groupBy("customer_id").agg(
+    # First and last rows come out of the same grouping as the counts: one shuffle, no sort of all orders.
+    at = F.struct("o_orderdate", "o_orderkey")
+    stats = orders.groupBy("customer_id").agg(
         F.count("*").alias("orders"), F.count_if("done").alias("completed"), F.min(F.when(F.col("done"), F.col("day"))).alias("first_completed"), F.max(F.when(F.col("done"), F.col("day"))).alias("last_completed"),
-        F.max(F.when(F.col("is_first"), F.col("o_orderkey"))).alias("first_order"), F.max(F.when(F.col("is_last"), F.col("o_orderkey"))).alias("last_order"), F.max(F.when(F.col("is_last"), F.col("done"))).alias("last_is_completed"),
+        F.min_by("o_orderkey", at).alias("first_order"), F.max_by("o_orderkey", at).alias("last_order"), F.max_by("done", at).alias("last_is_completed"),
     )
     out = table(spark, d, "customer").select(F.col("c_custkey").alias("customer_id")).join(stats, "customer_id", "left")
     return out.withColumns({"orders": F.coalesce("orders", F.lit(0)), "completed": F.coalesce("completed", F.lit(0)), "last_is_completed": F.coalesce("last_is_completed", F.lit(False))})
@@ -53,7 +55,8 @@ def d3_segment_report(spark: SparkSession, d: str) -> DataFrame:
 # Games derived from orders
 
 GAMES = """SELECT o_orderkey AS game_id, c_nationkey AS visiting_team, CAST((c_nationkey + 1 + o_orderkey % 24) % 25 AS INT) AS home_team, CAST(80 + o_orderkey * 7 % 41 AS INT) AS visiting_score,
-CAST(80 + o_custkey * 11 % 43 AS INT) AS home_score, CAST(month(o_orderdate) AS INT) AS season FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
+CAST(80 + o_custkey * 11 % 43 AS INT) AS home_score, o_orderkey % 16 = 0 AS neutral, CAST(floor(o_custkey / 1500) * 1000000 + year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS season
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
 TEAMS = "SELECT n_nationkey AS team, n_regionkey AS conf, n_nationkey % 2 AS division, 1400 + n_nationkey * 37 % 300 AS elo_rating FROM {nation}"
 GAMES_SQL = f"games AS MATERIALIZED ({GAMES.format(orders='orders', customer='customer')}), teams AS MATERIALIZED ({TEAMS.format(nation='nation')})"
 
@@ -77,7 +80,7 @@ def team_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All ordered pairs of the 25 teams."""
     a = teams(spark, d).select(F.col("team").alias("a"), F.col("elo_rating").alias("ea"))
     b = teams(spark, d).select(F.col("team").alias("b"), F.col("elo_rating").alias("eb"))
-    return a.crossJoin(F.broadcast(b)).filter("a <> b")
+    return a.join(b, F.col("a") != F.col("b"))
 
 
 @query(f"{PAIRS_SQL} SELECT a, b, round(p, 8) AS p, ea - eb AS difference FROM x")
@@ -92,18 +95,38 @@ def d5_american_odds(spark: SparkSession, d: str) -> DataFrame:
     return team_pairs(spark, d).select("a", "b", R.american_odds(p).alias("odds"), R.implied_line(F.col("ea"), F.col("eb"), R.HOME_BONUS).alias("line"))
 
 
-def rolled(spark: SparkSession, d: str) -> DataFrame:
+def rolled(spark: SparkSession, d: str, margins: Callable[[int, float], float] = R.log_margin) -> DataFrame:
     # 25 teams: their first ratings go along with the tasks.
     first = {r.team: float(r.elo_rating) for r in teams(spark, d).collect()}
-    return R.rolled_ratings(games(spark, d), first)
+    out = R.rolled_ratings(games(spark, d), first, margins=margins)
+    return out.withColumns({c: F.round(c, 4) for c in ("visiting_before", "home_before", "visiting_after", "home_after")})
 
 
-@query()
+def rolled_sql(name: str, margin: str) -> str:
+    """The fold as a recursion over the places of games in their seasons, all seasons at once; the state is a list of ratings."""
+    return f"""{name}_g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY season ORDER BY game_id, visiting_team, home_team) AS k, abs(home_score - visiting_score) AS margin, home_score >= visiting_score AS won FROM games),
+{name}_s AS (SELECT season, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS game_id, CAST(NULL AS INTEGER) AS vt, CAST(NULL AS INTEGER) AS ht, CAST(0 AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS h, CAST(0 AS DOUBLE) AS change, (SELECT list(CAST(elo_rating AS DOUBLE) ORDER BY team) FROM teams) AS r
+    FROM (SELECT DISTINCT season FROM games)
+  UNION ALL SELECT season, k, game_id, vt, ht, v, h, change, list_transform(r, lambda x, i: CASE WHEN i = vt + 1 THEN x - change WHEN i = ht + 1 THEN x + change ELSE x END) FROM (
+    SELECT *, 20.0 * ({margin}) * (CAST(won AS INTEGER) - 1 / (pow(10.0, -ahead / 400.0) + 1)) AS change FROM (
+      SELECT *, CASE WHEN won THEN ahead ELSE -ahead END AS lead_ FROM (
+        SELECT s.season, g.k, g.game_id, g.visiting_team AS vt, g.home_team AS ht, s.r[g.visiting_team + 1] AS v, s.r[g.home_team + 1] AS h, s.r, margin, won, s.r[g.home_team + 1] - s.r[g.visiting_team + 1] + CASE WHEN neutral THEN 0 ELSE 100.0 END AS ahead
+        FROM {name}_s s JOIN {name}_g g ON s.season = g.season AND g.k = s.k + 1)))),
+{name} AS MATERIALIZED (SELECT season, game_id, vt AS visiting_team, ht AS home_team, round(v, 4) AS visiting_before, round(h, 4) AS home_before, round(v - change, 4) AS visiting_after, round(h + change, 4) AS home_after FROM {name}_s WHERE k > 0)"""
+
+
+LOG_SQL = "ln(margin + 1) * (2.2 / (lead_ * 0.001 + 2.2))"
+POWER_SQL = "pow(margin + 3, 0.8) / (7.5 - 0.006 * lead_)"
+
+
+@query(f"WITH RECURSIVE {GAMES_SQL}, {rolled_sql('a', LOG_SQL)}, {rolled_sql('b', POWER_SQL)} SELECT *, 'log' AS margins FROM a UNION ALL SELECT *, 'power' FROM b")
 def d6_rating_roll_forward(spark: SparkSession, d: str) -> DataFrame:
-    return rolled(spark, d)
+    both = [rolled(spark, d, f).withColumn("margins", F.lit(n)) for n, f in (("log", R.log_margin), ("power", R.power_margin))]
+    return both[0].unionByName(both[1])
 
 
-@query()
+@query(f"""WITH RECURSIVE {GAMES_SQL}, {rolled_sql('a', LOG_SQL)}, u AS (SELECT season, game_id, visiting_team AS team, visiting_after AS rating FROM a UNION ALL SELECT season, game_id, home_team, home_after FROM a)
+SELECT teams.team, coalesce(arg_max(u.rating, (season, game_id)), CAST(any_value(elo_rating) AS DOUBLE)) AS rating FROM teams LEFT JOIN u ON teams.team = u.team GROUP BY 1""")
 def d7_latest_ratings(spark: SparkSession, d: str) -> DataFrame:
     return R.latest_ratings(rolled(spark, d), teams(spark, d))
 
@@ -117,39 +140,40 @@ def d8_long_form(spark: SparkSession, d: str) -> DataFrame:
     return R.long_form(games(spark, d))
 
 
-GRID_SQL = f"""{GAMES_SQL}, grid AS MATERIALIZED (SELECT s.i AS scenario_id, g.*, CAST((s.i * 7919 + game_id * 104729) % 10001 AS BIGINT) AS draw FROM games g, range(1, {SCENARIOS} + 1) s(i) WHERE season = {SEASON}),
+GRID_SQL = f"""{GAMES_SQL}, grid AS MATERIALIZED (SELECT s.i AS scenario_id, g.*, CAST((s.i * 7919 + game_id * 104729) % 10001 AS BIGINT) AS draw FROM games g, range(1, {SCENARIOS} + 1) s(i)),
 cells AS MATERIALIZED (SELECT g.*, CASE WHEN game_id <= {KNOWN_UNTIL} THEN home_score >= visiting_score ELSE {p_sql('h.elo_rating', 'v.elo_rating', '100')} * 10000 >= draw END AS home_wins
 FROM grid g JOIN teams h ON home_team = h.team JOIN teams v ON visiting_team = v.team)"""
-ROWS_SQL = f"""{GRID_SQL}, u AS (SELECT scenario_id, game_id, visiting_team AS team, home_team AS opponent, CAST(NOT home_wins AS INTEGER) AS won, visiting_score AS points, home_score AS against FROM cells
-UNION ALL SELECT scenario_id, game_id, home_team, visiting_team, CAST(home_wins AS INTEGER), home_score, visiting_score FROM cells),
+ROWS_SQL = f"""{GAMES_SQL}, u AS ({LONG_SQL}),
 rows_ AS MATERIALIZED (SELECT u.*, a.conf, a.division, a.conf = b.conf AS in_conf, a.conf = b.conf AND a.division = b.division AS in_division FROM u JOIN teams a ON u.team = a.team JOIN teams b ON u.opponent = b.team),
-st AS MATERIALIZED (SELECT scenario_id, team, conf, division, CAST(sum(won) AS BIGINT) AS wins, CAST(count(*) AS BIGINT) AS games, CAST(count(*) - sum(won) AS BIGINT) AS losses, CAST(coalesce(sum(won) FILTER (in_division), 0) AS BIGINT) AS division_wins, CAST(count(*) FILTER (in_division) AS BIGINT) AS division_games,
+st AS MATERIALIZED (SELECT season, team, conf, division, CAST(sum(won) AS BIGINT) AS wins, CAST(count(*) AS BIGINT) AS games, CAST(count(*) - sum(won) AS BIGINT) AS losses, CAST(coalesce(sum(won) FILTER (in_division), 0) AS BIGINT) AS division_wins, CAST(count(*) FILTER (in_division) AS BIGINT) AS division_games,
 CAST(coalesce(sum(won) FILTER (in_conf), 0) AS BIGINT) AS conf_wins, CAST(count(*) FILTER (in_conf) AS BIGINT) AS conf_games, CAST(sum(points - against) AS BIGINT) AS point_diff FROM rows_ GROUP BY 1, 2, 3, 4)"""
 
 
-def cells(spark: SparkSession, d: str) -> DataFrame:
-    season = games(spark, d).filter(F.col("season") == SEASON)
-    rate = lambda side: F.broadcast(teams(spark, d).select(F.col("team").alias(f"{side}_team"), F.col("elo_rating").alias(f"{side}_elo")))
-    rated = season.join(rate("home"), "home_team").join(rate("visiting"), "visiting_team")
-    return R.simulated(R.scenario_grid(rated, SCENARIOS), KNOWN_UNTIL)
+@query(f"WITH {GRID_SQL} SELECT scenario_id, game_id, draw FROM grid")
+def d9_scenario_grid(spark: SparkSession, d: str) -> DataFrame:
+    return R.scenario_grid(games(spark, d), SCENARIOS).select("scenario_id", "game_id", "draw")
 
 
-def season_rows(spark: SparkSession, d: str) -> DataFrame:
-    return R.outcomes(cells(spark, d), teams(spark, d))
+@query(f"WITH {GRID_SQL} SELECT scenario_id, game_id, home_wins FROM cells")
+def d10_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    rate = lambda side: teams(spark, d).select(F.col("team").alias(f"{side}_team"), F.col("elo_rating").alias(f"{side}_elo"))
+    rated = games(spark, d).join(rate("home"), "home_team").join(rate("visiting"), "visiting_team")
+    return R.simulated(R.scenario_grid(rated, SCENARIOS), KNOWN_UNTIL).select("scenario_id", "game_id", "home_wins")
 
 
-def season_table(spark: SparkSession, d: str) -> DataFrame:
-    return R.standings(season_rows(spark, d))
+def season_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every team's games of all seasons, with their real results; written once, as ties read them more than once."""
+    return Scratch(spark, "seasons").table(R.outcomes(games(spark, d), teams(spark, d)), "rows")
 
 
-@query(f"WITH {GRID_SQL} SELECT scenario_id, game_id, draw FROM grid")
-def d9_scenario_grid(spark: SparkSession, d: str) -> DataFrame:
-    return R.scenario_grid(games(spark, d).filter(F.col("season") == SEASON), SCENARIOS).select("scenario_id", "game_id", "draw")
+def season_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The rows and their standings, both written."""
+    rows = season_rows(spark, d)
+    return rows, Scratch(spark, "seasons").table(R.standings(rows), "standings")
 
 
-@query(f"WITH {GRID_SQL} SELECT scenario_id, game_id, home_wins FROM cells")
-def d10_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return cells(spark, d).select("scenario_id", "game_id", "home_wins")
+def season_table(spark: SparkSession, d: str) -> DataFrame:
+    return R.standings(R.outcomes(games(spark, d), teams(spark, d)))
 
 
 @query(f"WITH {ROWS_SQL} SELECT * FROM st")
@@ -157,51 +181,50 @@ def d11_standings(spark: SparkSession, d: str) -> DataFrame:
     return season_table(spark, d)
 
 
-@query(f"WITH {ROWS_SQL} SELECT r.scenario_id, r.team, CAST(sum(won) AS BIGINT) AS h2h_wins, CAST(count(*) AS BIGINT) AS h2h_games FROM rows_ r JOIN st a ON r.scenario_id = a.scenario_id AND r.team = a.team JOIN st b ON r.scenario_id = b.scenario_id AND r.opponent = b.team WHERE a.conf = b.conf AND a.wins = b.wins GROUP BY 1, 2")
+@query(f"WITH {ROWS_SQL} SELECT r.season, r.team, CAST(sum(won) AS BIGINT) AS h2h_wins, CAST(count(*) AS BIGINT) AS h2h_games FROM rows_ r JOIN st a ON r.season = a.season AND r.team = a.team JOIN st b ON r.season = b.season AND r.opponent = b.team WHERE a.conf = b.conf AND a.wins = b.wins GROUP BY 1, 2")
 def d12_head_to_head(spark: SparkSession, d: str) -> DataFrame:
-    return R.head_to_head(season_rows(spark, d), season_table(spark, d))
+    return R.head_to_head(*season_parts(spark, d))
 
 
-@query(f"""WITH {ROWS_SQL}, m AS (SELECT r.scenario_id, r.team, r.opponent, r.won, a.conf, a.wins FROM rows_ r JOIN st a ON r.scenario_id = a.scenario_id AND r.team = a.team),
-k AS (SELECT scenario_id, conf, wins, opponent FROM m GROUP BY ALL HAVING count(DISTINCT team) >= 2) SELECT scenario_id, team, CAST(sum(won) AS BIGINT) AS common_wins, CAST(count(*) AS BIGINT) AS common_games FROM m JOIN k USING (scenario_id, conf, wins, opponent) GROUP BY 1, 2""")
+@query(f"""WITH {ROWS_SQL}, m AS (SELECT r.season, r.team, r.opponent, r.won, a.conf, a.wins FROM rows_ r JOIN st a ON r.season = a.season AND r.team = a.team),
+k AS (SELECT season, conf, wins, opponent FROM m GROUP BY ALL HAVING count(DISTINCT team) >= 2) SELECT season, team, CAST(sum(won) AS BIGINT) AS common_wins, CAST(count(*) AS BIGINT) AS common_games FROM m JOIN k USING (season, conf, wins, opponent) GROUP BY 1, 2""")
 def d13_common_opponents(spark: SparkSession, d: str) -> DataFrame:
-    return R.common_opponents(season_rows(spark, d), season_table(spark, d))
+    return R.common_opponents(*season_parts(spark, d))
 
 
-@query(f"WITH {ROWS_SQL} SELECT r.scenario_id, r.team, round(coalesce(avg(b.wins / b.games) FILTER (won = 1), 0), 8) AS victory, round(avg(b.wins / b.games), 8) AS schedule FROM rows_ r JOIN st b ON r.scenario_id = b.scenario_id AND r.opponent = b.team GROUP BY 1, 2")
+@query(f"WITH {ROWS_SQL} SELECT r.season, r.team, round(coalesce(avg(b.wins / b.games) FILTER (won = 1), 0), 8) AS victory, round(avg(b.wins / b.games), 8) AS schedule FROM rows_ r JOIN st b ON r.season = b.season AND r.opponent = b.team GROUP BY 1, 2")
 def d14_strengths(spark: SparkSession, d: str) -> DataFrame:
-    out = R.strengths(season_rows(spark, d), season_table(spark, d))
+    out = R.strengths(*season_parts(spark, d))
     return out.withColumns({c: F.round(c, 8) for c in ("victory", "schedule")})
 
 
-@query(f"""WITH {ROWS_SQL} SELECT scenario_id, conf, team, wins, CAST(row_number() OVER (PARTITION BY scenario_id, conf ORDER BY wins DESC, division_wins DESC, conf_wins DESC, point_diff DESC, team DESC) AS INTEGER) AS place,
+@query(f"""WITH {ROWS_SQL} SELECT season, conf, team, wins, CAST(row_number() OVER (PARTITION BY season, conf ORDER BY wins DESC, division_wins DESC, conf_wins DESC, point_diff DESC, team DESC) AS INTEGER) AS place,
 CASE WHEN count(*) OVER w = 1 THEN 'record' WHEN min(division_wins) OVER w <> max(division_wins) OVER w THEN 'division_wins' WHEN min(conf_wins) OVER w <> max(conf_wins) OVER w THEN 'conf_wins' WHEN min(point_diff) OVER w <> max(point_diff) OVER w THEN 'point_diff' ELSE 'team' END AS decided_by
-FROM st WINDOW w AS (PARTITION BY scenario_id, conf, wins)""")
+FROM st WINDOW w AS (PARTITION BY season, conf, wins)""")
 def d15_ordinal_rank(spark: SparkSession, d: str) -> DataFrame:
-    return R.ranked(season_table(spark, d), ["division_wins", "conf_wins", "point_diff", "team"]).select("scenario_id", "conf", "team", "wins", "place", "decided_by")
+    return R.ranked(season_table(spark, d), ["division_wins", "conf_wins", "point_diff", "team"]).select("season", "conf", "team", "wins", "place", "decided_by")
 
 
-@query(f"""WITH {ROWS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY scenario_id, conf ORDER BY wins DESC, conf_wins DESC, team) <= 3 AS strong FROM st),
-m AS (SELECT r.scenario_id, r.team, coalesce(sum(won) FILTER (strong AND in_conf), 0) / greatest(count(*) FILTER (strong AND in_conf), 1) AS own_strong, coalesce(sum(won) FILTER (strong AND NOT in_conf), 0) / greatest(count(*) FILTER (strong AND NOT in_conf), 1) AS other_strong
-  FROM rows_ r JOIN k ON r.scenario_id = k.scenario_id AND r.opponent = k.team GROUP BY 1, 2),
-t AS (SELECT st.*, own_strong, other_strong, count(*) OVER (PARTITION BY st.scenario_id, conf, wins) AS tied FROM st LEFT JOIN m USING (scenario_id, team)), p AS (SELECT * FROM t WHERE tied = 2),
-h AS (SELECT scenario_id, team, opponent, sum(won) * 2 - count(*) AS h2h FROM rows_ WHERE team < opponent GROUP BY 1, 2, 3),
-b AS (SELECT a.scenario_id, a.conf, a.team AS x, b.team AS y, coalesce(h2h, 0) AS d1, CASE WHEN a.division = b.division THEN a.division_wins / greatest(a.division_games, 1) - b.division_wins / greatest(b.division_games, 1) ELSE 0 END AS d2, a.conf_wins / greatest(a.conf_games, 1) - b.conf_wins / greatest(b.conf_games, 1) AS d3,
-  coalesce(a.own_strong - b.own_strong, 0) AS d4, coalesce(a.other_strong - b.other_strong, 0) AS d5, a.point_diff - b.point_diff AS d6 FROM p a JOIN p b ON a.scenario_id = b.scenario_id AND a.conf = b.conf AND a.wins = b.wins AND a.team < b.team LEFT JOIN h ON h.scenario_id = a.scenario_id AND h.team = a.team AND h.opponent = b.team),
+@query(f"""WITH {ROWS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY season, conf ORDER BY wins DESC, conf_wins DESC, team) <= 3 AS strong FROM st),
+m AS (SELECT r.season, r.team, coalesce(sum(won) FILTER (strong AND in_conf), 0) / greatest(count(*) FILTER (strong AND in_conf), 1) AS own_strong, coalesce(sum(won) FILTER (strong AND NOT in_conf), 0) / greatest(count(*) FILTER (strong AND NOT in_conf), 1) AS other_strong
+  FROM rows_ r JOIN k ON r.season = k.season AND r.opponent = k.team GROUP BY 1, 2),
+t AS (SELECT st.*, own_strong, other_strong, count(*) OVER (PARTITION BY st.season, conf, wins) AS tied FROM st LEFT JOIN m USING (season, team)), p AS (SELECT * FROM t WHERE tied = 2),
+h AS (SELECT season, team, opponent, sum(won) * 2 - count(*) AS h2h FROM rows_ WHERE team < opponent GROUP BY 1, 2, 3),
+b AS (SELECT a.season, a.conf, a.team AS x, b.team AS y, coalesce(h2h, 0) AS d1, CASE WHEN a.division = b.division THEN a.division_wins / greatest(a.division_games, 1) - b.division_wins / greatest(b.division_games, 1) ELSE 0 END AS d2, a.conf_wins / greatest(a.conf_games, 1) - b.conf_wins / greatest(b.conf_games, 1) AS d3,
+  coalesce(a.own_strong - b.own_strong, 0) AS d4, coalesce(a.other_strong - b.other_strong, 0) AS d5, a.point_diff - b.point_diff AS d6 FROM p a JOIN p b ON a.season = b.season AND a.conf = b.conf AND a.wins = b.wins AND a.team < b.team LEFT JOIN h ON h.season = a.season AND h.team = a.team AND h.opponent = b.team),
 w AS (SELECT *, CASE WHEN abs(d1) > 1e-9 THEN 'head_to_head' WHEN abs(d2) > 1e-9 THEN 'division' WHEN abs(d3) > 1e-9 THEN 'conference' WHEN abs(d4) > 1e-9 THEN 'own_eligible' WHEN abs(d5) > 1e-9 THEN 'other_eligible' WHEN abs(d6) > 1e-9 THEN 'point_diff' ELSE 'team' END AS rule FROM b),
 z AS (SELECT *, CASE rule WHEN 'head_to_head' THEN d1 WHEN 'division' THEN d2 WHEN 'conference' THEN d3 WHEN 'own_eligible' THEN d4 WHEN 'other_eligible' THEN d5 WHEN 'point_diff' THEN d6 ELSE 1 END > 0 AS first_wins FROM w)
-SELECT scenario_id, conf, CASE WHEN first_wins THEN x ELSE y END AS winner, CASE WHEN first_wins THEN y ELSE x END AS loser, rule FROM z""")
+SELECT season, conf, CASE WHEN first_wins THEN x ELSE y END AS winner, CASE WHEN first_wins THEN y ELSE x END AS loser, rule FROM z""")
 def d16_two_team_ties(spark: SparkSession, d: str) -> DataFrame:
-    return R.two_team_ties(season_rows(spark, d), season_table(spark, d), 3)
+    return R.two_team_ties(*season_parts(spark, d), 3)
 
 
 @query()
 def d17_multi_way_ties(spark: SparkSession, d: str) -> DataFrame:
-    # Teams within a band of ten wins count as tied, so that groups of three and more occur.
-    return R.multi_way_ties(season_rows(spark, d), season_table(spark, d).withColumn("wins", F.floor(F.col("wins") / 10)))
+    return R.multi_way_ties(*season_parts(spark, d))
 
 
-@query(f"""WITH {ROWS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY scenario_id, conf ORDER BY wins DESC, point_diff DESC, team) AS place FROM st)
+@query(f"""WITH {ROWS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY season, conf ORDER BY wins DESC, point_diff DESC, team) AS place FROM st)
 SELECT team, conf, round(avg(wins), 6) AS mean_wins, quantile_cont(CAST(wins AS DOUBLE), 0.05) AS low, quantile_cont(CAST(wins AS DOUBLE), 0.95) AS high, CAST(count(*) FILTER (place = 1) AS BIGINT) AS first_places,
 CAST(round_even(quantile_cont(CAST(wins AS DOUBLE), 0.05), 0) AS INTEGER) || ' to ' || CAST(round_even(quantile_cont(CAST(wins AS DOUBLE), 0.95), 0) AS INTEGER) AS range FROM r GROUP BY 1, 2""")
 def d18_season_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ from tablewright.operators import profile as C
 from tablewright.operators import ratings as R
 from tablewright.operators import windows as W
 from tablewright.plans import steps as P
+from tablewright.plans.scratch import Scratch
 from tablewright.sources import io as IO
 from tablewright.streaming import runlog as L
 
@@ -91,7 +92,8 @@ def test_times_leave_out_failures(spark):
 
 def test_observed_chain(spark):
     chain = [("filter", lambda df: df.filter("id % 2 = 0")), ("double", lambda df: df.union(df))]
-    assert P.observed_rows({}, chain[:1], spark.range(10).toDF("id")) == {"filter": 5}
+    assert P.observed_rows(chain[:1], spark.range(10).toDF("id")) == {"filter": 5}
+    assert rows(P.profile_chain([("all", lambda df: df), *chain[:1]], spark.range(10).toDF("id"))) == [(1, "all", 10), (2, "filter", 5)]
 
 
 def test_neutralized_join_keeps_left_rows(spark):
@@ -133,9 +135,18 @@ def test_scd2_and_upsert(spark):
 
 def test_exports(spark):
     df = spark.createDataFrame([('a,"b"', None, "t\tx|y")], "p string, q string, r string")
-    assert IO.export_delimited(df).first()[0] == '"a,""b""",,t\tx|y'
-    assert IO.export_delimited(df, "tsv").first()[0] == 'a,"b"\t\tt x|y'
-    assert IO.export_markdown(df).first()[0] == '| a,"b" |  | t\tx\\|y |'
+    lines = lambda out: [r.line for r in out.collect()]
+    assert lines(IO.export_delimited(df)) == ["p,q,r", '"a,""b""",,t\tx|y']
+    assert lines(IO.export_delimited(df, "tsv")) == ["p\tq\tr", 'a,"b"\t\tt x|y']
+    assert lines(IO.export_markdown(df)) == ["| p | q | r |", "| --- | --- | --- |", '| a,"b" |  | t\tx\\|y |']
+    assert lines(IO.export_delimited(df.toDF("p,1", 'q"', "r"), header=True))[0] == '"p,1","q""",r'
+    assert lines(IO.export_markdown(df.limit(0), header=False)) == [] and len(lines(IO.export_delimited(df, header=False))) == 1
+
+
+def test_tables_replace_themselves(spark, tmp_path):
+    for n in (3, 2):
+        assert IO.materialize(spark.range(n).toDF("x"), "replaced", "table", f"file://{tmp_path}/t").count() == n
+    spark.sql("DROP TABLE replaced")
 
 
 def test_seed_with_byte_order_mark(spark, tmp_path):
@@ -150,6 +161,69 @@ def test_ranks_and_decisions(spark):
     assert out == {1: "x", 2: "x", 3: "x", 4: "record"}
 
 
+def test_ranks_by_ranges(spark):
+    from tablewright.operators import aggregates as A
+
+    data = [("a", float(i % 7)) for i in range(50)] + [("b", 1.0), (None, 2.0), (None, 3.0), ("c", None), ("a", None)]
+    df = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(data)], "id long, k string, v double").repartition(5)
+    scratch = Scratch(spark, "ranks")
+    got = {r.id: r.place for r in W.ranked_values(df, "k", "v", scratch).collect()}
+    # Nulls come last, as in a descending sort.
+    height = lambda v: float("-inf") if v is None else v
+    assert got == {i: 1 + sum(height(w) > height(v) for q, w in data if q == k) for i, (k, v) in enumerate(data)}
+    seeds = {r.id: r.label for r in W.reseed(df, "k", [F.desc("v"), F.asc("id")], F.lit("s"), scratch).collect()}
+    for k in {k for k, _ in data}:
+        order = sorted((i for i, (q, _) in enumerate(data) if q == k), key=lambda i: (-height(data[i][1]), i))
+        assert [seeds[i] for i in order] == [f"s-{n}" for n in range(1, len(order) + 1)]
+    out = {r.k: r for r in A.interval_summary(df, ["k"], "v", scratch).collect()}
+    values = sorted(v for k, v in data if k == "a" and v is not None)
+    at = lambda q: values[int(q * 49)] + (values[min(49, int(q * 49) + 1)] - values[int(q * 49)]) * (q * 49 % 1)
+    assert abs(out["a"].low - at(0.05)) < 1e-9 and abs(out["a"].high - at(0.95)) < 1e-9 and out["b"].low == 1.0
+    assert out[None].low == 2.05 and out["c"].low is None and A.interval_summary(df.limit(0), ["k"], "v", scratch).count() == 0
+
+
+def test_search_without_a_depth(spark):
+    e = spark.createDataFrame([(str(i), str(i + 1)) for i in range(12)], "parent string, child string")
+    start = spark.createDataFrame([("0",)], "id string")
+    assert G.reach(e, start, depth=3).count() == 3 and G.reach(e, start, depth=None).count() == 12
+    assert dict(rows(G.invalidated(e, start)))["12"] == 12
+
+
+def test_intermediate_tables_need_a_shared_folder(spark, monkeypatch):
+    from tablewright.plans import scratch
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_root(Cluster)
+
+
+def test_live_status_over_growing_logs(spark, tmp_path):
+    event = lambda node, status, seq: '{"info":{"name":"NodeFinished"},"data":{"node_info":{"unique_id":"%s","node_status":"%s"},"run_result":{"execution_time":1.5}},"seq":%d}' % (node, status, seq)
+    for i, lines in enumerate([[event("a", "success", 5), event("b", "warn", 1)], [event("a", "error", 3), event("b", "success", 2), "no event"], [event("c", "skipped", 9)]]):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(f"file://{tmp_path}/logs")
+        L.live_status(spark, f"file://{tmp_path}/logs", f"file://{tmp_path}/changes", f"file://{tmp_path}/checkpoint").awaitTermination()
+        if i == 0:
+            assert rows(L.latest_status(spark, f"file://{tmp_path}/changes")) == [("a", "success", 1.5), ("b", "warn", 1.5)]
+    assert rows(L.latest_status(spark, f"file://{tmp_path}/changes")) == [("a", "success", 1.5), ("b", "success", 1.5), ("c", "skipped", 1.5)]
+
+
+def test_margins_and_neutral_games(spark):
+    g = spark.createDataFrame([(1, 1, 1, 2, 90, 100, False), (2, 1, 1, 2, 100, 90, True)], "game_id long, season long, visiting_team int, home_team int, visiting_score int, home_score int, neutral boolean")
+    first = {1: 1500.0, 2: 1600.0}
+    out = {r.game_id: r for r in R.rolled_ratings(g, first, margins=R.power_margin).collect()}
+    expected = 1 / (10 ** (-200 / 400) + 1)
+    assert abs(out[1].home_after - (1600 + 20 * 13**0.8 / (7.5 - 0.006 * 200) * (1 - expected))) < 1e-9
+    ahead = out[1].home_after - out[1].visiting_after  # the second game has no home bonus
+    expected = 1 / (10 ** (-ahead / 400) + 1)
+    assert abs(out[2].home_after - (out[1].home_after + 20 * 13**0.8 / (7.5 + 0.006 * ahead) * (0 - expected))) < 1e-9
+
+
 def test_rating_roll_forward_conserves_points(spark):
     g = spark.createDataFrame([(2, 1, 1, 2, 90, 100), (1, 1, 2, 1, 80, 80), (3, 2, 1, 2, 70, 60)], "game_id long, season int, visiting_team int, home_team int, visiting_score int, home_score int")
     out = {r.game_id: r for r in R.rolled_ratings(g, {1: 1500.0, 2: 1600.0}).collect()}
@@ -178,10 +252,42 @@ def test_rating_roll_forward_holds_a_batch_at_a_time(spark):
 
 
 def test_multi_way_ties(spark):
-    table = spark.createDataFrame([(1, 0, 0, 5, t, 0, c, 0) for t, c in ((1, 1), (2, 2), (3, 2))], "scenario_id long, conf int, division int, wins long, team int, division_wins long, conf_wins long, point_diff long")
-    games = spark.createDataFrame([(1, 2, 3, 1), (1, 3, 2, 0)], "scenario_id long, team int, opponent int, won int")
-    out = [(r.team, r.rule) for r in R.multi_way_ties(games, table).orderBy("place").collect()]
-    assert out == [(2, "head_to_head"), (1, "conference"), (3, "head_to_head")] or [t for t, _ in out][0] == 2
+    """Two seasons of eight teams against a plain statement of the rules."""
+    import random
+
+    r = random.Random(3)
+    teams = {t: (t % 2, r.randint(0, 1), r.randint(0, 2), r.randint(0, 2), r.choice([-5, 0, 5])) for t in range(16)}  # conf, division wins, conf wins, ...
+    records = [(s, teams[t][0], 0, 5 + (t % 8 == 7), t, teams[t][1] * (s == 1), teams[t][2], teams[t][4]) for s in (1, 2) for t in range(16)]
+    games = [(s, a, b, w) for s in (1, 2) for a in range(16) for b in range(a + 1, 16) if (a + b * s) % 3 for w in [r.randint(0, 1)]]
+    games += [(s, b, a, 1 - w) for s, a, b, w in games]
+    table = spark.createDataFrame(records, "season long, conf int, division int, wins long, team int, division_wins long, conf_wins long, point_diff long")
+    got = {(x.season, x.team): (x.place, x.rule) for x in R.multi_way_ties(spark.createDataFrame(games, "season long, team int, opponent int, won int"), table).collect()}
+
+    def rate(season, team, group):
+        won = [w for s, a, b, w in games if s == season and a == team and b in group]
+        return sum(won) / len(won) if won else 0.0
+
+    want = {}
+    for season in (1, 2):
+        for conf in (0, 1):
+            for wins in (5, 6):
+                todo = [([x[4] for x in records if (x[0], x[1], x[3]) == (season, conf, wins)], None)]
+                if len(todo[0][0]) < 3:
+                    continue
+                own = {x[4]: x for x in records if x[0] == season}
+                place = 0
+                while todo:
+                    group, by = todo.pop(0)
+                    rules = [("head_to_head", lambda t: rate(season, t, group)), ("division", lambda t: own[t][5]), ("conference", lambda t: own[t][6]), ("point_diff", lambda t: own[t][7])]
+                    rule = next(((n, f) for n, f in rules if len({f(t) for t in group}) > 1), None)
+                    if len(group) == 1 or rule is None:
+                        for t in sorted(group):
+                            place += 1
+                            want[season, t] = place, by if len(group) == 1 else "team"
+                        continue
+                    values = {t: rule[1](t) for t in group}
+                    todo = [([t for t in group if values[t] == v], rule[0]) for v in sorted(set(values.values()), reverse=True)] + todo
+    assert got == want and len({rule for _, rule in want.values()}) > 2
 
 
 def test_run_logs(spark):

@@ -136,13 +136,15 @@ def mcd_estimates(rows: DataFrame, scratch: Scratch, steps: int | None = None) -
     wanted = few.select("grp", F.ceil(F.col("n") * SHARE).alias("wanted"))
     now = scratch.table(with_cholesky(robust.unionByName(classic.select(robust.columns))), "start")
     done, step = [], 0
-    while steps is None or step < steps:
-        near = with_distance(rows.join(small(now, GROUPS).drop("rows", "log_det"), "grp")).withColumn("bin", F.least(F.lit(LAST_BIN), F.floor(F.log1p("d2") * BINS_A_LOG)).cast("int"))
+    while (open_ := now.count()) and (steps is None or step < steps):
+        # Nothing of a row per start is longer than this table, whose rows are counted.
+        hint = F.broadcast if open_ <= GROUPS else (lambda df: df)
+        near = with_distance(rows.join(hint(now.drop("rows", "log_det")), "grp")).withColumn("bin", F.least(F.lit(LAST_BIN), F.floor(F.log1p("d2") * BINS_A_LOG)).cast("int"))
         # Counted by bin before a group's bins meet: what a window then gathers is bounded by the number of bins.
         bins = scratch.table(near.groupBy("grp", "start", "bin").agg(F.count("*").alias("rows")), "bins")
         running = bins.withColumn("so_far", F.sum("rows").over(Window.partitionBy("grp", "start").orderBy("bin"))).join(wanted, "grp")
-        edge = scratch.table(running.filter("so_far >= wanted").groupBy("grp", "start").agg(F.min("bin").alias("edge")), "edge")
-        inner = near.join(small(edge, GROUPS), ["grp", "start"]).filter(F.col("bin") <= F.col("edge"))
+        edge = running.filter("so_far >= wanted").groupBy("grp", "start").agg(F.min("bin").alias("edge"))
+        inner = near.join(hint(edge), ["grp", "start"]).filter(F.col("bin") <= F.col("edge"))
         centres = [F.col(f"m{i}").alias(f"c{i}") for i in range(1, STATISTICS + 1)]
         moved = with_cholesky(_moments(inner.select("grp", "start", *X, *centres), ["grp", "start"], CONSISTENCY))
         # The starts themselves are no subsets, so their determinants do not count.
@@ -153,10 +155,8 @@ def mcd_estimates(rows: DataFrame, scratch: Scratch, steps: int | None = None) -
         both = scratch.table(met.select("grp", "start", *[F.when(better, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in values], still.alias("still")), f"step{step}")
         done.append(both.filter("still").drop("still"))
         # Settled starts are left out of the next step.
-        now, step = scratch.table(both.filter("NOT still").drop("still"), f"open{step}"), step + 1
-        scratch.drop(bins, edge)
-        if now.isEmpty():
-            break
+        now, step = both.filter("NOT still").drop("still"), step + 1
+        scratch.drop(bins)
     for part in done:
         now = now.unionByName(part)
     now = scratch.table(now, "settled")

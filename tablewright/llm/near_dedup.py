@@ -226,6 +226,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     first = (filled.alias("r").join(classes.alias("c"), (F.col("r.class") == F.col("c.class")) & F.col("r.doc_id").eqNullSafe(F.col("c.first_id"))).select("c.node", "r.n", "r.sketch"))
     nodes = scratch.table(first, "nodes")
+    repeated = nodes.count() > classes.count()
+    if repeated:
+        # Rows with the id and the words of an earlier one.
+        every, nodes = nodes, scratch.table(nodes.dropDuplicates(["node"]), "nodes")
+        scratch.drop(every)
     postings = prefix_postings(nodes, percent / 100, scratch, k)
     posted = list_hubs(postings, scratch)
     scratch.drop(postings)
@@ -239,7 +244,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     # The ids go to the texts while they are few enough to broadcast; beyond that, texts and ids meet in a shuffle.
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(small(wanted).select(F.col("first_id").alias("doc_id"), "node", "class"), "doc_id")
     again = texts.select("node", "class", words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words")).filter(F.md5(F.array_join("words", " ")) == F.col("class"))
-    sets = scratch.table(again.select("node", shingle_set(F.col("words"), width).alias("shingles")).dropDuplicates(["node"]), "sets")
+    full = again.select("node", shingle_set(F.col("words"), width).alias("shingles"))
+    sets = scratch.table(full.dropDuplicates(["node"]) if repeated else full, "sets")
     links = scratch.table(_links(pairs, sets, percent), "links")
     labels = scratch.table(connected_components(links, scratch), "labels")
     more = _links_of_strays(clusters, labels, sets, percent, scratch)

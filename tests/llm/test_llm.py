@@ -167,6 +167,12 @@ def test_near_duplicates_in_many_blocks(spark, scratch, monkeypatch):
     assert rows(near_dedup.near_duplicates(corpus(spark, docs), scratch, 2, 80, k=16)) == brute_components(docs, 2, 80)
 
 
+def test_near_duplicates_of_repeated_rows(spark, scratch):
+    docs = near_corpus()[::2]
+    got = rows(near_dedup.near_duplicates(corpus(spark, docs * 3), scratch, 2, 80))
+    assert got == sorted(brute_components(docs, 2, 80) * 3, key=repr)
+
+
 def test_near_duplicates_edges(spark, scratch):
     assert rows(near_dedup.near_duplicates(corpus(spark, []), scratch)) == []
     repeated = corpus(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "z")])

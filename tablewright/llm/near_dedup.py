@@ -123,7 +123,8 @@ def hub_pairs(posted: DataFrame, nodes: DataFrame, percent: int, scratch: Scratc
     near = posted.filter(sizes_fit(F.col("n"), F.col("hub_n"), percent))
     pairs = scratch.table(near.select("hub", "node").distinct(), "pairs")
     members = pairs.join(nodes.select("node", F.col("n").alias("n_a"), F.col("sketch").alias("a")), "node")
-    both = members.join(nodes.select(F.col("node").alias("hub"), F.col("n").alias("n_b"), F.col("sketch").alias("b")), "hub")
+    of_hubs = nodes.select(F.col("node").alias("hub"), F.col("n").alias("n_b"), F.col("sketch").alias("b")).join(pairs.select("hub").distinct(), "hub", "left_semi")
+    both = members.join(of_hubs, "hub")
     out = scratch.table(both.filter(may_reach(F.col("a"), F.col("b"), F.col("n_a"), F.col("n_b"), percent)).select("hub", "node"), "dense")
     scratch.drop(pairs)
     return out
@@ -169,7 +170,7 @@ def _blocked(rows: DataFrame, keep: list[str]) -> DataFrame:
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs (hub, node) that are linked on their full sets."""
     members = pairs.join(sets.select("node", F.col("shingles").alias("a")), "node")
-    both = members.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("b")), "hub")
+    both = members.join(sets.filter("is_hub").select(F.col("node").alias("hub"), F.col("shingles").alias("b")), "hub")
     return both.filter(linked(F.col("a"), F.col("b"), percent)).select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
 
@@ -239,12 +240,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     scratch.drop(posted, nodes)
     # Full sets are made again from the texts, for the few documents that are in a pair.
     pairs = clusters.unionByName(apart)
-    inside = pairs.select("node").union(pairs.select("hub")).distinct()
-    wanted = scratch.table(inside.join(classes, "node").select("node", "class", "first_id"), "wanted")
+    sides = pairs.select("node", F.lit(False).alias("is_hub")).unionByName(pairs.select(F.col("hub").alias("node"), F.lit(True).alias("is_hub")))
+    inside = sides.groupBy("node").agg(F.bool_or("is_hub").alias("is_hub"))
+    wanted = scratch.table(inside.join(classes, "node").select("node", "is_hub", "class", "first_id"), "wanted")
     # The ids go to the texts while they are few enough to broadcast; beyond that, texts and ids meet in a shuffle.
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small(wanted).select(F.col("first_id").alias("doc_id"), "node", "class"), "doc_id")
-    again = texts.select("node", "class", words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words")).filter(F.md5(F.array_join("words", " ")) == F.col("class"))
-    full = again.select("node", shingle_set(F.col("words"), width).alias("shingles"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small(wanted).select(F.col("first_id").alias("doc_id"), "node", "is_hub", "class"), "doc_id")
+    again = texts.select("node", "is_hub", "class", words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words")).filter(F.md5(F.array_join("words", " ")) == F.col("class"))
+    full = again.select("node", "is_hub", shingle_set(F.col("words"), width).alias("shingles"))
     sets = scratch.table(full.dropDuplicates(["node"]) if repeated else full, "sets")
     links = scratch.table(_links(pairs, sets, percent), "links")
     labels = scratch.table(connected_components(links, scratch), "labels")

@@ -22,7 +22,7 @@ WINDOW, TRIGGER = 50, 20
 PLACES = WINDOW - TRIGGER + 1
 BEFORE, AFTER = PLACES - 1, WINDOW
 #: Windows that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _NUMBERS = np.random.default_rng(11).integers(0, 1 << 63, (2, 256), dtype=np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -65,8 +65,9 @@ class Block:
         self.data, self.offsets = data, offsets
         sizes = np.diff(offsets)
         self.text_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.behind = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
-        self.ahead = np.repeat(offsets[1:], sizes) - np.arange(len(data))
+        at = np.arange(len(data), dtype=np.int32)
+        self.behind = at - np.repeat(offsets[:-1].astype(np.int32), sizes)
+        self.ahead = np.repeat(offsets[1:].astype(np.int32), sizes) - at
         self.is_window = self.ahead >= WINDOW
 
     def _chunks(self):
@@ -104,9 +105,11 @@ class Block:
     def phrases(self, places: np.ndarray) -> np.ndarray:
         """A row of ``BEFORE + AFTER`` bytes for each trigger, 0 beyond the text's ends."""
         before, after = self.reach(places)
-        step = np.arange(-BEFORE, AFTER)
-        at = np.clip(places[:, None] + step, 0, max(0, len(self.data) - 1))
-        return np.where((step >= -before[:, None]) & (step < after[:, None]), self.data[at], 0).astype(np.uint8)
+        padded = np.concatenate([np.zeros(BEFORE, np.uint8), self.data, np.zeros(AFTER, np.uint8)])
+        out = np.lib.stride_tricks.sliding_window_view(padded, BEFORE + AFTER)[places]
+        for step in range(BEFORE + AFTER):
+            out[(step < BEFORE - before) | (step >= BEFORE + after), step] = 0
+        return out
 
     def phrase_hashes(self, places: np.ndarray) -> np.ndarray:
         """A hash of each trigger's phrase, from sums over the block."""
@@ -121,7 +124,7 @@ class Block:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_NUMBERS[1][data] * up[: len(data)])])
             start, end = places[i] - before[i] - low, places[i] + after[i] - low
             out[i] = (sums[end] - sums[start]) * down[start]
-        return mixed(out + mixed((before * 256 + after).astype(np.uint64)))
+        return mixed(out + mixed(before.astype(np.uint64) * np.uint64(256) + after.astype(np.uint64)))
 
 
 def distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.prefix_free import AFTER, BEFORE, PLACES, WINDOW, Block, distinct, repeated_places
-from tablewright.plans.scratch import Scratch
+from tablewright.plans.scratch import Scratch, delete_path
 
 #: Bytes of text of a block, and triggers of a bucket, on average. Tens of terabytes want both larger, by the same factor.
-BLOCK_BYTES, BUCKET_TRIGGERS = 1 << 23, 1 << 20
+BLOCK_BYTES, BUCKET_TRIGGERS = 1 << 22, 1 << 19
 #: Distinct phrases of a trigger beyond which its windows are sent.
 MANY_PHRASES = 1 << 14
 #: Buckets that Spark lets a table have.
@@ -201,31 +201,30 @@ def _remove(table: pa.Table, found: pa.Table) -> pa.Table:
         keys = block.windows(0)
         at = np.minimum(np.searchsorted(windows, keys), len(windows) - 1)
         repeated |= (windows[at] == keys) & (least[at] < order[block.text_of])
-    change = np.zeros(len(repeated) + WINDOW, np.int32)
+    change = np.zeros(len(repeated) + WINDOW, np.int8)
     change[:-WINDOW] += repeated
     change[WINDOW:] -= repeated
-    gone = np.cumsum(change)[: len(repeated)] > 0
+    gone = np.cumsum(change, out=change)[: len(repeated)] > 0
     begins, ends = gone & (np.concatenate([[False], gone])[:-1] == 0), gone & (np.concatenate([gone, [False]])[1:] == 0)
     # Runs end with their text.
     begins |= gone & (block.behind == 0)
     ends |= gone & (block.ahead == 1)
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     text = block.text_of[start]
-    kept = np.concatenate([[0], np.cumsum(~gone)])[block.offsets].astype(np.int32)
+    kept = np.concatenate([np.zeros(1, np.int32), np.cumsum(~gone, dtype=np.int32)])[block.offsets]
     spans = pa.StructArray.from_arrays([pa.array(start - block.offsets[text]), pa.array(end - block.offsets[text])], names=["start", "end"])
     lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(start, block.offsets).astype(np.int32)), spans)
     data = pa.Array.from_buffers(pa.binary(), len(kept) - 1, [None, pa.py_buffer(kept), pa.py_buffer(block.data[~gone])])
     return pa.table({"doc_id": ids, "n_bytes": pa.array(np.diff(block.offsets)), "spans": lists, "kept": data})
 
 
-def _written_blocks(docs: DataFrame, blocks: int, scratch: Scratch) -> str:
-    """The name of a table (block, doc_id, text) in buckets of blocks, which grouping by block reads in place."""
-    name, files = f"text_blocks_{uuid.uuid4().hex}", min(blocks, MOST_FILES)
+def _write_blocks(docs: DataFrame, blocks: int, name: str, path: str) -> None:
+    """A table (block, doc_id, text) in buckets of blocks, which grouping by block reads in place."""
+    files = min(blocks, MOST_FILES)
     # Rows without an id are dealt by their text.
     dealt = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(blocks)).cast("long")
     rows = docs.select(dealt.alias("block"), "doc_id", "text").repartition(files, "block")
-    rows.write.bucketBy(files, "block").option("path", scratch.path("blocks")).option("compression", "zstd").saveAsTable(name)
-    return name
+    rows.write.bucketBy(files, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES, bucket_triggers: int = BUCKET_TRIGGERS, many_phrases: int = MANY_PHRASES) -> DataFrame:
@@ -240,16 +239,20 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_B
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, total / 15 / bucket_triggers))))
-    name = _written_blocks(docs, max(1, math.ceil(total / block_bytes)), scratch)
+    name, path = f"text_blocks_{uuid.uuid4().hex}", scratch.path("blocks")
+    _write_blocks(docs, max(1, math.ceil(total / block_bytes)), name, path)
     try:
         texts = spark.table(name).groupBy("block")
         sent = texts.applyInArrow(_send_triggers(bits), SENT)
         told = scratch.table(sent.groupBy("bucket").applyInPandas(_tell_repeated(many_phrases), TOLD), "told")
         parts = texts.cogroup(told.groupBy("block")).applyInArrow(_send_phrases(bits), PARTS)
         found = scratch.table(parts.groupBy("bucket").applyInPandas(_find_repeated, FOUND), "found")
-        return scratch.table(texts.cogroup(found.groupBy("block")).applyInArrow(_remove, RESULT), "kept")
+        kept = scratch.table(texts.cogroup(found.groupBy("block")).applyInArrow(_remove, RESULT), "kept")
+        scratch.drop(told, found)
+        return kept
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_path(spark, path)
 
 
 def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

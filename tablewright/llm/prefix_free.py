@@ -87,7 +87,8 @@ class Block:
             hashes.append(h[met])
         # Windows of two chunks can have a trigger in common.
         places, first = np.unique(np.concatenate(places), return_index=True)
-        return places, np.concatenate(hashes)[first]
+        # Triggers have small hashes; mixed again, these are spread evenly over buckets.
+        return places, mixed(np.concatenate(hashes)[first])
 
     def windows(self, which: int) -> np.ndarray:
         """A hash of each window by its start; 0 where no window starts."""

@@ -213,3 +213,30 @@ def l5_live_status(spark: SparkSession, d: str) -> DataFrame:
     run_logs(spark, d).write.text(folder)
     R.live_status(spark, folder, changes, scratch.path("checkpoint")).awaitTermination()
     return R.latest_status(spark, changes)
+
+
+def timed_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Log lines of nodes that begin with each event and finish ``value`` seconds later, clicks never, with the part of the month."""
+    events = table(spark, d, "events")
+    node = F.struct(F.concat(F.lit("model.p."), F.col("user_id").cast("string")).alias("unique_id"), F.when(F.col("event_type") == "view", "success").when(F.col("event_type") == "signup", "skipped").when(F.col("event_type") == "purchase", "warn").otherwise("error").alias("node_status"), F.col("value").alias("execution_time"))
+    took = F.array(F.lit(0).cast("long"), F.when(F.col("event_type") != "click", F.round(F.col("value") * 1000).cast("long")))
+    steps = events.select("event_id", node.alias("node"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.posexplode(took).alias("i", "took")).filter("took IS NOT NULL")
+    at = F.timestamp_millis(F.col("ms") + F.col("took"))
+    info = F.struct(F.when(F.col("i") == 0, "NodeStart").otherwise("NodeFinished").alias("name"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"))
+    line = F.to_json(F.struct(info.alias("info"), F.struct(F.col("node").alias("node_info")).alias("data"), (F.col("event_id") * 2 + F.col("i")).alias("seq")))
+    return steps.select(line.alias("value"), F.least(F.lit(2), F.floor((F.dayofmonth(at) - 1) / 10)).alias("part"))
+
+
+@query("""WITH e AS (SELECT 'model.p.' || user_id AS unique_id, event_id, event_type, value, epoch_ms(ts) AS ms FROM events),
+x AS (SELECT unique_id, 'running' AS status, NULL AS seconds, 2 * event_id AS seq, ms FROM e
+      UNION ALL SELECT unique_id, CASE event_type WHEN 'view' THEN 'success' WHEN 'signup' THEN 'skipped' WHEN 'purchase' THEN 'warn' ELSE 'error' END, value, 2 * event_id + 1, ms + CAST(round(value * 1000) AS BIGINT) FROM e WHERE event_type <> 'click'),
+l AS (SELECT unique_id, arg_max(status, seq) AS status, arg_max({'s': seconds}, seq)['s'] AS seconds, arg_max(ms, seq) AS ms FROM x GROUP BY 1)
+SELECT unique_id, CASE WHEN status = 'running' AND ms + 3600000 <= (SELECT max(ms) - 60000 FROM x) THEN 'stuck' ELSE status END AS status, seconds FROM l""")
+def l6_stuck_nodes(spark: SparkSession, d: str) -> DataFrame:
+    scratch = Scratch(spark, "watch")
+    folder, changes, checkpoint = scratch.path("logs"), scratch.path("changes"), scratch.path("checkpoint")
+    logs = scratch.table(timed_logs(spark, d), "lines")
+    for part in range(3):
+        logs.filter(F.col("part") == part).select("value").write.mode("append").text(folder)
+        R.live_status(spark, folder, changes, checkpoint, compact_every=3).awaitTermination()
+    return R.latest_status(spark, changes)

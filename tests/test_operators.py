@@ -1,5 +1,7 @@
 """Edge cases on small frames."""
 
+import json
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -203,7 +205,16 @@ def test_intermediate_tables_need_a_shared_folder(spark, monkeypatch):
         scratch.shared_root(Cluster)
 
 
-def test_live_status_over_growing_logs(spark, tmp_path):
+@pytest.fixture
+def one_state(spark):
+    """A single partition of state: small streams spend their time on opening these."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_live_status_over_growing_logs(spark, tmp_path, one_state):
     event = lambda node, status, seq: '{"info":{"name":"NodeFinished"},"data":{"node_info":{"unique_id":"%s","node_status":"%s"},"run_result":{"execution_time":1.5}},"seq":%d}' % (node, status, seq)
     for i, lines in enumerate([[event("a", "success", 5), event("b", "warn", 1)], [event("a", "error", 3), event("b", "success", 2), "no event"], [event("c", "skipped", 9)]]):
         spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(f"file://{tmp_path}/logs")
@@ -213,6 +224,35 @@ def test_live_status_over_growing_logs(spark, tmp_path):
     assert rows(L.latest_status(spark, f"file://{tmp_path}/changes")) == [("a", "success", 1.5), ("b", "success", 1.5), ("c", "skipped", 1.5)]
 
 
+def test_stuck_late_and_forgotten_nodes(spark, tmp_path, one_state):
+    def line(node, minute, seq, status=None):
+        info = {"name": "NodeFinished" if status else "NodeStart", "ts": f"2024-01-01T{minute // 60:02d}:{minute % 60:02d}:00Z"}
+        node_info = {"unique_id": node, "node_status": status or "started"} | ({"execution_time": 2.0} if status else {})
+        return json.dumps({"info": info, "data": {"node_info": node_info}, "seq": seq})
+
+    folder, changes, checkpoint = (f"file://{tmp_path}/{x}" for x in ("logs", "changes", "checkpoint"))
+
+    def after(*lines, **options):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(folder)
+        query = L.live_status(spark, folder, changes, checkpoint, late="10 minutes", stuck_after=3600, forget_after=7200, **options)
+        query.awaitTermination()
+        states = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+        return {r.unique_id: r.status for r in L.latest_status(spark, changes).collect()}, states[-1]
+
+    # Each call is a stream of its own that goes on from the checkpoint.
+    seen, _ = after(line("a", 0, 1), line("b", 5, 2), line("b", 6, 3, "success"), line("c", 40, 4))
+    assert seen == {"a": "running", "b": "success", "c": "running"}
+    seen, _ = after(line("d", 75, 5, "skipped"))
+    assert seen == {"a": "stuck", "b": "success", "c": "running", "d": "skipped"}
+    # An event older than the watermark (minute 65) is too late; c's is younger, and a comes back.
+    seen, _ = after(line("e", 20, 6), line("c", 70, 7, "fail"), line("a", 76, 8, "warn"), compact_every=1)
+    assert seen == {"a": "warn", "b": "success", "c": "error", "d": "skipped"}
+    # Long after, only the newest node is in the state; what was written stays.
+    seen, held = after(line("f", 600, 9), compact_every=1)
+    assert seen == {"a": "warn", "b": "success", "c": "error", "d": "skipped", "f": "running"} and held == 1
+    assert len([p for p in (tmp_path / "changes").iterdir()]) == 1
+
+
 def test_margins_and_neutral_games(spark):
     g = spark.createDataFrame([(1, 1, 1, 2, 90, 100, False), (2, 1, 1, 2, 100, 90, True)], "game_id long, season long, visiting_team int, home_team int, visiting_score int, home_score int, neutral boolean")
     first = {1: 1500.0, 2: 1600.0}

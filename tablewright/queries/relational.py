@@ -14,6 +14,7 @@ from tablewright.operators import windows as W
 from tablewright.plans.scratch import Scratch
 from tablewright.plans.steps import compare, neutralize_join, with_total
 from tablewright.queries.registry import query, table
+from tablewright.sources import incremental as N
 from tablewright.sources import io as IO
 
 
@@ -98,6 +99,55 @@ def io10_preview(spark: SparkSession, d: str) -> DataFrame:
     return IO.preview(table(spark, d, "orders").select("o_orderkey", "o_orderstatus").orderBy("o_orderkey"), 500)
 
 
+def orders_by_month(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", (F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("month"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, year(o_orderdate) * 100 + month(o_orderdate) AS month FROM orders), m AS (SELECT max(month) AS last FROM o)
+SELECT o_orderkey, o_orderstatus, round(CASE WHEN o_orderkey % 5 = 0 AND month >= last - 1 THEN o_totalprice * 1.1 ELSE o_totalprice END, 4) AS o_totalprice,
+       CAST(CASE WHEN o_orderkey % 10 = 0 AND month >= last - 1 THEN last + 1 ELSE month END AS INTEGER) AS month FROM o, m
+UNION ALL SELECT 1000000000 + i, 'N', 1.5, CAST(last AS INTEGER) FROM m, range(3) r(i)""")
+def io11_partitioned_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in folders by month; in the last months a fifth change their price, half of those move to another month, and three are new."""
+    path = Scratch(spark, "orders").path("by_month")
+    N.write_partitioned(orders_by_month(spark, d), path, ["month"])
+    stored = spark.read.parquet(path)
+    last = F.broadcast(stored.agg(F.max("month").alias("last")))
+    changed = stored.crossJoin(last).filter("o_orderkey % 5 = 0 AND month >= last - 1").withColumn("o_totalprice", F.col("o_totalprice") * 1.1)
+    changed = changed.withColumn("month", F.when(F.col("o_orderkey") % 10 == 0, F.col("last") + 1).otherwise(F.col("month"))).drop("last")
+    new = spark.range(3).crossJoin(last).select((F.col("id") + 1_000_000_000).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), F.lit(1.5).alias("o_totalprice"), F.col("last").alias("month"))
+    N.upsert_partitioned(path, changed.unionByName(new.select(*changed.columns)), "o_orderkey", ["month"])
+    return spark.read.parquet(path).withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_mktsegment, c_nationkey, c_nationkey IN (3, 7) AND c_custkey % 10 = 0 AS gone, c_nationkey IN (3, 7) AND c_custkey % 10 <> 0 AND c_custkey % 7 = 0 AS changed FROM customer)
+SELECT c_custkey, c_mktsegment, c_nationkey, '2024-01-01' AS valid_from, CASE WHEN gone OR changed THEN '2024-02-01' ELSE 'open' END AS valid_to FROM c
+UNION ALL SELECT c_custkey, 'CHANGED', c_nationkey, '2024-02-01', '2024-03-01' FROM c WHERE changed
+UNION ALL SELECT c_custkey, c_mktsegment, c_nationkey, '2024-03-01', 'open' FROM c WHERE changed OR gone
+UNION ALL SELECT 1000000000 + i, 'NEW', 3, '2024-02-01', '2024-03-01' FROM range(5) r(i)""")
+def io12_partitioned_history(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in folders by end of validity and nation: two nations change in February and change back in March."""
+    path = Scratch(spark, "customers").path("history")
+    customers = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    N.write_partitioned(customers.withColumns({"valid_from": F.lit("2024-01-01"), "valid_to": F.lit(N.OPEN)}), path, ["valid_to", "c_nationkey"])
+    two = F.col("c_nationkey").isin(3, 7)
+    later = customers.filter(~two | (F.col("c_custkey") % 10 != 0)).withColumn("c_mktsegment", F.when(two & (F.col("c_custkey") % 7 == 0), "CHANGED").otherwise(F.col("c_mktsegment")))
+    new = spark.range(5).select((F.col("id") + 1_000_000_000).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment"), F.lit(3).alias("c_nationkey"))
+    for version, as_of in ((later.unionByName(new), "2024-02-01"), (customers, "2024-03-01")):
+        N.snapshot_partitioned(path, version, "c_custkey", ["c_mktsegment"], "c_nationkey", as_of)
+    return spark.read.parquet(path)
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS month FROM orders WHERE o_orderstatus = 'F'")
+def io13_full_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """An incremental model built afresh: what its query gives now is all that stays."""
+    path = Scratch(spark, "orders").path("by_month")
+    orders = orders_by_month(spark, d)
+    N.write_partitioned(orders, path, ["month"])
+    N.upsert_partitioned(path, orders.filter("o_orderstatus = 'F'"), "o_orderkey", ["month"], full_refresh=True)
+    return spark.read.parquet(path)
+
+
 # 2.2 Projections and predicates
 
 

@@ -15,8 +15,8 @@ SAMPLE_CHARS = 1 << 26
 def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, rows: int, allowed: Column | None = None, chars: int = SAMPLE_CHARS) -> DataFrame:
     """(doc_id, text, grade) of at most ``rows`` labelled documents of ``chars`` characters in all, by the hash of their id.
 
-    The bounds are the only cuts: they hold at every size, and the same rows come whatever the partitioning. A document
-    that would pass the bound on characters is left out, as are those after it. Rows with a null id, a null grade or
+    The bounds are the only cuts: they hold at every size, and the same rows come whatever the partitioning. Where the texts
+    chosen have more than ``chars`` characters, the longest of them are left out and no others. Rows with a null id, a null grade or
     ``allowed`` not true are no labels; a document labelled more than once takes its least grade. Of repeated
     documents the least text is used.
     """
@@ -29,6 +29,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, rows: int
     sample = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade"))
     sample = Scratch(docs.sparkSession, "labelled").table(sample, "sample")
     # At most ``rows`` lengths: one small task.
-    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    so_far = F.sum("n").over(Window.orderBy("n", F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inside = sample.select("doc_id", F.char_length("text").cast("long").alias("n")).withColumn("so_far", so_far).filter(F.col("so_far") <= chars).select("doc_id")
     return sample.join(F.broadcast(inside), "doc_id").orderBy("doc_id")

@@ -215,8 +215,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
 
     Documents with equal word sequences form one class, tested once, under its smallest doc_id; links between classes are
     confirmed on their full sets. component_id is the smallest doc_id reachable. Null, empty and blank texts have
-    no shingles and are linked with nothing; repeated rows share a class. A class of null ids only has a null
-    component and is kept; other rows with a null id are not.
+    no shingles and are linked with nothing; repeated rows share a class. Rows with a null id are linked like others; where
+    a component has no id but null it is null and its rows are kept, else they are not. Very long texts are shingled whole. An
+    empty table gives none.
     """
     words = docs.select(F.col("doc_id").cast("long"), words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
     keyed = words.select("doc_id", F.md5(F.array_join("words", " ")).alias("class"), shingle_set(F.col("words"), width).alias("shingles"))
@@ -242,9 +243,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     pairs = clusters.unionByName(apart)
     sides = pairs.select("node", F.lit(False).alias("is_hub")).unionByName(pairs.select(F.col("hub").alias("node"), F.lit(True).alias("is_hub")))
     inside = sides.groupBy("node").agg(F.bool_or("is_hub").alias("is_hub"))
-    wanted = scratch.table(inside.join(classes, "node").select("node", "is_hub", "class", "first_id"), "wanted")
+    # A class without an id goes by its words.
+    named_by = lambda id_, words_md5: F.coalesce(id_, F.xxhash64(words_md5))
+    wanted = scratch.table(inside.join(classes, "node").select("node", "is_hub", "class", named_by(F.col("first_id"), F.col("class")).alias("name")), "wanted")
     # The ids go to the texts while they are few enough to broadcast; beyond that, texts and ids meet in a shuffle.
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small(wanted).select(F.col("first_id").alias("doc_id"), "node", "is_hub", "class"), "doc_id")
+    own_words = F.md5(F.array_join(words_of(F.coalesce(F.col("text"), F.lit(""))), " "))
+    texts = docs.select(named_by(F.col("doc_id").cast("long"), own_words).alias("name"), "text").join(small(wanted), "name")
     again = texts.select("node", "is_hub", "class", words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words")).filter(F.md5(F.array_join("words", " ")) == F.col("class"))
     full = again.select("node", "is_hub", shingle_set(F.col("words"), width).alias("shingles"))
     sets = scratch.table(full.dropDuplicates(["node"]) if repeated else full, "sets")

@@ -13,7 +13,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, graph, mixing, near_dedup, quality_classifier, quality_rules, tool_calls, topk_search, toxicity, url_lists, warc
+from tablewright.llm import bpe, graph, labelled, mixing, near_dedup, quality_classifier, quality_rules, tool_calls, topk_search, toxicity, url_lists, warc
 from tablewright.plans.scratch import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, value string"
@@ -724,3 +724,21 @@ def test_url_lists(spark, scratch):
     want = sorted(((i, brute(u, d)[0], d, *brute(u, d)[1:]) for i, u, d in captures), key=repr)
     assert rows(got) == want
     assert url_lists.filter_captures(df.limit(0), e.limit(0), scratch).count() == 0
+
+
+# Faults found in use
+
+
+def test_near_duplicates_link_rows_without_an_id(spark, scratch):
+    base = words(60, 71)
+    text = lambda k: " ".join([*base, f"end{k}"])
+    docs = corpus(spark, [(None, text(1)), (5, text(2)), (7, text(3)), (None, " ".join(words(40, 72))), (None, " ".join([*words(40, 72), "more"])), (None, "")])
+    out = near_dedup.near_duplicates(docs, scratch, width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+    assert rows(out) == sorted([(None, 60, 5, False), (5, 60, 5, True), (7, 60, 5, False), (None, 39, None, True), (None, 40, None, True), (None, 0, None, True)], key=repr)
+
+
+def test_sample_loses_only_its_longest_texts(spark):
+    docs = corpus(spark, [(i, "x" * (200 if i == 3 else 4)) for i in range(20)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    got = labelled.labelled_sample(docs, labels, F.col("quality"), 20, chars=100)
+    assert [r.doc_id for r in got.collect()] == [i for i in range(20) if i != 3]

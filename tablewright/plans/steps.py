@@ -7,13 +7,18 @@ import functools
 import io
 import re
 import time
+import uuid
+from collections import Counter
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from tablewright.plans.scratch import Scratch
+
 Step = Callable[[dict[str, DataFrame]], DataFrame]
 
 
@@ -46,6 +51,78 @@ def profile_steps(steps: dict[str, DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, [_counted(n, i, df) for i, (n, df) in enumerate(steps.items(), 1)])
 
 
+class _Recording(dict):
+    """Frames by name that note which of them are asked for."""
+
+    def __init__(self, frames: dict[str, DataFrame]):
+        super().__init__(frames)
+        self.asked: list[str] = []
+
+    def __getitem__(self, name: str) -> DataFrame:
+        self.asked.append(name)
+        return super().__getitem__(name)
+
+
+def step_inputs(pipeline: Pipeline) -> dict[str, list[str]]:
+    """The sources and steps that each step reads, as often as it asks for them."""
+    known, inputs = dict(pipeline.sources), {}
+    for name, build in pipeline.steps.items():
+        seen = _Recording(known)
+        known[name] = build(seen)
+        inputs[name] = seen.asked
+    return inputs
+
+
+def observed_steps(pipeline: Pipeline, scratch: Scratch) -> tuple[dict[str, DataFrame], dict[str, Observation]]:
+    """(frames, observations): every step of a pipeline made ready to be counted while the pipeline runs once.
+
+    A step that several others read, or one twice, is written once and read from there; any other is part of the one plan that
+    reads it. ``frames`` holds the steps that nothing reads, still to be run; observations fill as their plans run.
+    """
+    inputs = step_inputs(pipeline)
+    uses = Counter(name for asked in inputs.values() for name in asked)
+    known, names, seen = dict(pipeline.sources), {}, {}
+    for name, build in pipeline.steps.items():
+        df = build(known)
+        # A frame asked for once may still be used twice, as in a join with itself.
+        plan = df._jdf.queryExecution().analyzed().toString()
+        twice = [x for x in set(inputs[name]) & set(seen) if plan.count(f"CollectMetrics {names[x]},") > 1]
+        for x in twice:
+            known[x] = scratch.table(known[x], x)
+        df = build(known) if twice else df
+        names[name] = f"{len(names)}-{uuid.uuid4().hex}"
+        seen[name] = Observation(names[name])
+        known[name] = df.observe(seen[name], F.count(F.lit(1)).alias("rows"))
+        if uses[name] > 1:
+            known[name] = scratch.table(known[name], name)
+    return {name: known[name] for name in pipeline.steps if not uses[name]}, seen
+
+
+def _seen_rows(seen: Observation) -> int | None:
+    """The rows that an observation counted, or nothing if its step was planned away while it ran."""
+    try:
+        return seen.get.get("rows")
+    except Py4JJavaError:
+        return None
+
+
+def profile_pipeline(pipeline: Pipeline, scratch: Scratch) -> DataFrame:
+    """(step_order, step, rows) of every step of a branching pipeline that runs once, where ``profile_steps`` runs each from its sources.
+
+    A step whose rows nothing needed to see, because a join's other side was empty, is counted by itself. Counts are kept by
+    accumulators: if lost executors make Spark run a finished stage again, its rows count again.
+    """
+    frames, seen = observed_steps(pipeline, scratch)
+    for df in frames.values():
+        df.write.format("noop").mode("overwrite").save()
+    counts = {name: _seen_rows(o) for name, o in seen.items()}
+    if None in counts.values():
+        whole = pipeline.build()
+        counts = {name: whole[name].count() if n is None else n for name, n in counts.items()}
+    rows = [(i, name, counts[name]) for i, name in enumerate(pipeline.steps, 1)]
+    return scratch.spark.createDataFrame(rows, "step_order int, step string, rows long")
+
+
 def observed_rows(chain: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], first: DataFrame) -> dict[str, int]:
     """Rows after each link of a chain of steps, counted while the chain runs once."""
     seen, df = {}, first

@@ -116,8 +116,12 @@ def t10_roll_up(spark: SparkSession, d: str) -> DataFrame:
 # 2.9 Step profiles
 
 
+def mart(spark: SparkSession, d: str) -> P.Pipeline:
+    return customer_mart(table(spark, d, "customer"), table(spark, d, "orders"))
+
+
 def mart_steps(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return customer_mart(table(spark, d, "customer"), table(spark, d, "orders")).build()
+    return mart(spark, d).build()
 
 
 MART_SQL = """SELECT 1 AS step_order, 'stg_customers' AS step, CAST(count(*) AS BIGINT) AS rows FROM customer UNION ALL SELECT 2, 'stg_orders', count(*) FROM orders
@@ -126,7 +130,7 @@ UNION ALL SELECT 3, 'customer_orders', count(*) FROM customer LEFT JOIN orders O
 
 @query(MART_SQL)
 def p1_profile_steps(spark: SparkSession, d: str) -> DataFrame:
-    return P.profile_steps(mart_steps(spark, d))
+    return P.profile_pipeline(mart(spark, d), Scratch(spark, "profile"))
 
 
 @query()

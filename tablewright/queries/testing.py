@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import datatests as T
 from tablewright.operators import profile as C
+from tablewright.operators import sketches as K
 from tablewright.plans import steps as P
 from tablewright.plans.scratch import Scratch
 from tablewright.queries.registry import query, table
@@ -232,3 +233,55 @@ def c7_inferred_types(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")
     texts = orders.select("o_orderkey", *[F.col(c).cast("string").alias(c) for c in ("o_orderstatus", "o_totalprice", "o_orderdate")], (F.col("o_totalprice") > 1000).cast("string").alias("flag"))
     return C.inferred_types(texts, "o_orderkey")
+
+
+# 2.10 Column profiles from stored states
+
+
+def orders_with_period(spark: SparkSession, d: str) -> DataFrame:
+    month = F.year("o_orderdate") * 100 + F.month("o_orderdate")
+    status = F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus"))
+    return table(spark, d, "orders").select("o_totalprice", status.alias("o_orderstatus"), "o_orderpriority", "o_custkey", month.alias("month"))
+
+
+def corrected(orders: DataFrame, month: int) -> DataFrame:
+    """What one month turns out to be later on: twice the prices, and a status of its own."""
+    return orders.filter(F.col("month") == month).withColumns({"o_totalprice": F.col("o_totalprice") * 2, "o_orderstatus": F.lit("C")})
+
+
+CORRECTED_SQL = """o AS (SELECT CASE WHEN m = 199503 THEN o_totalprice * 2 ELSE o_totalprice END AS price, CASE WHEN m = 199503 THEN 'C' WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_orderpriority, o_custkey
+  FROM (SELECT *, year(o_orderdate) * 100 + month(o_orderdate) AS m FROM orders))"""
+
+
+@query(f"""WITH {CORRECTED_SQL}, p AS (SELECT 'o_orderstatus' AS "column", o_orderstatus AS value FROM o UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM o),
+s AS (SELECT "column", CAST(count(value) AS BIGINT) AS n, CAST(count(*) - count(value) AS BIGINT) AS nulls, CAST(count(DISTINCT value) AS BIGINT) AS distinct_values FROM p GROUP BY 1),
+v AS (SELECT "column", value, CAST(count(*) AS BIGINT) AS value_n, row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, value) AS place FROM p WHERE value IS NOT NULL GROUP BY 1, 2)
+SELECT "column", n, nulls, distinct_values, value, value_n FROM s JOIN v USING ("column") WHERE place <= 5""")
+def c8_text_profile_from_states(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of all months from stored states, after one month was corrected and its state replaced."""
+    path, orders = Scratch(spark, "states").path("texts"), orders_with_period(spark, d)
+    texts = ["o_orderstatus", "o_orderpriority"]
+    K.store_states(K.text_states(orders, ["month"], texts), path, "month")
+    K.store_states(K.text_states(corrected(orders, 199503), ["month"], texts), path, "month")
+    return K.text_profile_from_states(spark.read.parquet(path))
+
+
+@query(f"""WITH {CORRECTED_SQL}, x AS (SELECT price, c_mktsegment FROM o JOIN customer ON o_custkey = c_custkey)
+SELECT c_mktsegment, CAST(count(price) AS BIGINT) AS n, min(price) AS least, max(price) AS greatest, round(avg(price), 2) AS mean, true AS low_in_bounds, true AS high_in_bounds FROM x GROUP BY 1""")
+def c9_intervals_from_states(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and 5th and 95th percentiles of prices by segment from states by month and segment, one month replaced.
+
+    The percentiles are estimates: what is returned is whether their true ranks lie within the bound that is stated for them, doubled.
+    """
+    path, segments = Scratch(spark, "states").path("prices"), table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    orders = orders_with_period(spark, d).join(segments, "o_custkey")
+    by = ["month", "c_mktsegment"]
+    K.store_states(K.number_states(orders, by, ["o_totalprice"]), path, "month")
+    K.store_states(K.number_states(corrected(orders, 199503), by, ["o_totalprice"]), path, "month")
+    # A row a segment: written, so that estimates are the same wherever they are read.
+    found = Scratch(spark, "states").table(K.number_profile(spark.read.parquet(path), ["c_mktsegment"], (0.05, 0.95)), "profile")
+    now = orders.filter("month <> 199503").unionByName(corrected(orders, 199503))
+    share = lambda i: F.avg((F.col("o_totalprice") <= F.col("quantiles")[i]).cast("double"))
+    ranks = now.join(F.broadcast(found.select("c_mktsegment", "quantiles")), "c_mktsegment").groupBy("c_mktsegment").agg(F.count("*").alias("rows"), share(0).alias("low"), share(1).alias("high"))
+    near = lambda c, q: F.abs(F.col(c) - q) <= 2 * K.rank_error() + 1 / F.col("rows")
+    return found.join(ranks, "c_mktsegment").select("c_mktsegment", "n", "least", "greatest", F.round("mean", 2).alias("mean"), near("low", 0.05).alias("low_in_bounds"), near("high", 0.95).alias("high_in_bounds"))

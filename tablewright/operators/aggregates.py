@@ -11,14 +11,22 @@ from tablewright.operators.windows import counts_before
 from tablewright.plans.scratch import Scratch
 
 
-def interval_summary(df: DataFrame, keys: Sequence[str], value: str, scratch: Scratch | None = None, low: float = 0.05, high: float = 0.95) -> DataFrame:
+#: Rows of a group up to which one task may hold its distinct values.
+GROUP_ROWS = 1 << 20
+
+
+def interval_summary(df: DataFrame, keys: Sequence[str], value: str, scratch: Scratch | None = None, low: float = 0.05, high: float = 0.95, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Mean and two percentiles by key. With ``scratch`` they are exact; else a sketch of bounded size answers.
 
-    Exact ones interpolate between the values at the two places around each percentile. Places come from counts of distinct
-    values in ranges, so no task holds a key's values. Null values are left out; a key without any has nulls.
+    Exact ones interpolate between the values at the two places around each percentile. Where the largest group has more than
+    ``group_rows`` rows, places come from counts of distinct values in ranges, so no task holds a key's values; below, one
+    aggregation gives the same numbers. Null values are left out; a key without any has nulls.
     """
     if scratch is None:
         return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.percentile_approx(value, low).alias("low"), F.percentile_approx(value, high).alias("high"))
+    largest = df.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= group_rows:
+        return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.percentile(value, low).alias("low"), F.percentile(value, high).alias("high"))
     slim = scratch.table(df.select(*keys, value), "values")
     placed = scratch.table(counts_before(slim.filter(F.col(value).isNotNull()), keys, value, scratch), "places")
     total = scratch.table(slim.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n")), "totals").alias("t")

@@ -29,6 +29,24 @@ def unique(df: DataFrame, model: str, columns: Sequence[str], severity: str = "e
     return _result(repeated.agg(F.count("*").alias("failures")), "unique", model, ",".join(columns), severity)
 
 
+def unique_keys(df: DataFrame, model: str, keys: Sequence[Sequence[str]], severity: str = "error") -> DataFrame:
+    """``unique`` for several keys at once: rows are grouped by all of them in one scan and one shuffle, as grouping sets."""
+    keys = list(dict.fromkeys(tuple(k) for k in keys))
+    columns = list(dict.fromkeys(c for k in keys for c in k))
+    # Keys and columns by names of our own, since a set's bits follow the order of the columns.
+    named = {c: f"key{i}" for i, c in enumerate(columns)}
+    slim = df.select(*[F.col(c).alias(n) for c, n in named.items()])
+    grouped = slim.groupingSets([[F.col(named[c]) for c in k] for k in keys], *named.values()).agg(F.grouping_id(*named.values()).alias("of"), F.count("*").alias("n"))
+
+    def failures(key: Sequence[str]) -> Column:
+        bits = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in key)
+        whole = functools.reduce(lambda a, b: a & b, [F.col(named[c]).isNotNull() for c in key])
+        return F.count_if((F.col("of") == bits) & (F.col("n") > 1) & whole)
+
+    rows = [F.struct(F.lit("unique").alias("test"), F.lit(model).alias("model"), F.lit(",".join(k)).alias("column"), _status(failures(k), severity).alias("status"), failures(k).cast("long").alias("failures")) for k in keys]
+    return grouped.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
 def rejected_values(df: DataFrame, column: str, values: Sequence[object]) -> DataFrame:
     """(value, n) of values that are not accepted; nulls are accepted."""
     return df.filter(~F.col(column).isin(*values)).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
@@ -61,11 +79,11 @@ class Check:
 
 
 def run_suite(df: DataFrame, model: str, checks: Sequence[Check], keys: Sequence[Sequence[str]] = ()) -> DataFrame:
-    """All column checks in one aggregation of the table, turned to rows; each key of ``keys`` adds a uniqueness test."""
+    """All column checks in one aggregation of the table, and uniqueness tests of all ``keys`` in another, turned to rows."""
     fails = [F.count_if(F.col(c.column).isNull() if c.test == "not_null" else ~F.col(c.column).isin(*c.values)) for c in checks]
     rows = [F.struct(F.lit(c.test).alias("test"), F.lit(model).alias("model"), F.lit(c.column).alias("column"), _status(n, c.severity).alias("status"), n.cast("long").alias("failures")) for c, n in zip(checks, fails)]
     wide = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
-    return functools.reduce(DataFrame.unionByName, [unique(df, model, k) for k in keys], wide)
+    return wide.unionByName(unique_keys(df, model, keys)) if keys else wide
 
 
 def assertion(failure_type: str, found: DataFrame, keys: Sequence[str], detail: Column, description: str) -> DataFrame:

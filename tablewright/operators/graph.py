@@ -31,19 +31,21 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "downstream", de
     source, target = ("parent", "child") if direction == "downstream" else ("child", "parent")
     buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"links_{uuid.uuid4().hex}"
     links = edges.select(F.col(source).alias("from_id"), F.col(target).alias("id")).distinct().repartition(buckets, "from_id")
-    links.write.bucketBy(buckets, "from_id").option("path", scratch.path("links")).saveAsTable(name)
-    links = spark.table(name)
-    seen = frontier = scratch.table(starts.select("id").distinct().withColumn("distance", F.lit(0)), "start")
-    distance = 0
-    while depth is None or distance < depth:
-        distance += 1
-        met = frontier.select(F.col("id").alias("from_id")).join(links, "from_id").select("id").distinct()
-        frontier = scratch.table(met.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(distance)), f"round{distance}")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    # What is returned reads the rounds only.
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        links.write.bucketBy(buckets, "from_id").option("path", scratch.path("links")).saveAsTable(name)
+        links = spark.table(name)
+        seen = frontier = scratch.table(starts.select("id").distinct().withColumn("distance", F.lit(0)), "start")
+        distance = 0
+        while depth is None or distance < depth:
+            distance += 1
+            met = frontier.select(F.col("id").alias("from_id")).join(links, "from_id").select("id").distinct()
+            frontier = scratch.table(met.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(distance)), f"round{distance}")
+            if frontier.isEmpty():
+                break
+            seen = seen.unionByName(frontier)
+    finally:
+        # What is returned reads the rounds only.
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return seen.filter("distance > 0")
 
 
@@ -137,12 +139,16 @@ def suggest_by_folder(nodes: DataFrame, part: Column, least: int = 2, most: int
     return buckets.crossJoin(F.broadcast(how_many)).filter(F.col("buckets").between(least, most)).select("layer", "n")
 
 
-def suggest_by_tag(tags: DataFrame, total: Column, vocabulary: Sequence[str] = (), coverage: float = 0.3, top: int = 5) -> DataFrame:
-    """(layer, n) from (tag, n): known words if any covers enough, else the most frequent tags that together do."""
+def suggest_by_tag(tags: DataFrame, total: DataFrame, vocabulary: Sequence[str] = (), coverage: float = 0.3, top: int = 5) -> DataFrame:
+    """(layer, n) from (tag, n): known words if any covers enough, else the most frequent tags that together do.
+
+    ``total`` is one row (total) with the number that shares are of.
+    """
     known = tags.filter(F.lower("tag").isin(*vocabulary)) if vocabulary else tags.limit(0)
-    enough = known.agg((F.coalesce(F.sum("n"), F.lit(0)) >= total * coverage).alias("use_known"))
+    covers = lambda df, name: df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).crossJoin(F.broadcast(total)).select((F.col("n") >= F.col("total") * coverage).alias(name))
+    enough = covers(known, "use_known")
     ranked = tags.orderBy(F.desc("n"), "tag").limit(top)
-    reached = ranked.agg((F.coalesce(F.sum("n"), F.lit(0)) >= total * coverage).alias("enough"))
+    reached = covers(ranked, "enough")
     a = known.crossJoin(F.broadcast(enough)).filter("use_known").select("tag", "n")
     b = ranked.crossJoin(F.broadcast(enough)).crossJoin(F.broadcast(reached)).filter("NOT use_known AND enough").select("tag", "n")
     return a.unionByName(b).withColumnRenamed("tag", "layer")

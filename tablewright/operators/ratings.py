@@ -6,6 +6,7 @@ A season is that of one league, so seasons grow in number with the games; standi
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablewright.plans.scratch import Scratch
+
 #: A rating difference of SPREAD is ten to one, the home side's bonus, points of rating per point of line.
 SPREAD, HOME_BONUS, POINTS_A_LINE = 400.0, 100.0, 28.0
 
@@ -190,45 +193,44 @@ def two_team_ties(rows: DataFrame, table: DataFrame, eligible: int = 10) -> Data
     return both.select(F.col("a.season").alias("season"), F.col("a.conf").alias("conf"), F.when(first, F.col("a.team")).otherwise(F.col("b.team")).alias("winner"), F.when(first, F.col("b.team")).otherwise(F.col("a.team")).alias("loser"), rule.alias("rule"))
 
 
-def multi_way_ties(rows: DataFrame, table: DataFrame) -> DataFrame:
+#: Rules that split a tied group, in order: the record among its teams comes first.
+TIE_RULES = (("head_to_head", "h2h"), ("division", "division_wins"), ("conference", "conf_wins"), ("point_diff", "point_diff"))
+
+
+def multi_way_ties(rows: DataFrame, table: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(season, conf, wins, team, place, rule) of all tied groups of three or more.
 
-    A rule splits a group; parts that stay tied are taken up again from the first rule, among themselves. Groups are of
-    one season and conference, so they are small and run side by side.
+    A rule splits a group; parts that stay tied are taken up again from the first rule, among themselves. All open groups are
+    split at once in a round of window aggregates, and a team's group is named by the number of teams before it. Rounds grow
+    with the depth of ties, which is below the size of the largest group. A group that no rule splits is in order of team.
     """
+    scratch = scratch or Scratch(rows.sparkSession, "ties")
     tied = table.withColumn("tied", F.count("*").over(Window.partitionBy("season", "conf", "wins"))).filter("tied >= 3")
-    slim = tied.select("season", "conf", "wins", "team", "division_wins", "conf_wins", "point_diff")
-    theirs = slim.select("season", "conf", "wins", F.col("team").alias("opponent"))
-    met = rows.select("season", "team", "opponent", "won").join(slim, ["season", "team"]).join(theirs, ["season", "conf", "wins", "opponent"])
-    games = met.groupBy("season", "conf", "wins", "team", "opponent").agg(F.sum("won").alias("w"), F.count("*").alias("g"))
-    full = slim.join(games.groupBy("season", "conf", "wins", "team").agg(F.collect_list(F.struct("opponent", "w", "g")).alias("games")), ["season", "conf", "wins", "team"], "left")
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        info = {r.team: r for r in pdf.itertuples()}
-        beaten = {t: {x["opponent"]: (x["w"], x["g"]) for x in (r.games if r.games is not None else [])} for t, r in info.items()}
-
-        def among(team: int, group: list[int]) -> float:
-            got = [beaten[team][o] for o in group if o in beaten[team]]
-            return sum(w for w, _ in got) / sum(g for _, g in got) if got else 0.0
-
-        rules = [("head_to_head", among), ("division", lambda t, _: info[t].division_wins), ("conference", lambda t, _: info[t].conf_wins), ("point_diff", lambda t, _: info[t].point_diff)]
-
-        def order(group: list[int]) -> list[tuple[int, str]]:
-            if len(group) == 1:
-                return [(group[0], "alone")]
-            for name, rule in rules:
-                value = {t: rule(t, group) for t in group}
-                steps = sorted(set(value.values()), reverse=True)
-                if len(steps) > 1:
-                    parts = [order([t for t in group if value[t] == v]) for v in steps]
-                    return [(t, name if r == "alone" else r) for part in parts for t, r in part]
-            return [(t, "team") for t in sorted(group)]
-
-        placed = order(sorted(info))
-        head = pdf.iloc[0]
-        return pd.DataFrame([(head.season, head.conf, head.wins, t, i, r) for i, (t, r) in enumerate(placed, 1)], columns=["season", "conf", "wins", "team", "place", "rule"])
-
-    return full.groupBy("season", "conf", "wins").applyInPandas(split, "season long, conf int, wins long, team int, place int, rule string")
+    group = ["season", "conf", "wins", "before"]
+    now = tied.select("season", "conf", "wins", "team", "division_wins", "conf_wins", "point_diff", F.lit(0).alias("before"), F.lit("alone").alias("rule"))
+    now = scratch.table(now, "open")
+    games = rows.join(now.select("season", "team"), ["season", "team"], "left_semi").groupBy("season", "team", "opponent").agg(F.sum("won").alias("w"), F.count("*").alias("g"))
+    games = scratch.table(games, "games")
+    w, done = Window.partitionBy(*group), []
+    while True:
+        # Groups of one team, and those that the round before found no rule for, are placed.
+        done.append(now.withColumn("n", F.count("*").over(w)).filter("n = 1 OR rule = 'team'").drop("n"))
+        now = scratch.table(now.withColumn("n", F.count("*").over(w)).filter("n > 1 AND rule <> 'team'").drop("n"), "open")
+        if now.isEmpty():
+            break
+        theirs = now.select(*group, F.col("team").alias("opponent"))
+        record = now.select(*group, "team").join(games, ["season", "team"]).join(theirs, [*group, "opponent"]).groupBy(*group, "team").agg((F.sum("w") / F.sum("g")).alias("h2h"))
+        valued = now.join(record, [*group, "team"], "left").withColumn("h2h", F.coalesce("h2h", F.lit(0.0)))
+        value, rule = F.lit(0.0), F.lit("team")
+        for name, c in reversed(TIE_RULES):
+            splits = F.min(c).over(w) < F.max(c).over(w)
+            value, rule = F.when(splits, F.col(c).cast("double")).otherwise(value), F.when(splits, name).otherwise(rule)
+        split = valued.withColumns({"value": value, "rule": rule})
+        ahead = F.rank().over(w.orderBy(F.desc("value"))) - 1
+        now = scratch.table(split.withColumn("before", F.col("before") + ahead).select(*now.columns), "split")
+    last = functools.reduce(DataFrame.unionByName, done)
+    place = F.col("before") + F.row_number().over(w.orderBy("team"))
+    return last.select("season", "conf", "wins", "team", place.cast("int").alias("place"), "rule")
 
 
 def season_summary(table: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators import graph as G
+from tablewright.operators import reachability as A
+from tablewright.operators import versions as V
 from tablewright.plans.scratch import Scratch
 from tablewright.queries.registry import query, table
 from tablewright.queries.relational import V2_SQL, customers_v2
@@ -120,7 +122,7 @@ SELECT 'tag' AS kind, tag AS layer, n FROM r WHERE (SELECT sum(n) FROM r) >= (SE
 def g10_suggest_by_tag_and_prefix(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     tags = docs.groupBy(F.col("source").alias("tag")).agg(F.count("*").alias("n"))
-    by_tag = G.suggest_by_tag(tags, F.lit(docs.count()), ["staging", "marts"], 0.2)
+    by_tag = G.suggest_by_tag(tags, docs.agg(F.count("*").alias("total")), ["staging", "marts"], 0.2)
     by_prefix = G.suggest_by_prefix(table(spark, d, "part").select(F.col("p_name").alias("name")))
     return by_tag.withColumn("kind", F.lit("tag")).unionByName(by_prefix.withColumn("kind", F.lit("prefix")))
 
@@ -161,6 +163,61 @@ def g14_orphans_and_leaves(spark: SparkSession, d: str) -> DataFrame:
     return G.orphans_and_leaves(ids, edges(spark, d))
 
 
+@query(f"WITH {DIFF_SQL} SELECT * FROM df")
+def g15_diff_by_hash_tree(spark: SparkSession, d: str) -> DataFrame:
+    """g6's rows from two stored versions, reading only ranges that differ."""
+    scratch, customers = Scratch(spark, "versions"), table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    old, new = scratch.path("old"), scratch.path("new")
+    V.store_version(customers, old, "c_custkey", 64)
+    V.store_version(customers_v2(customers), new, "c_custkey", like=old)
+    return V.stored_diff(spark, old, new, "c_custkey")
+
+
+CHANGED_EDGES_SQL = f"""{EDGES_SQL.replace("e AS MATERIALIZED", "b AS MATERIALIZED")}, e AS MATERIALIZED (SELECT * FROM b WHERE NOT coalesce(parent LIKE 'c:%' AND TRY_CAST(child[3:] AS BIGINT) % 7 = 0 AND TRY_CAST(child[3:] AS BIGINT) % 14 <> 0, false)
+  AND NOT coalesce(parent = 'n:7' AND child LIKE 's:%' AND TRY_CAST(child[3:] AS BIGINT) % 3 = 0, false) UNION SELECT 'n:7', 'o:' || o_orderkey FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey % 100 <> 0)"""
+
+
+@query(f"WITH RECURSIVE {CHANGED_EDGES_SQL}, {walk_sql('x', chr(39) + 'n:7' + chr(39))} SELECT * FROM x")
+def g16_incremental_reach(spark: SparkSession, d: str) -> DataFrame:
+    """What depends on a nation, kept up to date over three batches of added and removed edges."""
+    scratch, now = Scratch(spark, "batches"), edges(spark, d).distinct()
+    number = F.split_part("child", F.lit(":"), F.lit(2)).try_cast("long")
+    to_orders = now.filter("parent LIKE 'c:%'")
+    short = table(spark, d, "orders").filter("o_orderkey % 50 = 0").select(F.lit("n:7").alias("parent"), _id("o", "o_orderkey").alias("child"))
+    batches = [
+        (now.limit(0), to_orders.filter(number % 7 == 0)), (to_orders.filter(number % 14 == 0).unionByName(short), now.limit(0)),
+        (now.limit(0), short.filter(number % 100 == 0).unionByName(now.filter("parent = 'n:7' AND child LIKE 's:%'").filter(number % 3 == 0))),
+    ]
+    now = scratch.table(now, "edges")
+    reached = G.lineage(now, "n:7").unionByName(spark.range(1).select(F.lit("n:7").alias("id"), F.lit(0).alias("distance")))
+    for added, removed in batches:
+        now = scratch.table(A.changed_edges(now, added, removed), "edges")
+        reached = A.updated_reach(reached, now, added, removed, scratch)
+    return reached.filter("distance > 0")
+
+
+@query(f"WITH RECURSIVE {EDGES_SQL}, c AS (SELECT parent AS id, child AS dep FROM e UNION SELECT c.id, e.child FROM c JOIN e ON c.dep = e.parent), n AS (SELECT id, count(*) AS n FROM c GROUP BY 1), i AS (SELECT parent AS id FROM e UNION SELECT child FROM e) SELECT id, CAST(least(16, coalesce(n, 0)) AS BIGINT) AS reached, CASE WHEN coalesce(n, 0) <= 3 THEN 'low' WHEN n <= 10 THEN 'medium' ELSE 'high' END AS level FROM i LEFT JOIN n USING (id)")
+def g17_impact_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The impact level of every node at once."""
+    return A.impact_levels(edges(spark, d), Scratch(spark, "impact"))
+
+
+def looping_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of five customers, half of them closed to a ring of four, a third with a ring of two, and some loops."""
+    k, i, g = F.col("c_custkey"), F.col("c_custkey") % 5, F.floor(F.col("c_custkey") / 5)
+    to = F.array(F.when(i < 4, k + 1), F.when((i == 3) & (g % 2 == 0), k - 3), F.when((i == 2) & (g % 3 == 0), k - 1), F.when(k % 17 == 0, k))
+    links = table(spark, d, "customer").select(k, F.explode(to).alias("to")).filter("to IS NOT NULL")
+    return links.select(_id("c", "c_custkey").alias("parent"), _id("c", "to").alias("child"))
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT 'c:' || k AS parent, 'c:' || t AS child FROM (SELECT c_custkey AS k, unnest([CASE WHEN c_custkey % 5 < 4 THEN c_custkey + 1 END, CASE WHEN c_custkey % 5 = 3 AND c_custkey // 5 % 2 = 0 THEN c_custkey - 3 END,
+  CASE WHEN c_custkey % 5 = 2 AND c_custkey // 5 % 3 = 0 THEN c_custkey - 1 END, CASE WHEN c_custkey % 17 = 0 THEN c_custkey END]) AS t FROM customer) WHERE t IS NOT NULL),
+r AS (SELECT parent AS a, child AS b FROM e UNION SELECT r.a, e.child FROM r JOIN e ON r.b = e.parent), m AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a)
+SELECT a AS node, min(b) AS component, CAST(count(*) AS BIGINT) AS size FROM m GROUP BY 1""")
+def g18_cycles(spark: SparkSession, d: str) -> DataFrame:
+    return A.cycles(looping_edges(spark, d), Scratch(spark, "cycles"))
+
+
 # 2.12 Run logs
 
 

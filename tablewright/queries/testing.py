@@ -64,6 +64,16 @@ def t6_suite(spark: SparkSession, d: str) -> DataFrame:
     return T.run_suite(table(spark, d, "orders"), "orders", SUITE, [["o_orderkey"]])
 
 
+KEYS = [["o_orderkey"], ["o_custkey", "o_orderdate"], ["o_custkey", "o_orderstatus"], ["o_totalprice"], ["o_orderkey", "o_totalprice"]]
+
+
+@query(" UNION ALL ".join(f"""SELECT 'unique' AS test, 'orders' AS model, '{",".join(k)}' AS "column", CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END AS status, CAST(count(*) AS BIGINT) AS failures
+FROM (SELECT 1 FROM orders WHERE {" AND ".join(f"{c} IS NOT NULL" for c in k)} GROUP BY {", ".join(k)} HAVING count(*) > 1)""" for k in KEYS))
+def t11_unique_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Five keys of one table in one shuffle."""
+    return T.unique_keys(table(spark, d, "orders"), "orders", KEYS)
+
+
 @query("""SELECT 'orphan_line' AS failure_type, l_orderkey || '/' || l_linenumber AS keys, CAST(l_partkey AS VARCHAR) AS detail, 'line without an order that is not partial' AS description FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P')
 UNION ALL SELECT 'duplicate_line', l_orderkey || '/' || l_linenumber, CAST(count(*) AS VARCHAR), 'line number used twice' FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
 UNION ALL SELECT 'early_shipping', l_orderkey || '/' || l_linenumber, CAST(date_diff('day', o_orderdate, l_shipdate) AS VARCHAR), 'shipped before ordered' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate

@@ -219,7 +219,22 @@ def d16_two_team_ties(spark: SparkSession, d: str) -> DataFrame:
     return R.two_team_ties(*season_parts(spark, d), 3)
 
 
-@query()
+def ties_sql(rounds: int = 5) -> str:
+    """Rounds of splitting, one table each: more than a group of five teams can take."""
+    steps = []
+    for i in range(rounds):
+        steps.append(f"""h{i} AS (SELECT a.season, a.team, sum(g.w) / sum(g.g) AS h2h FROM r{i} a JOIN r{i} b USING (season, conf, wins, before) JOIN gm g ON g.season = a.season AND g.team = a.team AND g.opponent = b.team WHERE a.rule <> 'team' GROUP BY 1, 2),
+v{i} AS (SELECT r.*, coalesce(h.h2h, 0) AS h2h FROM r{i} r LEFT JOIN h{i} h ON h.season = r.season AND h.team = r.team),
+s{i} AS (SELECT *, CASE WHEN count(*) OVER w = 1 OR rule = 'team' THEN rule WHEN min(h2h) OVER w < max(h2h) OVER w THEN 'head_to_head' WHEN min(division_wins) OVER w < max(division_wins) OVER w THEN 'division'
+  WHEN min(conf_wins) OVER w < max(conf_wins) OVER w THEN 'conference' WHEN min(point_diff) OVER w < max(point_diff) OVER w THEN 'point_diff' ELSE 'team' END AS next, count(*) OVER w AS n FROM v{i} WINDOW w AS (PARTITION BY season, conf, wins, before)),
+r{i + 1} AS (SELECT season, conf, wins, team, division_wins, conf_wins, point_diff, CASE WHEN n = 1 OR next = 'team' THEN before ELSE before - 1 + rank() OVER (PARTITION BY season, conf, wins, before
+  ORDER BY CASE next WHEN 'head_to_head' THEN h2h WHEN 'division' THEN division_wins WHEN 'conference' THEN conf_wins ELSE point_diff END DESC) END AS before, next AS rule FROM s{i})""")
+    return ",\n".join(steps)
+
+
+@query(f"""WITH {ROWS_SQL}, gm AS (SELECT season, team, opponent, sum(won) AS w, count(*) AS g FROM rows_ GROUP BY 1, 2, 3),
+r0 AS (SELECT season, conf, wins, team, division_wins, conf_wins, point_diff, 0 AS before, 'alone' AS rule FROM (SELECT *, count(*) OVER (PARTITION BY season, conf, wins) AS tied FROM st) WHERE tied >= 3),
+{ties_sql()} SELECT season, conf, wins, team, CAST(before + row_number() OVER (PARTITION BY season, conf, wins, before ORDER BY team) AS INTEGER) AS place, rule FROM r5""")
 def d17_multi_way_ties(spark: SparkSession, d: str) -> DataFrame:
     return R.multi_way_ties(*season_parts(spark, d))
 

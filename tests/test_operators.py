@@ -337,3 +337,20 @@ def test_run_logs(spark):
     assert rows(L.run_results(df)) == [("a", "error", 1.5), ("b", "skipped", 1.5)]
     test = '{"info":{"name":"LogTestResult"},"data":{"name":"t1","status":"fail","num_failures":3,"elapsed_time":0.5},"seq":1}'
     assert rows(L.test_results(spark.createDataFrame([(test,)], "value string"))) == [("t1", "fail", 3, 0.5)]
+
+
+def test_unique_keys_share_one_shuffle(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", None), (2, "a", None), (None, "a", 2.0), (None, "a", 2.0), (3, "c", 5.0), (3, "c", 6.0)], "k int, s string, of double")
+    keys = [["k"], ["s"], ["k", "s"], ["of"], ["s", "of"], ["k", "s", "of"]]
+    plan = T.unique_keys(df, "m", keys)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 1 and plan.count("Scan ") == 1
+    assert rows(T.unique_keys(df, "m", keys)) == sorted((r for k in keys for r in rows(T.unique(df, "m", k))), key=repr)
+    assert rows(T.unique_keys(df.limit(0), "m", keys[:2])) == [("unique", "m", "k", "pass", 0), ("unique", "m", "s", "pass", 0)]
+
+
+def test_interval_summary_is_the_same_by_ranges(spark, tmp_path):
+    df = spark.range(500).select(F.when(F.col("id") < 400, "a").when(F.col("id") < 490, "b").otherwise(None).alias("k"), F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 101).cast("double")).alias("v"))
+    df = df.unionByName(spark.createDataFrame([("c", None)], "k string, v double"))
+    near = lambda r: [(x[0], *[None if v is None else round(v, 9) for v in x[1:]]) for x in r]
+    small, large = (near(rows(A.interval_summary(df, ["k"], "v", scratch.Scratch(spark, "test"), group_rows=n))) for n in (1000, 100))
+    assert small == large and len(small) == 4

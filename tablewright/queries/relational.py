@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewright.functions import exprs as E
+from tablewright.functions import user as U
 from tablewright.operators import aggregates as A
 from tablewright.operators import joins as J
 from tablewright.operators import sets as S
@@ -515,3 +516,9 @@ def u1_is_positive_int(spark: SparkSession, d: str) -> DataFrame:
     E.create_is_positive_int(spark)
     text = F.when(F.col("c_custkey") % 3 == 0, "x").otherwise((F.col("c_custkey") - 5).cast("string"))
     return table(spark, d, "customer").select("c_custkey", F.call_function("is_positive_int", text).alias("flag"))
+
+
+@query("SELECT l_returnflag, round(exp(avg(ln(l_extendedprice)) FILTER (l_extendedprice > 0)), 4) AS typical_price, round(sum(l_discount * l_extendedprice) / sum(l_extendedprice), 8) AS discount FROM lineitem GROUP BY 1")
+def u2_aggregate_functions(spark: SparkSession, d: str) -> DataFrame:
+    price = F.col("l_extendedprice")
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(U.GEOMETRIC_MEAN(price), 4).alias("typical_price"), F.round(U.WEIGHTED_MEAN("l_discount", price), 8).alias("discount"))

@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tablewright.functions import exprs as E
+from tablewright.operators import aggregates as A
 from tablewright.operators import datatests as T
 from tablewright.operators import graph as G
 from tablewright.operators import profile as C
@@ -352,5 +353,20 @@ def test_interval_summary_is_the_same_by_ranges(spark, tmp_path):
     df = spark.range(500).select(F.when(F.col("id") < 400, "a").when(F.col("id") < 490, "b").otherwise(None).alias("k"), F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 101).cast("double")).alias("v"))
     df = df.unionByName(spark.createDataFrame([("c", None)], "k string, v double"))
     near = lambda r: [(x[0], *[None if v is None else round(v, 9) for v in x[1:]]) for x in r]
-    small, large = (near(rows(A.interval_summary(df, ["k"], "v", scratch.Scratch(spark, "test"), group_rows=n))) for n in (1000, 100))
+    small, large = (near(rows(A.interval_summary(df, ["k"], "v", Scratch(spark, "test"), group_rows=n))) for n in (1000, 100))
     assert small == large and len(small) == 4
+
+
+def test_user_functions_of_both_kinds(spark):
+    from tablewright.functions import user as U
+
+    twice = U.UserFunction("twice_it", [("a", "int")], "bigint", "a * 2", tags=("demo",))
+    twice.create(spark)
+    df = spark.createDataFrame([("a", "2", 1.0), ("a", "8", 3.0), ("b", "-1", None), ("b", None, 2.0)], "k string, x string, w double")
+    assert rows(df.filter("x > 0").select(twice("x").alias("y"))) == [(16,), (4,)]
+    out = df.groupBy("k").agg(U.GEOMETRIC_MEAN("x").alias("g"), U.WEIGHTED_MEAN("x", F.col("w")).alias("m"))
+    assert [(r[0], None if r[1] is None else round(r[1], 9), r[2]) for r in rows(out)] == [("a", 4.0, 6.5), ("b", None, None)]
+    with pytest.raises(TypeError, match="takes 2"):
+        U.WEIGHTED_MEAN("x")
+    found = U.function_inventory(spark, [twice, U.WEIGHTED_MEAN])
+    assert rows(found.select("name", "kind", "arguments", "returns")) == [("twice_it", "scalar", "a int", "bigint"), ("weighted_mean", "aggregate", "x double, weight double", "double")]

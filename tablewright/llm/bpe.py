@@ -162,7 +162,11 @@ def decode_ids(encoded: DataFrame, vocabulary: str | None = None, pattern: str |
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Digests of the ids of every whole text and of the bytes that those ids decode to, in one pass over the texts."""
+    """Digests of the ids of every whole text and of the bytes that those ids decode to, in one pass over the texts.
+
+    A null or empty text has no ids and decodes to no bytes. Null ids stay null. Repeated rows each give a row, alike. Very long
+    texts are encoded whole. Columns other than doc_id and text are ignored, whatever their names. An empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(vocabulary, pattern)

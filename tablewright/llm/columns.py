@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Ids (with a number or two) that are broadcast at most, about 50 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Bytes of text that may go with them.
+BROADCAST_TEXT = 1 << 26
 
 
 def own(df: DataFrame) -> list[Column]:
@@ -38,6 +40,11 @@ def unpacked(df: DataFrame, columns: list[str], **outputs: Column) -> DataFrame:
     return df.select(*[F.col("row").getField(c).alias(c) for c in columns], *[c.alias(free_name(n, columns)) for n, c in outputs.items()])
 
 
-def small(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
-    """``df``, a written table, with a broadcast hint if it is counted and has no more than ``rows`` rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_IDS, text: Column | None = None) -> DataFrame:
+    """``df``, a written table, with a broadcast hint if it is counted and has no more than ``rows`` rows.
+
+    Where rows carry a ``text``, all of these may have ``BROADCAST_TEXT`` bytes at most.
+    """
+    size = F.octet_length(text) if text is not None else F.lit(0)
+    found = df.agg(F.count("*").alias("rows"), F.sum(size.cast("long")).alias("bytes")).first()
+    return F.broadcast(df) if found["rows"] <= rows and (found["bytes"] or 0) <= BROADCAST_TEXT else df

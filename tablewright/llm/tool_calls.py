@@ -81,7 +81,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, needs: DataFrame, sche
     out as repeats; of results likewise. A null identifier or conversation makes no call and no
     result. status is ok, invalid (arguments), cyclic, unmet (a dependency that is no call) or unanswered, in
     this order of precedence. canonical is the linked pair as canonical JSON: arguments with sorted keys, null where not
-    JSON. Ordering by (conv_id, level, turn, call_id) is topological.
+    JSON. Ordering by (conv_id, level, turn, call_id) is topological. Very long texts are linked and serialised whole; other
+    columns are ignored, whatever their names. Without calls there are no rows; without results, needs or both all calls are
+    still there.
     """
     key = ["conv_id", "call_id"]
     called = calls.select(*key, "turn", "tool", "arguments").dropna(subset=key).groupBy(*key).agg(F.min(F.struct("turn", "tool", "arguments")).alias("c")).select(*key, "c.*")

@@ -116,7 +116,7 @@ def write_deduplicated(pages: DataFrame, path: str, scratch: Scratch, min_bytes:
     """
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = scratch.table(payload_headers(pages), "payloads")
-    roles = small(scratch.table(revisit_roles(rows, min_bytes), "roles"))
+    roles = small(scratch.table(revisit_roles(rows, min_bytes), "roles"), text=F.col("original.url"))
     full = rows.join(roles, "row_id", "left")
     size = F.when(F.col("original").isNull(), F.col("payload_bytes")).otherwise(0)
     records = full.select(record_text(date).alias("value"), archive_of(F.col("row_id"), size, archive_bytes).alias("archive"))

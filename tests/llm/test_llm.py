@@ -742,3 +742,13 @@ def test_sample_loses_only_its_longest_texts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
     got = labelled.labelled_sample(docs, labels, F.col("quality"), 20, chars=100)
     assert [r.doc_id for r in got.collect()] == [i for i in range(20) if i != 3]
+
+
+def test_long_texts_are_not_broadcast(spark, scratch, monkeypatch):
+    from tablewright.llm import columns
+
+    df = scratch.table(spark.createDataFrame([(1, "u" * 60), (2, None), (3, "v" * 60)], "id long, url string"), "roles")
+    hinted = lambda d: "BROADCAST" in d._jdf.queryExecution().logical().toString().upper()
+    assert hinted(columns.small(df, text=F.col("url"))) and not hinted(columns.small(df, rows=2))
+    monkeypatch.setattr(columns, "BROADCAST_TEXT", 100)
+    assert not hinted(columns.small(df, text=F.col("url"))) and hinted(columns.small(df))

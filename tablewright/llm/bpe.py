@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Pieces and pairs remembered by a Python worker. A full memory of pieces becomes the old one, from which those still in
 #: use are taken over; a full memory of pairs is emptied.
-PIECES_KEPT, PAIRS_KEPT = 250_000, 1_000_000
+PIECES_KEPT, PAIRS_KEPT = 125_000, 250_000
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

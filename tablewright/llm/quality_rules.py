@@ -107,15 +107,24 @@ def with_distance(rows: DataFrame) -> DataFrame:
     return out.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, STATISTICS + 1)), F.lit(0.0))).drop(*[f"z{i}" for i in range(1, STATISTICS + 1)])
 
 
-def _moments(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
-    """Means and floored covariances of x by ``keys``, summed about the centre c1 to c5 that rows carry."""
+SUMS = [f"a{i}" for i in range(1, STATISTICS + 1)] + [f"q{i}{j}" for i, j in PAIRS]
+
+
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows and the ``SUMS`` of x and its products by ``keys``, about the centre c1 to c5 that rows carry; the centre stays."""
     d = {i: F.col(f"x{i}") - F.col(f"c{i}") for i in range(1, STATISTICS + 1)}
-    sums = [F.avg(d[i]).alias(f"a{i}") for i in d] + [F.avg(d[i] * d[j]).alias(f"q{i}{j}") for i, j in PAIRS] + [F.first(f"c{i}").alias(f"c{i}") for i in d]
-    g = rows.groupBy(*keys).agg(F.count("*").alias("rows"), *sums)
-    floor = {i: FLOORS[i - 1] ** 2 for i in d}
-    plain = lambda i, j: (F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) * factor
-    cov = [(F.greatest(plain(i, j), F.lit(floor[i])) if i == j else plain(i, j)).alias(f"s{i}{j}") for i, j in PAIRS]
-    return g.select(*keys, "rows", *[(F.col(f"c{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in d], *cov)
+    sums = [F.sum(d[i]).alias(f"a{i}") for i in d] + [F.sum(d[i] * d[j]).alias(f"q{i}{j}") for i, j in PAIRS] + [F.first(f"c{i}").alias(f"c{i}") for i in d]
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), *sums)
+
+
+def _moments(sums: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """Means and floored covariances by ``keys`` from rows of ``_summed``, which are added up."""
+    centre = [f"c{i}" for i in range(1, STATISTICS + 1)]
+    g = sums.groupBy(*keys).agg(F.sum("rows").alias("rows"), *[F.sum(c).alias(c) for c in SUMS], *[F.first(c).alias(c) for c in centre])
+    mean = lambda c: F.col(c) / F.col("rows")
+    plain = lambda i, j: (mean(f"q{i}{j}") - mean(f"a{i}") * mean(f"a{j}")) * factor
+    cov = [(F.greatest(plain(i, j), F.lit(FLOORS[i - 1] ** 2)) if i == j else plain(i, j)).alias(f"s{i}{j}") for i, j in PAIRS]
+    return g.select(*keys, "rows", *[(F.col(c) + mean(f"a{i}")).alias(f"m{i}") for i, c in enumerate(centre, 1)], *cov)
 
 
 def mcd_estimates(rows: DataFrame, scratch: Scratch, steps: int | None = None) -> DataFrame:
@@ -132,21 +141,21 @@ def mcd_estimates(rows: DataFrame, scratch: Scratch, steps: int | None = None) -
     spread = lambda i, x: F.greatest(F.pow((F.col(f"p{x}")[2] - F.col(f"p{x}")[0]) / 1.349, 2), F.lit(FLOORS[i - 1] ** 2))
     robust = shape.select("grp", F.lit(0).alias("start"), F.col("n").alias("rows"), *[F.col(f"p{x}")[1].alias(f"m{i}") for i, x in enumerate(X, 1)], *[(spread(i, X[i - 1]) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS])
     few = small(shape, GROUPS)
-    classic = _moments(rows.join(few.select("grp", *middle), "grp"), ["grp"], 1.0).withColumn("start", F.lit(1))
+    classic = _moments(_summed(rows.join(few.select("grp", *middle), "grp"), "grp"), ["grp"], 1.0).withColumn("start", F.lit(1))
     wanted = few.select("grp", F.ceil(F.col("n") * SHARE).alias("wanted"))
     now = scratch.table(with_cholesky(robust.unionByName(classic.select(robust.columns))), "start")
     done, step = [], 0
     while (open_ := now.count()) and (steps is None or step < steps):
         # Nothing of a row per start is longer than this table, whose rows are counted.
         hint = F.broadcast if open_ <= GROUPS else (lambda df: df)
-        near = with_distance(rows.join(hint(now.drop("rows", "log_det")), "grp")).withColumn("bin", F.least(F.lit(LAST_BIN), F.floor(F.log1p("d2") * BINS_A_LOG)).cast("int"))
-        # Counted by bin before a group's bins meet: what a window then gathers is bounded by the number of bins.
-        bins = scratch.table(near.groupBy("grp", "start", "bin").agg(F.count("*").alias("rows")), "bins")
-        running = bins.withColumn("so_far", F.sum("rows").over(Window.partitionBy("grp", "start").orderBy("bin"))).join(wanted, "grp")
-        edge = running.filter("so_far >= wanted").groupBy("grp", "start").agg(F.min("bin").alias("edge"))
-        inner = near.join(hint(edge), ["grp", "start"]).filter(F.col("bin") <= F.col("edge"))
         centres = [F.col(f"m{i}").alias(f"c{i}") for i in range(1, STATISTICS + 1)]
-        moved = with_cholesky(_moments(inner.select("grp", "start", *X, *centres), ["grp", "start"], CONSISTENCY))
+        near = with_distance(rows.join(hint(now.drop("rows", "log_det")), "grp")).withColumn("bin", F.least(F.lit(LAST_BIN), F.floor(F.log1p("d2") * BINS_A_LOG)).cast("int"))
+        # One scan a step: sums are kept by bin, and those up to the edge are the subset's. What a window gathers of a group is
+        # bounded by the number of bins.
+        bins = _summed(near.select("grp", "start", "bin", *X, *centres), "grp", "start", "bin")
+        w = Window.partitionBy("grp", "start").orderBy("bin")
+        running = bins.withColumn("before", F.sum("rows").over(w) - F.col("rows")).join(wanted, "grp")
+        moved = with_cholesky(_moments(running.filter("before < wanted"), ["grp", "start"], CONSISTENCY))
         # The starts themselves are no subsets, so their determinants do not count.
         still = F.col("n.log_det") >= F.col("o.log_det") - SETTLED if step else F.lit(False)
         better = F.lit(step == 0) | (F.col("n.log_det") < F.col("o.log_det"))
@@ -156,7 +165,6 @@ def mcd_estimates(rows: DataFrame, scratch: Scratch, steps: int | None = None) -
         done.append(both.filter("still").drop("still"))
         # Settled starts are left out of the next step.
         now, step = both.filter("NOT still").drop("still"), step + 1
-        scratch.drop(bins)
     for part in done:
         now = now.unionByName(part)
     now = scratch.table(now, "settled")

@@ -38,7 +38,7 @@ CHANCE = 0.05
 SEGMENT, STEPS, RATE, PENALTY = 64, 80, 0.2, 0.1
 THRESHOLD, SPAN = 0.3, 0.5
 TOKEN = re.compile(r"\w+")
-WORDS_KEPT = 500_000
+WORDS_KEPT, POWERS_KEPT = 500_000, 4_096
 #: Share of word triples that near copies have in common.
 COPY_SHARE = 0.8
 
@@ -89,9 +89,10 @@ class Chain:
         self.neutral = float(rest[1] / rest.sum())  # a token far from any feature
 
     def power(self, n: int) -> np.ndarray:
-        """Transitions over n tokens without features. They settle with n: from 1,024 on, the power of 1,024 stands for all."""
-        n = min(n, 1024)
+        """Transitions over n tokens without features, for runs of any length; those met are remembered, and forgotten when many."""
         if n not in self.powers:
+            if len(self.powers) >= POWERS_KEPT:
+                self.powers.clear()
             self.powers[n] = np.linalg.matrix_power(self.step, n)
         return self.powers[n]
 

@@ -559,6 +559,20 @@ def test_marginals_over_gaps_equal_all_tokens():
             assert np.allclose(chain.marginals(at, [weights[i] for i in at], len(text)), full[0, at], atol=1e-9)
 
 
+def test_marginals_over_long_runs_of_a_sticky_chain(monkeypatch):
+    """A chain that forgets slowly, over 5,000 tokens without features, and with a memory of two powers."""
+    monkeypatch.setattr(toxicity, "POWERS_KEPT", 2)
+    chain = toxicity.Chain({"bad": 9.0, "good": -9.0}, -0.0004, np.array([[8.5, 0.0], [0.0, 8.5]]))
+    far, near = chain.power(1024), chain.power(5000)
+    assert not np.allclose(far / far.sum(), near / near.sum(), atol=1e-3)
+    for text in (["bad", *["so"] * 5000, "good", *["so"] * 3000], [*["so"] * 5000, "bad"], ["good", *["so"] * 2500, "bad", *["so"] * 1500, "bad"]):
+        weights = [chain.weights[w] for w in text]
+        emit = np.array([[chain.bias + (w or 0.0) for w in weights]])
+        full, _, _ = toxicity._forward_backward(emit, chain.moves, np.array([len(text)]))
+        at = [i for i, w in enumerate(weights) if w is not None]
+        assert np.allclose(chain.marginals(at, [weights[i] for i in at], len(text)), full[0, at], atol=1e-8)
+
+
 def test_likelihood_and_gradient_over_all_labellings():
     """Every labelling of short texts is summed up; segments without features count as often as they occur."""
     r = np.random.default_rng(2)

@@ -91,6 +91,13 @@ def assertion(failure_type: str, found: DataFrame, keys: Sequence[str], detail:
     return found.select(F.lit(failure_type).alias("failure_type"), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("keys"), detail.cast("string").alias("detail"), F.lit(description).alias("description"))
 
 
+def row_assertions(df: DataFrame, rules: Sequence[tuple[str, Column, Sequence[str], Column, str]]) -> DataFrame:
+    """Assertions on the rows of one frame in one pass: (failure type, what breaks the rule, keys, detail, description) each."""
+    shape = lambda name, keys, detail, said: F.struct(F.lit(name).alias("failure_type"), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("keys"), detail.cast("string").alias("detail"), F.lit(said).alias("description"))
+    found = F.array(*[F.when(broken, shape(name, keys, detail, said)) for name, broken, keys, detail, said in rules])
+    return df.select(F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f")).select("f.*")
+
+
 def all_assertions(parts: Sequence[DataFrame]) -> DataFrame:
     """Union of assertions; no rows means that all hold."""
     return functools.reduce(DataFrame.unionByName, parts)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tablewright.operators import datatests as T
 from tablewright.operators import profile as C
@@ -80,17 +81,27 @@ UNION ALL SELECT 'early_shipping', l_orderkey || '/' || l_linenumber, CAST(date_
 UNION ALL SELECT 'no_lines', CAST(o_orderkey AS VARCHAR), o_orderstatus, 'order without lines' FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
 UNION ALL SELECT 'free_order', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), 'price is not positive' FROM orders WHERE o_totalprice <= 0""")
 def t7_assertions(spark: SparkSession, d: str) -> DataFrame:
-    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
-    key = F.col("l_orderkey") == F.col("o_orderkey")
-    line = ["l_orderkey", "l_linenumber"]
-    late = lines.join(orders, key).filter("l_shipdate < o_orderdate")
-    return T.all_assertions([
-        T.assertion("orphan_line", lines.join(orders.filter("o_orderstatus <> 'P'"), key, "left_anti"), line, F.col("l_partkey"), "line without an order that is not partial"),
-        T.assertion("duplicate_line", lines.groupBy(*line).agg(F.count("*").alias("n")).filter("n > 1"), line, F.col("n"), "line number used twice"),
-        T.assertion("early_shipping", late, line, F.datediff("l_shipdate", "o_orderdate"), "shipped before ordered"),
-        T.assertion("no_lines", orders.join(lines, key, "left_anti"), ["o_orderkey"], F.col("o_orderstatus"), "order without lines"),
-        T.assertion("free_order", orders.filter("o_totalprice <= 0"), ["o_orderkey"], F.col("o_custkey"), "price is not positive"),
+    return order_assertions(table(spark, d, "orders"), table(spark, d, "lineitem"))
+
+
+def order_assertions(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rules on lines and their orders in one join. Lines and orders are moved and sorted once, and no group is held in memory."""
+    line, one_order = ["l_orderkey", "l_linenumber"], Window.partitionBy("o_orderkey")
+    # Dealt by order, so that counting lines of a number and the join need no other shuffle.
+    dealt = lines.select(*line, "l_partkey", "l_shipdate").repartition("l_orderkey").withColumn("nth_line", F.row_number().over(Window.partitionBy(*line).orderBy(*line)))
+    dealt = dealt.withColumn("lines", F.count("*").over(Window.partitionBy(*line))).withColumn("is_line", F.lit(True))
+    known = orders.select("o_orderkey", "o_orderstatus", "o_orderdate").repartition("o_orderkey").withColumn("nth_order", F.row_number().over(one_order.orderBy("o_orderkey")))
+    known = known.withColumn("whole", F.coalesce(F.max(F.col("o_orderstatus") != "P").over(one_order), F.lit(False))).withColumn("is_order", F.lit(True))
+    both = dealt.join(known, F.col("l_orderkey") == F.col("o_orderkey"), "full_outer")
+    # A line is there once for each of its orders.
+    once = F.col("is_line") & (F.col("is_order").isNull() | (F.col("nth_order") == 1))
+    found = T.row_assertions(both, [
+        ("orphan_line", once & ~F.coalesce("whole", F.lit(False)), line, F.col("l_partkey"), "line without an order that is not partial"),
+        ("duplicate_line", once & (F.col("lines") > 1) & (F.col("nth_line") == 1), line, F.col("lines"), "line number used twice"),
+        ("early_shipping", F.col("l_shipdate") < F.col("o_orderdate"), line, F.datediff("l_shipdate", "o_orderdate"), "shipped before ordered"),
+        ("no_lines", F.col("is_line").isNull(), ["o_orderkey"], F.col("o_orderstatus"), "order without lines"),
     ])
+    return T.all_assertions([found, T.assertion("free_order", orders.filter("o_totalprice <= 0"), ["o_orderkey"], F.col("o_custkey"), "price is not positive")])
 
 
 @query("SELECT o_orderstatus AS value, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus NOT IN ('O', 'F') GROUP BY 1")

@@ -1,51 +1,48 @@
 """Lineage over node and edge tables.
 
 Searches run as rounds over a frontier: one join with the edges, less what was seen. The number of rounds is the graph's
-depth, not its size. Each round is written to the shared folder, which cuts its lineage. Edges are written once in buckets of
-the end that a search leaves from, so a round moves its frontier and not the edges.
+depth, not its size. Each round is written to the shared folder, which cuts its lineage. Edges are written once, as they come,
+and read by each round, which moves only edges that may leave from its frontier.
 """
 
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.operators.near import meet
 from tablewright.plans.scratch import Scratch
 
 #: An impact reaches as far as this; and is low or medium up to so many models.
 IMPACT_DEPTH, LOW_IMPACT, MEDIUM_IMPACT = 100, 3, 10
 
 
+def written(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``edges`` (parent, child) as a written table, for several searches; those that are one stay."""
+    return edges if hasattr(edges, "_scratch_path") else scratch.table(edges.select("parent", "child"), "edges")
+
+
 def reach(edges: DataFrame, starts: DataFrame, direction: str = "downstream", depth: int | None = IMPACT_DEPTH) -> DataFrame:
     """(id, distance) of what ``starts`` (id) reach along ``edges`` (parent, child) within ``depth``, shortest first.
 
     Without a depth the search goes on until it finds nothing new. Starts are left out; cycles end because nothing is visited
-    twice.
+    twice. Edges may repeat.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark, "lineage")
+    scratch = Scratch(edges.sparkSession, "lineage")
     source, target = ("parent", "child") if direction == "downstream" else ("child", "parent")
-    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"links_{uuid.uuid4().hex}"
-    links = edges.select(F.col(source).alias("from_id"), F.col(target).alias("id")).distinct().repartition(buckets, "from_id")
-    try:
-        links.write.bucketBy(buckets, "from_id").option("path", scratch.path("links")).saveAsTable(name)
-        links = spark.table(name)
-        seen = frontier = scratch.table(starts.select("id").distinct().withColumn("distance", F.lit(0)), "start")
-        distance = 0
-        while depth is None or distance < depth:
-            distance += 1
-            met = frontier.select(F.col("id").alias("from_id")).join(links, "from_id").select("id").distinct()
-            frontier = scratch.table(met.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(distance)), f"round{distance}")
-            if frontier.isEmpty():
-                break
-            seen = seen.unionByName(frontier)
-    finally:
-        # What is returned reads the rounds only.
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    links = written(edges, scratch).select(F.col(source).alias("from_id"), F.col(target).alias("id"))
+    seen = frontier = scratch.table(starts.select("id").distinct().withColumn("distance", F.lit(0)), "start")
+    distance = 0
+    while depth is None or distance < depth:
+        distance += 1
+        met = meet(links, ["from_id"], frontier.select(F.col("id").alias("from_id")), scratch, "left_semi").select("id").distinct()
+        frontier = scratch.table(met.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(distance)), f"round{distance}")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
     return seen.filter("distance > 0")
 
 
@@ -59,14 +56,16 @@ def _node(edges: DataFrame, name: str) -> DataFrame:
 
 def lineage_counts(edges: DataFrame, start: str, depth: int = 10) -> DataFrame:
     """One row: upstream, downstream, total."""
+    edges = written(edges, Scratch(edges.sparkSession, "lineage"))
     up = lineage(edges, start, "upstream", depth).agg(F.count("*").alias("upstream"))
     down = lineage(edges, start, "downstream", depth).agg(F.count("*").alias("downstream"))
     return up.crossJoin(down).withColumn("total", F.col("upstream") + F.col("downstream"))
 
 
 def impact(edges: DataFrame, nodes: DataFrame, start: str) -> DataFrame:
-    """(type, n, total, level): everything downstream by type, and how grave that is."""
-    types = lineage(edges, start, "downstream", IMPACT_DEPTH).join(nodes.select("id", "type"), "id").groupBy("type").agg(F.count("*").alias("n"))
+    """(type, n, total, level): everything downstream by type, and how grave that is. Nodes (id, type) may repeat."""
+    reached = lineage(edges, start, "downstream", IMPACT_DEPTH).select("id")
+    types = meet(nodes.select("id", "type"), ["id"], reached, Scratch(edges.sparkSession, "impact"), "left_semi").distinct().groupBy("type").agg(F.count("*").alias("n"))
     total = types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     level = F.when(F.col("total") <= LOW_IMPACT, "low").when(F.col("total") <= MEDIUM_IMPACT, "medium").otherwise("high")
     return types.crossJoin(F.broadcast(total)).withColumn("level", level)
@@ -78,6 +77,7 @@ def affected_by_distance(edges: DataFrame, start: str, depth: int = IMPACT_DEPTH
 
 def signed_levels(edges: DataFrame, focus: str, depth: int = 10) -> DataFrame:
     """(id, level): 0 at the focus, +n upstream, -n downstream; the nearer side wins, upstream on a tie."""
+    edges = written(edges, Scratch(edges.sparkSession, "lineage"))
     up = lineage(edges, focus, "upstream", depth).withColumnRenamed("distance", "up")
     down = lineage(edges, focus, "downstream", depth).withColumnRenamed("distance", "down")
     nearer = F.when(F.col("down").isNull() | (F.col("up") <= F.col("down")), F.col("up")).otherwise(-F.col("down"))

@@ -57,16 +57,16 @@ def g2_both_directions(spark: SparkSession, d: str) -> DataFrame:
     return G.lineage_counts(edges(spark, d), "c:10")
 
 
-def nodes(spark: SparkSession, d: str) -> DataFrame:
-    """(id, type) of all that edges name."""
-    e = edges(spark, d)
-    ids = e.select(F.col("parent").alias("id")).union(e.select("child")).distinct()
+def nodes(e: DataFrame) -> DataFrame:
+    """(id, type) of all that edges name, as often as they do."""
+    ids = e.select(F.col("parent").alias("id")).union(e.select("child"))
     return ids.withColumn("type", F.substring("id", 1, 1))
 
 
 @query(f"WITH RECURSIVE {EDGES_SQL}, {walk_sql('x', chr(39) + 'n:3' + chr(39), False, 100)}, t AS (SELECT id[1:1] AS type, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY 1), s AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM t) SELECT type, n, total, CASE WHEN total <= 3 THEN 'low' WHEN total <= 10 THEN 'medium' ELSE 'high' END AS level FROM t, s")
 def g3_impact(spark: SparkSession, d: str) -> DataFrame:
-    return G.impact(edges(spark, d), nodes(spark, d), "n:3")
+    e = G.written(edges(spark, d), Scratch(spark, "impact"))
+    return G.impact(e, nodes(e), "n:3")
 
 
 @query(f"WITH RECURSIVE {EDGES_SQL}, {walk_sql('x', chr(39) + 'r:1' + chr(39), False, 100)} SELECT distance, CAST(count(*) AS BIGINT) AS n, min(id) AS first_id, max(id) AS last_id FROM x GROUP BY 1")

@@ -13,16 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewright.operators.graph import LOW_IMPACT, MEDIUM_IMPACT
+from tablewright.operators.near import apart, meet
 from tablewright.plans.scratch import Scratch
 
 #: Values that a node's sketch of what it reaches holds: more than the largest bound of a level, so that levels are exact.
 RANKS = 16
 
 
-def changed_edges(edges: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
-    """``edges`` after a batch; an edge both removed and added is there."""
-    left = edges.select("parent", "child").join(removed.select("parent", "child"), ["parent", "child"], "left_anti")
-    return left.unionByName(added.select("parent", "child")).distinct()
+def changed_edges(edges: DataFrame, added: DataFrame, removed: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """``edges`` after a batch; an edge both removed and added is there. An edge that is there more than once may stay so."""
+    scratch, ends = scratch or Scratch(edges.sparkSession, "changes"), ["parent", "child"]
+    added = scratch.table(added.select(*ends).distinct(), "added")
+    changed = scratch.table(removed.select(*ends).unionByName(added), "changed")
+    return apart(edges.select(*ends), ends, changed, scratch).unionByName(added)
 
 
 def updated_reach(reached: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -31,28 +34,32 @@ def updated_reach(reached: DataFrame, edges: DataFrame, added: DataFrame, remove
     A node at some distance is supported by its parents one step nearer. Where a removed edge took the last of them, the node is
     lost, and its children are looked at again: supports lead to the starts, so cycles can't support themselves. Lost
     nodes are then found anew from parents that stayed, and shorter ways through added edges are followed, as long as
-    anything improves. Only nodes near a change are joined with the edges. Edges may repeat.
+    anything improves. Edges that leave from what was reached are written once; only rounds that find other nodes read all edges,
+    and no round moves more than those near a change. Edges may repeat.
     """
-    now = scratch.table(reached.select("id", "distance"), "reached")
+    before = now = scratch.table(reached.select("id", "distance"), "reached")
+    edges = edges.select("parent", "child")
+    within = scratch.table(meet(edges, ["parent"], now.select(F.col("id").alias("parent")), scratch, "left_semi").select("parent", "child"), "within")
     at = lambda side: now.select(F.col("id").alias(side), F.col("distance").alias(f"{side}_distance"))
     doubted = removed.select("parent", "child").join(at("parent"), "parent").join(at("child"), "child").filter("child_distance = parent_distance + 1")
     doubted = scratch.table(doubted.select(F.col("child").alias("id"), F.col("child_distance").alias("distance")).distinct(), "doubted")
     all_lost = []
     while not doubted.isEmpty():
-        ways = doubted.join(edges.select("parent", F.col("child").alias("id")), "id").join(at("parent"), "parent")
+        ways = meet(within.select("parent", F.col("child").alias("id")), ["id"], doubted, scratch).join(at("parent"), "parent")
         held = ways.filter("parent_distance = distance - 1").select("id").distinct()
         lost = scratch.table(doubted.join(held, "id", "left_anti"), "lost")
         if lost.isEmpty():
             break
         all_lost.append(lost.select("id"))
         now = scratch.table(now.join(lost.select("id"), "id", "left_anti"), "left")
-        next_ = lost.select(F.col("id").alias("parent"), (F.col("distance") + 1).alias("distance")).join(edges, "parent").select(F.col("child").alias("id"), "distance")
+        next_ = meet(within, ["parent"], lost.select(F.col("id").alias("parent"), (F.col("distance") + 1).alias("distance")), scratch).select(F.col("child").alias("id"), "distance")
         doubted = scratch.table(next_.distinct().join(now, ["id", "distance"], "left_semi"), "doubted")
     # Ways to lost nodes from those that stayed, and over added edges that are still there.
-    anew = added.select("parent", "child").join(edges.select("parent", "child"), ["parent", "child"], "left_semi")
+    added = scratch.table(added.select("parent", "child").distinct(), "added")
+    anew = added if added.isEmpty() else meet(edges, ["parent", "child"], added, scratch, "left_semi")
     if all_lost:
         lost = functools.reduce(DataFrame.unionByName, all_lost).distinct()
-        anew = anew.unionByName(edges.select("parent", "child").join(lost.withColumnRenamed("id", "child"), "child", "left_semi").select("parent", "child"))
+        anew = anew.unionByName(meet(within, ["child"], lost.withColumnRenamed("id", "child"), scratch, "left_semi").select("parent", "child"))
     ways = anew.join(at("parent"), "parent").select(F.col("child").alias("id"), (F.col("parent_distance") + 1).alias("distance"))
     while True:
         best = ways.groupBy("id").agg(F.min("distance").alias("distance"))
@@ -61,7 +68,8 @@ def updated_reach(reached: DataFrame, edges: DataFrame, added: DataFrame, remove
         if better.isEmpty():
             return now
         now = scratch.table(now.join(better.select("id"), "id", "left_anti").unionByName(better), "reached")
-        ways = better.select(F.col("id").alias("parent"), "distance").join(edges, "parent").select(F.col("child").alias("id"), (F.col("distance") + 1).alias("distance"))
+        links = within if better.join(before.select("id"), "id", "left_anti").isEmpty() else edges
+        ways = meet(links, ["parent"], better.withColumnRenamed("id", "parent"), scratch).select(F.col("child").alias("id"), (F.col("distance") + 1).alias("distance"))
 
 
 def impact_levels(edges: DataFrame, scratch: Scratch, ranks: int = RANKS) -> DataFrame:

@@ -180,7 +180,8 @@ CHANGED_EDGES_SQL = f"""{EDGES_SQL.replace("e AS MATERIALIZED", "b AS MATERIALIZ
 @query(f"WITH RECURSIVE {CHANGED_EDGES_SQL}, {walk_sql('x', chr(39) + 'n:7' + chr(39))} SELECT * FROM x")
 def g16_incremental_reach(spark: SparkSession, d: str) -> DataFrame:
     """What depends on a nation, kept up to date over three batches of added and removed edges."""
-    scratch, now = Scratch(spark, "batches"), edges(spark, d).distinct()
+    scratch = Scratch(spark, "batches")
+    now = G.written(edges(spark, d), scratch)
     number = F.split_part("child", F.lit(":"), F.lit(2)).try_cast("long")
     to_orders = now.filter("parent LIKE 'c:%'")
     short = table(spark, d, "orders").filter("o_orderkey % 50 = 0").select(F.lit("n:7").alias("parent"), _id("o", "o_orderkey").alias("child"))
@@ -188,10 +189,9 @@ def g16_incremental_reach(spark: SparkSession, d: str) -> DataFrame:
         (now.limit(0), to_orders.filter(number % 7 == 0)), (to_orders.filter(number % 14 == 0).unionByName(short), now.limit(0)),
         (now.limit(0), short.filter(number % 100 == 0).unionByName(now.filter("parent = 'n:7' AND child LIKE 's:%'").filter(number % 3 == 0))),
     ]
-    now = scratch.table(now, "edges")
     reached = G.lineage(now, "n:7").unionByName(spark.range(1).select(F.lit("n:7").alias("id"), F.lit(0).alias("distance")))
-    for added, removed in batches:
-        now = scratch.table(A.changed_edges(now, added, removed), "edges")
+    for added, removed in [tuple(scratch.table(x, "batch") for x in b) for b in batches]:
+        now = scratch.table(A.changed_edges(now, added, removed, scratch), "edges")
         reached = A.updated_reach(reached, now, added, removed, scratch)
     return reached.filter("distance > 0")
 

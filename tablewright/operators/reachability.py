@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.operators.graph import LOW_IMPACT, MEDIUM_IMPACT
+from tablewright.operators.graph import LOW_IMPACT, MEDIUM_IMPACT, written
 from tablewright.operators.near import apart, meet
 from tablewright.plans.scratch import Scratch
 
@@ -77,29 +77,33 @@ def impact_levels(edges: DataFrame, scratch: Scratch, ranks: int = RANKS) -> Dat
 
     A node's sketch holds the ``ranks`` least hashes of the nodes that it reaches. Sketches are carried up the edges, only what is
     new in a round moves on, and no pair of nodes is listed. A sketch that is not full holds all there is, so with more
-    ranks than the largest bound levels are exact. Cycles end, as nothing new comes; a node doesn't count as its own dependent.
+    ranks than the largest bound levels are exact. Edges to nodes without edges of their own count in the first round only, and
+    later ones read the others. Cycles end, as nothing new comes; a node doesn't count as its own dependent.
     """
-    links = scratch.table(edges.select("parent", "child").filter("parent <> child").distinct(), "links")
-    ids = edges.select(F.col("parent").alias("id")).union(edges.select("child")).distinct()
+    edges = written(edges, scratch)
+    links = edges.filter("parent <> child")
     # The ranks + 1 least values of a node: its own, which comes back over a cycle, is taken out at the end.
-    place = F.row_number().over(Window.partitionBy("id").orderBy("value"))
-    now = None
-    fresh = links.select(F.col("parent").alias("id"), F.xxhash64("child").alias("value"))
+    place = F.dense_rank().over(Window.partitionBy("id").orderBy("value"))
+    least = lambda df: df.withColumn("place", place).filter(F.col("place") <= ranks + 1).groupBy("id").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    first = scratch.table(least(links.select(F.col("parent").alias("id"), F.xxhash64("child").alias("value"))), "sketches")
+    inner = scratch.table(meet(links, ["child"], first.select(F.col("id").alias("child")), scratch, "left_semi").select("parent", "child"), "inner")
+    carriers = scratch.table(inner.select(F.col("parent").alias("id")).distinct(), "carriers")
+    now = scratch.table(meet(first, ["id"], carriers, scratch, "left_semi"), "sketches")
+    ways = inner.join(first.withColumnRenamed("id", "child"), "child")
     while True:
-        if now is None:
-            least = fresh.distinct().withColumn("is_new", F.lit(True))
-        else:
-            fresh = fresh.distinct().join(now.select("id", "value"), ["id", "value"], "left_anti")
-            least = now.select("id", "value").withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True)))
-        before, now = now, scratch.table(least.withColumn("place", place).filter(F.col("place") <= ranks + 1).drop("place"), "sketches")
-        if before is not None:
-            scratch.drop(before)
-        moved = now.filter("is_new")
+        told = least(ways.select(F.col("parent").alias("id"), F.explode("values").alias("value"))).withColumnRenamed("values", "told")
+        both = now.select("id", F.col("values").alias("old")).join(told, "id", "left")
+        values = F.when(F.col("told").isNull(), F.col("old")).otherwise(F.slice(F.sort_array(F.array_union("old", "told")), 1, ranks + 1))
+        before, now = now, scratch.table(both.withColumn("values", values).select("id", "values", F.array_except("values", "old").alias("fresh")), "sketches")
+        scratch.drop(before)
+        moved = now.filter(F.size("fresh") > 0).select(F.col("id").alias("child"), F.col("fresh").alias("values"))
         if moved.isEmpty():
             break
-        fresh = links.join(moved.select(F.col("id").alias("child"), "value"), "child").select(F.col("parent").alias("id"), "value")
-    others = now.filter(F.col("value") != F.xxhash64("id")).groupBy("id").agg(F.least(F.count("*"), F.lit(ranks)).alias("reached"))
-    counted = ids.join(others, "id", "left").select("id", F.coalesce("reached", F.lit(0)).cast("long").alias("reached"))
+        ways = meet(inner, ["child"], moved, scratch)
+    others = lambda df: df.select("id", F.least(F.size(F.filter("values", lambda v: v != F.xxhash64("id"))), F.lit(ranks)).alias("reached"))
+    named = edges.select(F.col("child").alias("id")).unionByName(edges.filter("parent IS NULL OR child IS NULL").select(F.col("parent").alias("id")))
+    # Sketches only grow, so a node's last one has its largest number.
+    counted = named.withColumn("reached", F.lit(0)).unionByName(others(first)).unionByName(others(now)).groupBy("id").agg(F.max("reached").cast("long").alias("reached"))
     return counted.withColumn("level", F.when(F.col("reached") <= LOW_IMPACT, "low").when(F.col("reached") <= MEDIUM_IMPACT, "medium").otherwise("high"))
 
 

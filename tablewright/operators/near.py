@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tablewright.plans.scratch import Scratch
 
-#: Keys that are broadcast as they are; bits of a filter for a key, as long as it isn't full; its bits at most (16 MB).
-FEW, BITS_OF_A_KEY, FILTER_BITS = 1 << 18, 16, 1 << 27
+#: Keys that are broadcast as they are; bits of a filter for a key, as long as it isn't full; its bits at most (32 MB).
+FEW, BITS_OF_A_KEY, FILTER_BITS = 1 << 18, 16, 1 << 28
 #: Bits of a bitmap, as Spark builds them. All places of a key lie in one bitmap.
 BITMAP, PLACES = 1 << 15, 2
 

@@ -1,8 +1,9 @@
 """Near-duplicate documents by bottom-k sketches from one hash function, confirmed on full shingle sets.
 
-A sketch is the k smallest hashes of a document's shingle set. Inverted lists over retained values generate candidates:
-two documents as similar as asked share at least m of their retained values, so the s - m + 1 rarest of each document's
-s values suffice, and rare values have short lists. Values by rarity keep common phrases out of the lists.
+A sketch is the k smallest hashes of a document's shingle set. Inverted lists over pairs of neighbours in it generate
+candidates: of two documents as similar as asked, at least m such pairs are the same, so the s - m + 1 rarest of each
+document's s pairs suffice. Documents that share single shingles by chance, as more do the larger a corpus is, rarely
+share two with none of either between them, so lists hold little but near copies; pairs by rarity keep common phrases out.
 
 Lists are not expanded into pairs. Each list has a hub, the member that shares most values with the corpus, and
 members are compared with their hub on sketches. Those that may reach the threshold are the hub's dense cluster and are
@@ -22,15 +23,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.columns import small
 from tablewright.llm.graph import connected_components
+from tablewright.operators.near import meet
 from tablewright.plans.scratch import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Values that a sketch retains.
 SKETCH = 64
-#: Standard deviations that a sketch's overlap and estimate may fall short by: a link is missed with odds of at most 2e-8.
-SLACK = 6.0
+#: Standard deviations that a sketch's estimate may fall short by, and the odds at which a list may miss a link.
+SLACK, ODDS = 6.0, 2e-8
+#: Stand before a sketch's first value and, where it is the whole set, after its last.
+FIRST, LAST = -(1 << 63), (1 << 63) - 1
 #: Shingles in a block of documents that one task tests against another block.
 BLOCK_SHINGLES = 1 << 14
 #: Documents of a list in a block.
@@ -53,16 +56,31 @@ def shingle_set(words: Column, width: int) -> Column:
     return F.when(n >= width, F.sort_array(F.array_distinct(many))).when(n > 0, whole).otherwise(empty)
 
 
+def neighbours(sketch: Column, n: Column, k: int = SKETCH) -> Column:
+    """Hashes of every two values in a row of a sorted sketch, its ends among them: k of them, or n + 1 for a whole set."""
+    of_two = F.zip_with(F.concat(F.array(F.lit(FIRST)), sketch), F.concat(sketch, F.array(F.lit(LAST))), lambda a, b: F.xxhash64(a, b))
+    return F.slice(of_two, F.lit(1), F.when(n <= k, n + 1).otherwise(F.lit(k)))
+
+
+@functools.cache
+def least_runs(threshold: float, k: int) -> int:
+    """Most neighbours that k values, each shared with odds of ``threshold``, have in common at all but ``ODDS``; at least 1."""
+    # By whether the last value is shared: odds of every number of shared neighbours.
+    shared, other = np.eye(1, k + 1)[0], np.zeros(k + 1)
+    for _ in range(k):
+        shared, other = threshold * (np.roll(shared, 1) + other), (1 - threshold) * (shared + other)
+    return max(1, int(np.searchsorted(np.cumsum(shared + other), ODDS, "right")))
+
+
 def needed_overlap(n: Column, threshold: float, k: int = SKETCH) -> Column:
-    """Fewest retained values that a document of ``n`` shingles shares with any document as similar as ``threshold``.
+    """Fewest neighbours that a document of ``n`` shingles shares with any document as similar as ``threshold``.
 
-    Up to k shingles the sketch is the whole set and the bound is certain. Above, the union's k smallest hold
-    shared values by a hypergeometric law; its mean less ``SLACK`` standard deviations is the bound.
+    A value that only one of two documents has parts two of its own neighbours and one of the other's. Up to k
+    shingles the sketch is the whole set and the bound is certain, also where the other document has more than k. Above,
+    each of the union's k smallest values is shared with odds of the threshold at least.
     """
-    whole = F.least(F.ceil(n * threshold), k - F.floor(n * (1 / threshold - 1) + 1e-9))
-    spread = F.sqrt(threshold * (1 - threshold) * k * (1 - k / F.greatest(F.lit(float(k)), n / threshold)))
-    sampled = F.floor(threshold * k - SLACK * spread)
-    return F.greatest(F.lit(1), F.when(n < k, whole).otherwise(sampled)).cast("int")
+    whole = F.least(F.ceil(n * (2 * threshold - 1) + 1 - 1e-9), k - F.floor(2 * n * (1 / threshold - 1) + 1e-9))
+    return F.greatest(F.lit(1), F.when(n <= k, whole).otherwise(least_runs(threshold, k))).cast("int")
 
 
 def sizes_fit(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -91,16 +109,16 @@ def linked(a: Column, b: Column, percent: int) -> Column:
 
 
 def prefix_postings(nodes: DataFrame, threshold: float, scratch: Scratch, k: int = SKETCH) -> DataFrame:
-    """(value, node, n, shared): for every node its rarest retained values that others retain too.
+    """(value, node, n, shared): for every node the rarest of its sketch's neighbours that others have too.
 
-    Values are ranked over the whole corpus by the number of nodes that retain them. A value that only one node retains
+    These values are ranked over the whole corpus by the number of nodes that have them. A value that only one node has
     generates nothing but takes its rank.
     """
-    retained = nodes.select("node", F.explode("sketch").alias("value"))
+    retained = nodes.select("node", F.explode(neighbours(F.col("sketch"), F.col("n"), k)).alias("value"))
     common = scratch.table(retained.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "common")
-    met = retained.join(common, "value")
+    met = meet(retained, ["value"], common, scratch)
     per_node = met.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "value"))).alias("values"))
-    ranked = per_node.join(nodes.select("node", "n", F.size("sketch").alias("s")), "node")
+    ranked = per_node.join(nodes.select("node", "n", F.when(F.col("n") <= k, F.col("n") + 1).otherwise(k).alias("s")), "node")
     alone = F.col("s") - F.size("values")
     room = F.greatest(F.lit(0), F.col("s") - needed_overlap(F.col("n"), threshold, k) + 1 - alone)
     rows = ranked.select("node", "n", F.size("values").alias("shared"), F.explode(F.slice("values", F.lit(1), room)).alias("v"))
@@ -118,15 +136,22 @@ def list_hubs(postings: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
+def by_node(pairs: DataFrame) -> DataFrame:
+    """(node, hubs, is_hub) for every node of the pairs (hub, node): the hubs it is to be compared with, and whether it is one."""
+    sides = pairs.select("node", "hub", F.lit(False).alias("is_hub")).unionByName(pairs.select(F.col("hub").alias("node"), F.lit(None).cast("long").alias("hub"), F.lit(True).alias("is_hub")))
+    return sides.groupBy("node").agg(F.collect_set("hub").alias("hubs"), F.bool_or("is_hub").alias("is_hub"))
+
+
 def hub_pairs(posted: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(hub, node) of the members whose size and sketch allow them to be as similar to their hub as asked."""
     near = posted.filter(sizes_fit(F.col("n"), F.col("hub_n"), percent))
-    pairs = scratch.table(near.select("hub", "node").distinct(), "pairs")
-    members = pairs.join(nodes.select("node", F.col("n").alias("n_a"), F.col("sketch").alias("a")), "node")
-    of_hubs = nodes.select(F.col("node").alias("hub"), F.col("n").alias("n_b"), F.col("sketch").alias("b")).join(pairs.select("hub").distinct(), "hub", "left_semi")
+    pairs = scratch.table(by_node(near.select("hub", "node").distinct()), "pairs")
+    sketches = scratch.table(meet(nodes, ["node"], pairs, scratch), "sketches")
+    members = sketches.select("node", F.explode("hubs").alias("hub"), F.col("n").alias("n_a"), F.col("sketch").alias("a"))
+    of_hubs = sketches.filter("is_hub").select(F.col("node").alias("hub"), F.col("n").alias("n_b"), F.col("sketch").alias("b"))
     both = members.join(of_hubs, "hub")
     out = scratch.table(both.filter(may_reach(F.col("a"), F.col("b"), F.col("n_a"), F.col("n_b"), percent)).select("hub", "node"), "dense")
-    scratch.drop(pairs)
+    scratch.drop(pairs, sketches)
     return out
 
 
@@ -150,11 +175,13 @@ def collider_pairs(posted: DataFrame, dense: DataFrame, nodes: DataFrame, percen
     strays, members = rows.filter("stray"), rows.filter("NOT stray")
     strays = scratch.table(strays.alias("x").join(members.alias("y"), on, "left_semi"), "strays")
     members = scratch.table(members.alias("x").join(strays.alias("y"), on, "left_semi"), "members")
-    sketched = lambda df: df.join(nodes.select("node", "sketch"), "node")
+    left = scratch.table(strays.select("node").unionByName(members.select("node")).distinct(), "left")
+    sketches = scratch.table(meet(nodes.select("node", "sketch"), ["node"], left, scratch), "sketches")
+    sketched = lambda df: df.join(sketches, "node")
     likely = may_reach(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"), percent)
     found = sketched(strays).alias("x").join(sketched(members).alias("y"), on & likely)
     out = scratch.table(found.select(F.least("x.node", "y.node").alias("hub"), F.greatest("x.node", "y.node").alias("node")).distinct(), "collider-pairs")
-    scratch.drop(named, shape, rows, strays, members)
+    scratch.drop(named, shape, rows, strays, members, left, sketches)
     return out
 
 
@@ -167,9 +194,9 @@ def _blocked(rows: DataFrame, keep: list[str]) -> DataFrame:
     return members.unionByName(strays)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs (hub, node) that are linked on their full sets."""
-    members = pairs.join(sets.select("node", F.col("shingles").alias("a")), "node")
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the hubs and nodes that are linked on their full sets (node, hubs, is_hub, shingles)."""
+    members = sets.select("node", F.explode("hubs").alias("hub"), F.col("shingles").alias("a"))
     both = members.join(sets.filter("is_hub").select(F.col("node").alias("hub"), F.col("shingles").alias("b")), "hub")
     return both.filter(linked(F.col("a"), F.col("b"), percent)).select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
@@ -206,7 +233,11 @@ def _links_of_strays(clusters: DataFrame, labels: DataFrame, sets: DataFrame, pe
     sizes = sets.select("node", F.size("shingles").alias("n"))
     shape = marked.join(sizes, "node").groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n")).otherwise(0)) / BLOCK_SHINGLES).cast("int").alias("stray_blocks"))
     shape = scratch.table(shape.filter("stray_blocks > 0"), "shape")
-    rows = _blocked(marked.join(shape, "hub"), ["hub", "node", "component"]).join(sets.select("node", "shingles"), "node")
+    told = marked.join(shape, "hub").groupBy("node", "component").agg(F.collect_list(F.struct("hub", "stray", "blocks", "stray_blocks")).alias("of"))
+    told = scratch.table(told, "told")
+    # Only sets of clusters with strays are read on, once, and dealt from where they are.
+    rows = meet(sets.select("node", "shingles"), ["node"], told, scratch).select("node", "component", "shingles", F.inline("of"))
+    rows = _blocked(rows, ["hub", "node", "component", "shingles"])
     return scratch.table(rows.groupBy("hub", "i", "j").applyInPandas(_block_links(percent), "a long, b long").distinct(), "stray_links")
 
 
@@ -240,19 +271,18 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     apart = collider_pairs(posted, clusters, nodes, percent, scratch)
     scratch.drop(posted, nodes)
     # Full sets are made again from the texts, for the few documents that are in a pair.
-    pairs = clusters.unionByName(apart)
-    sides = pairs.select("node", F.lit(False).alias("is_hub")).unionByName(pairs.select(F.col("hub").alias("node"), F.lit(True).alias("is_hub")))
-    inside = sides.groupBy("node").agg(F.bool_or("is_hub").alias("is_hub"))
+    inside = scratch.table(by_node(clusters.unionByName(apart)), "inside")
     # A class without an id goes by its words.
     named_by = lambda id_, words_md5: F.coalesce(id_, F.xxhash64(words_md5))
-    wanted = scratch.table(inside.join(classes, "node").select("node", "is_hub", "class", named_by(F.col("first_id"), F.col("class")).alias("name")), "wanted")
-    # The ids go to the texts while they are few enough to broadcast; beyond that, texts and ids meet in a shuffle.
+    wanted = meet(classes, ["node"], inside, scratch).select("node", "hubs", "is_hub", "class", named_by(F.col("first_id"), F.col("class")).alias("name"))
+    wanted = scratch.table(wanted, "wanted")
+    # The ids go to the texts while they are few enough to broadcast; beyond that, a filter leaves few other texts to shuffle.
     own_words = F.md5(F.array_join(words_of(F.coalesce(F.col("text"), F.lit(""))), " "))
-    texts = docs.select(named_by(F.col("doc_id").cast("long"), own_words).alias("name"), "text").join(small(wanted), "name")
-    again = texts.select("node", "is_hub", "class", words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words")).filter(F.md5(F.array_join("words", " ")) == F.col("class"))
-    full = again.select("node", "is_hub", shingle_set(F.col("words"), width).alias("shingles"))
+    texts = meet(docs.select(named_by(F.col("doc_id").cast("long"), own_words).alias("name"), "text"), ["name"], wanted, scratch)
+    again = texts.select("node", "hubs", "is_hub", "class", words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words")).filter(F.md5(F.array_join("words", " ")) == F.col("class"))
+    full = again.select("node", "hubs", "is_hub", shingle_set(F.col("words"), width).alias("shingles"))
     sets = scratch.table(full.dropDuplicates(["node"]) if repeated else full, "sets")
-    links = scratch.table(_links(pairs, sets, percent), "links")
+    links = scratch.table(_links(sets, percent), "links")
     labels = scratch.table(connected_components(links, scratch), "labels")
     more = _links_of_strays(clusters, labels, sets, percent, scratch)
     if not more.isEmpty():

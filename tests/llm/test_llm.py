@@ -173,6 +173,32 @@ def test_near_duplicates_of_repeated_rows(spark, scratch):
     assert got == sorted(brute_components(docs, 2, 80) * 3, key=repr)
 
 
+def test_lists_hold_no_texts_that_share_shingles_by_chance(spark, scratch):
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(200)}" for _ in range(200)) for _ in range(300)]
+    near = texts[7].replace("w1 ", "edited ")
+    sets = near_dedup.shingle_set(near_dedup.words_of(F.col("text")), 2)
+    nodes = corpus(spark, list(enumerate([*texts, near]))).select(F.col("doc_id").alias("node"), sets.alias("all")).select("node", F.size("all").alias("n"), F.slice("all", 1, 64).alias("sketch"))
+    posted = near_dedup.list_hubs(near_dedup.prefix_postings(scratch.table(nodes, "nodes"), 0.8, scratch), scratch)
+    strange = posted.filter("NOT (hub IN (7, 300) AND node IN (7, 300))").count()
+    assert strange < 150 and posted.filter("hub + node = 307").count() > 0
+
+
+@pytest.mark.parametrize("k", [16, 64])
+def test_linked_sets_share_the_neighbours_needed(spark, k):
+    r, pairs = random.Random(k), []
+    for n in [*range(1, 90)] * 12 + [r.randint(90, 400) for _ in range(400)]:
+        # A sketch of 16 is held to the certain bound only.
+        a = [r.randrange(-(1 << 63), 1 << 63) for _ in range(n)] if k == 64 or n <= 16 else []
+        b = a[r.randint(0, n // 5) :] + [r.randrange(-(1 << 63), 1 << 63) for _ in range(r.randint(0, n // 4))]
+        if a and 10 * len({*a} & {*b}) >= 8 * len({*a} | {*b}):
+            pairs.append((sorted(a), sorted(b)))
+    df = spark.createDataFrame(pairs, "a array<long>, b array<long>").select("a", "b", F.size("a").alias("n_a"), F.size("b").alias("n_b"))
+    of = lambda s: near_dedup.neighbours(F.slice(s, 1, k), F.col(f"n_{s}"), k)
+    need = F.greatest(*[F.when((F.col(f"n_{s}") <= k) | (F.lit(k) == 64), near_dedup.needed_overlap(F.col(f"n_{s}"), 0.8, k)).otherwise(0) for s in "ab"])
+    assert len(pairs) > 50 and df.filter(F.size(F.array_intersect(of("a"), of("b"))) < need).count() == 0
+
+
 def test_near_duplicates_edges(spark, scratch):
     assert rows(near_dedup.near_duplicates(corpus(spark, []), scratch)) == []
     repeated = corpus(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "z")])
